@@ -88,7 +88,7 @@ def main() -> int:
         try:
             elapsed, count, verdict = compare(spark, folder, name, queries[name], oracle.get(name), connection)
         except Exception as error:  # noqa: BLE001
-            elapsed, count, verdict = 0.0, 0, f"ERROR {str(error)[:700]}"
+            elapsed, count, verdict = 0.0, 0, f"ERROR {str(error).split("JVM stacktrace")[0][:500]}"
         if verdict not in ("ok", "rows-only"):
             bad += 1
         if verdict != "ok" or count == 0 or elapsed > 4:
