@@ -130,7 +130,7 @@ def _(t):
 @query("p10_first_eligible_track", """
 WITH tr AS (SELECT e.run_id, CASE e.role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS rank, r.duration_ms, sum(length(e.text)) AS chars,
                    count(*) AS cues, (max(e.end_ms) - min(e.start_ms)) / r.duration_ms AS ratio
-            FROM v_transcript e JOIN v_runs r USING (run_id) GROUP BY ALL),
+            FROM v_transcript e JOIN v_runs r ON r.run_id = e.run_id GROUP BY e.run_id, e.role, r.duration_ms),
 el AS (SELECT *, chars >= ceil(greatest(20.0, duration_ms * 24.0 / 60000.0)) AND cues >= 1 AND ratio >= 0.4 AS ok FROM tr),
 pick AS (SELECT run_id, min(rank) FILTER (WHERE ok) AS chosen FROM el GROUP BY run_id)
 SELECT p.run_id, p.chosen, count(*) FILTER (WHERE NOT el.ok AND (p.chosen IS NULL OR el.rank < p.chosen)) AS rejected_before FROM pick p JOIN el USING (run_id) GROUP BY p.run_id, p.chosen""",
@@ -698,7 +698,7 @@ def _(t):
 
 @query("a18_capacity_profile", """
 WITH m AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) + 1 AS duration_ms FROM orders),
-p AS (SELECT o_orderkey, least((duration_ms + 999) // 1000 * 500000, 60000000) AS proxy, (duration_ms * 24000 + 999) // 1000 + 65536 AS audio, (600000 * 24000 + 999) // 1000 + 65536 AS slice FROM m)
+p AS (SELECT o_orderkey, least((duration_ms + 999) // 1000 * 500000, 60000000) AS proxy, (duration_ms * 24000 + 999) // 1000 + 65536 AS audio, 14400000 + 65536 AS slice FROM m)
 SELECT o_orderkey, proxy AS proxy_bytes, audio AS audio_bytes, CAST(2 * proxy + audio + slice + 111111 AS BIGINT) AS required_bytes, 2 * proxy + audio + slice + 111111 <= 100000000 AS fits FROM p""")
 def _(t):
     from spanledger.sources.media import capacity_profile

@@ -71,11 +71,6 @@ def name_verdict(filename: Column, declared: Column, detected: Column, kind: str
     )
 
 
-def _number(code: Column, offset: int, n: int, little: bool = False) -> Column:
-    pieces = [F.substring(code, (offset + i) * 2 + 1, 2) for i in range(n)]
-    return F.conv(F.concat(*(reversed(pieces) if little else pieces)), 16, 10).cast("bigint")
-
-
 def _jpeg_size(data: bytes) -> str | None:
     """``WxH`` from the first frame header of a JPEG."""
     at = 2
@@ -102,31 +97,38 @@ def _jpeg_sizes(content: pd.Series) -> pd.Series:
     return content.map(lambda data: None if data is None else _jpeg_size(bytes(data)))
 
 
-def image_size(content: Column) -> Column:
-    """Struct of width, height and media type; null when unreadable or out of 1..20000 pixels.
+def image_sizes(images: DataFrame, content: str) -> DataFrame:
+    """Add ``width``, ``height`` and ``media_type``; null when unreadable or out of 1..20000 pixels.
 
     PNG and WEBP are read with built-in expressions; only JPEG bytes go to Python.
     """
-    code = F.hex(F.substring(content, 1, 30))
-    kind = sniff(content, "image")
-    chunk = F.substring(code, 25, 8)
-    long = F.length(code) >= 60
-    jpeg = _jpeg_sizes(F.when(kind == "image/jpeg", content))
-    extended, simple = chunk == "56503858", chunk == "56503820"
-    width = (
-        F.when((kind == "image/png") & (F.length(code) >= 48), _number(code, 16, 4))
-        .when((kind == "image/webp") & long & extended, _number(code, 24, 3, True) + 1)
-        .when((kind == "image/webp") & long & simple, _number(code, 26, 2, True).bitwiseAND(F.lit(0x3FFF)))
-        .when(kind == "image/jpeg", F.split(jpeg, "x")[0].cast("bigint"))
-    )
-    height = (
-        F.when((kind == "image/png") & (F.length(code) >= 48), _number(code, 20, 4))
-        .when((kind == "image/webp") & long & extended, _number(code, 27, 3, True) + 1)
-        .when((kind == "image/webp") & long & simple, _number(code, 28, 2, True).bitwiseAND(F.lit(0x3FFF)))
-        .when(kind == "image/jpeg", F.split(jpeg, "x")[1].cast("bigint"))
-    )
-    valid = width.between(1, 20_000) & height.between(1, 20_000)
-    return F.when(valid, F.struct(width.alias("width"), height.alias("height"), kind.alias("media_type")))
+    rows = images.withColumn("__code", F.hex(F.substring(content, 1, 30))).withColumn("__kind", sniff(F.col(content), "image"))
+    code, kind, chunk = F.col("__code"), F.col("__kind"), F.substring("__code", 25, 8)
+    rows = rows.withColumn("__jpeg", _jpeg_sizes(F.when(kind == "image/jpeg", F.col(content))))
+    form = (
+        F.when((kind == "image/png") & (F.length(code) >= 48), "png").when(kind == "image/jpeg", "jpeg")
+        .when((kind == "image/webp") & (F.length(code) >= 60) & (chunk == "56503858"), "vp8x")
+        .when((kind == "image/webp") & (F.length(code) >= 60) & (chunk == "56503820"), "vp8"))
+    # Byte offset, byte count and byte order of width and height per form.
+    places = {"png": ((16, 20), 4, False), "vp8x": ((24, 27), 3, True), "vp8": ((26, 28), 2, True)}
+    rows = rows.withColumn("__form", form)
+    for side, name in enumerate(("__w", "__h")):
+        digits = F.lit(None).cast("string")
+        for key, (offsets, count, little) in places.items():
+            order = range(count - 1, -1, -1) if little else range(count)
+            picked = F.concat(*[F.substring(code, (offsets[side] + i) * 2 + 1, 2) for i in order])
+            digits = F.when(F.col("__form") == key, picked).otherwise(digits)
+        rows = rows.withColumn(name + "x", digits)
+        number = F.conv(F.col(name + "x"), 16, 10).cast("bigint")
+        value = (
+            F.when(F.col("__form") == "jpeg", F.split("__jpeg", "x")[side].cast("bigint"))
+            .when(F.col("__form") == "vp8x", number + 1).when(F.col("__form") == "vp8", number.bitwiseAND(F.lit(0x3FFF)))
+            .otherwise(number))
+        rows = rows.withColumn(name, value)
+    valid = F.col("__w").between(1, 20_000) & F.col("__h").between(1, 20_000)
+    return rows.select(
+        *images.columns, F.when(valid, F.col("__w")).alias("width"), F.when(valid, F.col("__h")).alias("height"),
+        F.when(valid, kind).alias("media_type"))
 
 
 STREAM = (
