@@ -89,9 +89,12 @@ def fallback_paragraphs(evidence: DataFrame, keys: list[str], limit: int) -> Dat
     return kept.where(F.length("text") > 0)
 
 
-def fallback_chapters(chapters: DataFrame, evidence: DataFrame, keys: list[str], detail: str = "standard") -> DataFrame:
+def fallback_chapters(
+    chapters: DataFrame, evidence: DataFrame, keys: list[str], detail: str = "standard", paragraphs: DataFrame | None = None
+) -> DataFrame:
     """Chapters with title, summary, header references and status; chapters without evidence become placeholders."""
-    paragraphs = fallback_paragraphs(evidence, keys, BODY_LIMITS[detail])
+    if paragraphs is None:
+        paragraphs = fallback_paragraphs(evidence, keys, BODY_LIMITS[detail])
     first = paragraphs.where("chunk = 0").select(*keys, F.substring("text", 1, SUMMARY_LIMITS[detail]).alias("__summary"))
     heads = evidence.groupBy(*keys).agg(
         F.min(F.struct("start_ms", "end_ms", "evidence_id", "text")).alias("__h"), F.count(F.lit(1)).alias("n_evidence"))

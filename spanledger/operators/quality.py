@@ -171,3 +171,13 @@ def resolution_decision(results: DataFrame, keys: list[str]) -> DataFrame:
         F.when(missing, "INCONCLUSIVE").when(up & ~down, "KEEP_1920").when(~up, "PREFER_1280")
         .otherwise("TRADEOFF_REVIEW_REQUIRED"))
     return wide.select(*keys, decision.alias("decision"))
+
+
+def report_status(planned: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """Status of a report over its planned cases; a planned case without a result is INCOMPLETE."""
+    rows = planned.join(results, "case_id", "left")
+    n, missing = F.count(F.lit(1)), F.sum(F.when(F.col("case_status").isNull(), 1).otherwise(0))
+    only_waiting = F.min(F.coalesce(F.col("case_status") == "NOT_RUN", F.lit(False)))
+    failed = F.max(F.coalesce(F.col("case_status").isin("FAIL", "NOT_RUN"), F.lit(False)))
+    status = F.when(missing > 0, "INCOMPLETE").when(only_waiting, "NOT_RUN").when(failed, "FAIL").otherwise("SUCCEEDED")
+    return rows.groupBy(*keys).agg(n.alias("planned"), missing.alias("missing"), status.alias("status"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanledger.operators import compose, spans
 from spanledger.plans.catalog import query
+from spanledger.session import checkpoint
 
 RUN = ["run_id"]
 CHAPTER = ["run_id", "chapter_index"]
@@ -23,15 +24,21 @@ def chapter_evidence(t, view="v_transcript"):
 
 
 def written(t):
-    """Rule-written chapters with their claims, and the paragraphs they hold."""
-    evidence = chapter_evidence(t)
-    rows = compose.fallback_chapters(chapters_of(t), evidence, CHAPTER)
+    """Rule-written chapters with their claims, and the paragraphs they hold.
+
+    The evidence of the chapters and the written rows feed several later steps, so each
+    is a stage table.
+    """
+    evidence = checkpoint(chapter_evidence(t).select(*CHAPTER, "evidence_id", "start_ms", "end_ms", "text"))
+    paragraphs = checkpoint(compose.fallback_paragraphs(evidence, CHAPTER, 2000))
+    rows = compose.fallback_chapters(chapters_of(t), evidence, CHAPTER, paragraphs=paragraphs)
     empty = F.array().cast("array<struct<text:string,evidence_refs:array<string>,certainty:double>>")
-    return compose.ensure_claims(rows.withColumn("claims", empty)), compose.fallback_paragraphs(evidence, CHAPTER, 2000)
+    return checkpoint(compose.ensure_claims(rows.withColumn("claims", empty))), paragraphs
 
 
-def rendered(t):
-    rows, paragraphs = written(t)
+def rendered(t, rows=None, paragraphs=None):
+    if rows is None:
+        rows, paragraphs = written(t)
     claims = compose.flatten_claims(rows, CHAPTER)
     view = compose.overview(rows, RUN, "chapter_index")
     titles = t.v_runs.join(view, "run_id", "left").select(
@@ -102,7 +109,7 @@ _RELATIONS = ("DUPLICATE", "SUPPORTING", "INDEPENDENT", "COMPLEMENTARY", "CONFLI
 def observations(t):
     relation = F.element_at(F.array(*[F.lit(r) for r in _RELATIONS]), (F.col("l_partkey") % 5 + 1).cast("int"))
     return t.lineitem.select(
-        "l_orderkey", F.struct(F.col("l_linenumber").cast("bigint").alias("line"), "l_partkey").alias("ord"),
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("ord"),
         F.concat_ws("_", "l_linenumber", "l_partkey").alias("observation_id"), relation.alias("relation"),
         F.array_distinct(F.array(F.col("l_suppkey") % 4, F.col("l_partkey") % 4)).alias("frame_ids"),
         F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("caption"))
