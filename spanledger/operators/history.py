@@ -68,11 +68,11 @@ def ordered_warnings(rows: DataFrame, keys: list[str], position: str, warning: s
     )
 
 
-def metric_rollup(metrics: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+def metric_rollup(metrics: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     """Sum metrics by name over a closed name list, filling zeros.
 
-    ``names`` is the dimension of allowed names; a sum past 2^63-1 fails under ANSI mode.
+    A sum past 2^63-1 fails under ANSI mode.
     """
     sums = metrics.groupBy(*keys, "name").agg(F.sum("value").alias("__v"))
-    wanted = metrics.select(*keys).distinct().join(F.broadcast(names)) if keys else names
+    wanted = metrics.select(*keys).distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
     return wanted.join(sums, [*keys, "name"], "left").select(*keys, "name", F.coalesce("__v", F.lit(0)).alias("value"))

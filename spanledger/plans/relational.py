@@ -661,9 +661,8 @@ def _(t):
 WITH names AS (SELECT unnest(['view', 'click', 'purchase', 'refund']) AS name), r AS (SELECT DISTINCT user_id AS run_id FROM events)
 SELECT r.run_id, names.name, CAST(coalesce(sum(CAST(floor(value) AS BIGINT)), 0) AS BIGINT) AS value FROM r CROSS JOIN names LEFT JOIN events e ON e.user_id = r.run_id AND e.event_type = names.name GROUP BY ALL""")
 def _(t):
-    names = t.spark.createDataFrame([(n,) for n in ("view", "click", "purchase", "refund")], "name string")
     metrics = t.events.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), F.floor("value").alias("value"))
-    return history.metric_rollup(metrics, names, RUN)
+    return history.metric_rollup(metrics, ["view", "click", "purchase", "refund"], RUN)
 
 
 @query("a14_status_rollup", """

@@ -79,7 +79,6 @@ def _(t):
 
 
 @query("v8_relation_direction", f"""
-WITH r AS (SELECT user_id, event_id, ts, ts + (value - 50) * INTERVAL '1' MINUTE AS target FROM events)
 SELECT {_row('RELATION_BACKWARD', 'user_id', 'event_id')} FROM events WHERE floor(value) <= 50""")
 def _(t):
     edges = t.events.select("user_id", "event_id", F.lit(50).alias("from_ms"), F.floor("value").alias("to_ms"))
@@ -119,7 +118,7 @@ def _(t):
 
 
 @query("v12_draft_rules", f"""
-WITH d AS (SELECT w.run_id, CASE WHEN i % 4 = 0 THEN w.start_ms ELSE w.start_ms END AS start_ms, w.end_ms, w.chunk_index % 4 AS n, w.chunk_index % 3 AS mode, (w.end_ms - w.start_ms) // 8 AS span FROM (SELECT *, chunk_index AS i FROM v_windows) w),
+WITH d AS (SELECT w.run_id, w.start_ms, w.end_ms, w.chunk_index % 4 AS n, w.chunk_index % 3 AS mode, (w.end_ms - w.start_ms) // 8 AS span FROM v_windows w),
 v AS (SELECT *, CASE WHEN end_ms - start_ms > 300000 THEN 'TOO_LONG' WHEN n > CASE WHEN mode = 2 THEN 4 ELSE 2 END THEN 'TOO_MANY_TARGETS' WHEN mode = 0 AND n > 0 THEN 'TARGETS_WITHOUT_MODE'
    WHEN mode = 2 AND n < 2 THEN 'TOO_FEW_TARGETS' WHEN span > 30000 THEN 'ANCHOR_SPAN' WHEN mode = 2 AND n > 1 THEN 'ANCHORS_OVERLAP' END AS r FROM d)
 SELECT {_row('DRAFT', 'run_id', 'start_ms', detail='r')} FROM v WHERE r IS NOT NULL""", "v_windows")

@@ -260,9 +260,10 @@ def _(t):
     from spanledger.plans.documents import rendered, written
 
     runs = t.v_runs
-    broken = contiguity_violations(t.v_windows, runs).select("run_id").distinct()
-    covered = runs.join(broken, "run_id", "left_anti").agg(F.sum("duration_ms").alias("c")).crossJoin(runs.agg(F.sum("duration_ms").alias("d")))
-    coverage = covered.select(F.lit("chapter_coverage").alias("metric"), (F.col("c") / F.col("d")).alias("value"))
+    broken = contiguity_violations(t.v_windows, runs).select("run_id").distinct().withColumn("broken", F.lit(True))
+    covered = F.sum(F.when(F.col("broken").isNull(), F.col("duration_ms")).otherwise(0))
+    coverage = runs.join(broken, "run_id", "left").agg(
+        F.lit("chapter_coverage").alias("metric"), (covered / F.sum("duration_ms")).alias("value"))
     rows, paragraphs = written(t)
     refs = rows.select("run_id", "chapter_index", F.explode("claims").alias("c")).select(
         F.concat_ws("_", "run_id", "chapter_index").alias("claim_id"), F.explode("c.evidence_refs").alias("ref"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FALLBACK: str | None = None
+
 
 def build_session(app_name: str = "spanledger", cores: str | int = 8) -> SparkSession:
     """Local session for tests and benches; clusters bring their own session."""
@@ -27,6 +30,24 @@ def build_session(app_name: str = "spanledger", cores: str | int = 8) -> SparkSe
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach; a temporary one only where none is configured."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    global _FALLBACK
+    if _FALLBACK is None:
+        _FALLBACK = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _FALLBACK
+
+
+def stage_table(df: DataFrame) -> str:
+    """Write a stage of a job as Parquet in the shared folder and return its path."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's reliable checkpoint folder.
 
@@ -35,6 +56,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
