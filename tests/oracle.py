@@ -77,6 +77,8 @@ def main() -> int:
 
     folder = "/root/testdata/sf0.01"
     wanted = sys.argv[1:]
+    verbose = bool(wanted) and wanted[0] == "-v"
+    wanted = wanted[1:] if verbose else wanted
     if wanted and wanted[0].startswith("/"):
         folder = wanted.pop(0)
     queries, oracle = entry.queries(), entry.oracle_sql()
@@ -91,7 +93,7 @@ def main() -> int:
             elapsed, count, verdict = 0.0, 0, f"ERROR {str(error).split("JVM stacktrace")[0][:500]}"
         if verdict not in ("ok", "rows-only"):
             bad += 1
-        if verdict != "ok" or count == 0 or elapsed > 4:
+        if verbose or verdict != "ok" or count == 0:
             print(f"{name:45s} {count:7d} {elapsed:6.2f}s {verdict}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
     return bad
