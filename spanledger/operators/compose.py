@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as tx
-from spanledger.operators.scan import Scan, ordered_scan
+from spanledger.functions.identity import stable_id
+from spanledger.operators.scan import Scan, ordered_scan, within_budget
 
 
 def observation_intervals(shown: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -70,6 +71,7 @@ SUMMARY_LIMITS = {"concise": 160, "standard": 300, "detailed": 500}
 EMPTY_TITLE = "无语义内容"
 OVERVIEW_LIMIT = 8000
 CHUNK_ROWS = 32
+MAX_CHAPTERS = 240
 
 
 def fallback_paragraphs(evidence: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -120,8 +122,6 @@ def ensure_claims(chapters: DataFrame) -> DataFrame:
 
 def flatten_claims(chapters: DataFrame, keys: list[str]) -> DataFrame:
     """Claim rows with stable ids."""
-    from spanledger.functions.identity import stable_id
-
     rows = chapters.select(*keys, F.posexplode("claims").alias("pos", "c"))
     key = {k: F.col(k) for k in keys}
     return rows.select(
@@ -267,14 +267,11 @@ def apply_merge_decisions(decisions: DataFrame, keys: list[str]) -> DataFrame:
     the right batch has a single chapter, so the next boundary would reuse it). Boundaries
     that share chapters form chains; in a chain every other boundary is accepted.
     """
-    rows = decisions.withColumn("start_ms", F.col("boundary_index")).withColumn("end_ms", F.col("boundary_index"))
-    from spanledger.operators.scan import Scan as S
-
-    linked = ordered_scan(rows, keys, ["boundary_index"], F.floor(F.col("boundary_index") / 4096), [
-        S("__pi", "lag", "boundary_index"), S("__po", "lag", "only_chapter")])
+    linked = ordered_scan(decisions, keys, ["boundary_index"], F.floor(F.col("boundary_index") / 4096), [
+        Scan("__pi", "lag", "boundary_index"), Scan("__po", "lag", "only_chapter")])
     opens = F.col("__pi").isNull() | (F.col("__pi") != F.col("boundary_index") - 1) | ~F.col("__po")
     marked = linked.withColumn("__open", F.when(opens, F.col("boundary_index")))
-    heads = ordered_scan(marked, keys, ["boundary_index"], F.floor(F.col("boundary_index") / 4096), [S("__before", "max_before", "__open")])
+    heads = ordered_scan(marked, keys, ["boundary_index"], F.floor(F.col("boundary_index") / 4096), [Scan("__before", "max_before", "__open")])
     head = F.coalesce("__open", "__before")
     return heads.withColumn("accepted", (F.col("boundary_index") - head) % 2 == 0).select(*keys, "boundary_index", "accepted")
 
@@ -294,8 +291,11 @@ def render_documents(titles: DataFrame, chapters: DataFrame, paragraphs: DataFra
     """Markdown per run from a table of lines.
 
     Every part contributes rows (section, chapter, part, position, line); one ordered
-    aggregation per run joins them. A run holds at most 240 chapters of bounded text.
+    aggregation per run joins them. A run may hold 240 chapters of bounded text; runs with
+    more are refused by the chapter limit and are not rendered.
     """
+    titles = titles.join(within_budget(chapters, ["run_id"], MAX_CHAPTERS).select("run_id").distinct(), "run_id", "left_semi")
+    chapters = within_budget(chapters, ["run_id"], MAX_CHAPTERS)
     esc = tx.escape_markdown
     zero = F.lit(0).cast("bigint")
 
@@ -330,6 +330,7 @@ def render_documents(titles: DataFrame, chapters: DataFrame, paragraphs: DataFra
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
+    table = table.join(titles.select("run_id"), "run_id", "left_semi")
     joined = table.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("s", "c", "p", "q", "line"))).alias("__l"))
     text = F.array_join(F.transform("__l", lambda r: r["line"]), "\n")
     return joined.select("run_id", F.concat(F.rtrim(text, F.lit("\n")), F.lit("\n")).alias("content"))

@@ -273,14 +273,23 @@ def merge_empty_ranges(ranges: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def safe_boundaries(runs: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
-    """All boundaries after exclusion, snapping, cue edges and oversize splits."""
-    marked = checkpoint(mark_safe(ordered_candidates(runs, candidates), evidence))
-    endpoints = checkpoint(safe_endpoints(evidence))
-    ordered = marked.select("run_id", "timestamp_ms")
+    """All boundaries after exclusion, snapping, cue edges and oversize splits.
+
+    Candidate points and evidence ends are tested for safety together, so the evidence
+    is shuffled once for both.
+    """
+    ordered = ordered_candidates(runs, candidates)
+    ends = evidence.select("run_id", F.col("end_ms").alias("timestamp_ms"))
+    points = ordered.withColumn("candidate", F.lit(True)).withColumn("endpoint", F.lit(False)).unionByName(
+        ends.withColumn("candidate", F.lit(False)).withColumn("endpoint", F.lit(True))
+    ).groupBy("run_id", "timestamp_ms").agg(F.max("candidate").alias("candidate"), F.max("endpoint").alias("endpoint"))
+    tested = checkpoint(mark_safe(points, evidence))
+    marked = tested.where("candidate").select("run_id", "timestamp_ms", "is_safe")
+    endpoints = tested.where("endpoint AND is_safe").select("run_id", "timestamp_ms")
     chosen = checkpoint(
         marked.where("is_safe").select("run_id", "timestamp_ms")
         .unionByName(snap_blocked_grid(marked, endpoints, evidence).select("run_id", "timestamp_ms"))
-        .unionByName(blocking_cues(ordered, evidence, runs)).distinct()
+        .unionByName(blocking_cues(marked.select("run_id", "timestamp_ms"), evidence, runs)).distinct()
     )
     extra = split_oversize(to_ranges(chosen, runs), endpoints)
     return chosen.unionByName(extra).distinct()
@@ -289,28 +298,36 @@ def safe_boundaries(runs: DataFrame, evidence: DataFrame, candidates: DataFrame)
 def build_segments(runs: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     """Base segments with ordered evidence references and the rule they break, if any.
 
-    The admitted evidence, the marked points and the ranges are each used several
-    times, so they are written once to the shared checkpoint folder; evidence is
-    laid out by run first, which lets every later window skip its shuffle.
+    The admitted evidence, the tested points and the ranges are each used several times,
+    so they are stage tables in the shared folder. Evidence is assigned to its range once;
+    joining an empty range to the one before adds no evidence, so only the range edges
+    change afterwards.
     """
     runs = checkpoint(runs.select("run_id", "duration_ms"))
     candidates = checkpoint(candidates)
-    admitted = checkpoint(admit(evidence, runs).repartition("run_id"))
-    ranges = checkpoint(
-        merge_empty_ranges(to_ranges(safe_boundaries(runs, admitted, candidates), runs), admitted)
-    )
+    admitted = checkpoint(admit(evidence, runs))
+    ranges = checkpoint(to_ranges(safe_boundaries(runs, admitted, candidates), runs))
     owned = assign_evidence(ranges, admitted)
     packed = owned.groupBy("run_id", F.col("range_start_ms").alias("start_ms")).agg(
         F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "evidence_id", "text"))).alias("rows"),
         F.max(F.col("end_ms") > F.col("range_end_ms")).alias("straddles"),
         F.max("evidence_type").alias("evidence_type"),
     )
+    whole = Window.partitionBy("run_id")
+    joined = ranges.join(packed, ["run_id", "start_ms"], "left").withColumn(
+        "__spoken", F.max(F.col("straddles").isNotNull()).over(whole)
+    ).withColumn("__last", F.max("end_ms").over(whole))
+    joins_previous = (
+        (F.col("end_ms") - F.col("start_ms") <= EMPTY_MAX_MS) & F.col("straddles").isNull() & F.col("__spoken") & (F.col("start_ms") > 0)
+    )
+    following = F.lead("start_ms").over(whole.orderBy("start_ms"))
+    joined = joined.where(~joins_previous).withColumn("end_ms", F.coalesce(following, F.col("__last")))
     source = (
         F.when(F.col("evidence_type").isNull(), "NONE").when(F.col("evidence_type") == "ASR_SEGMENT", "ASR")
         .otherwise("SUBTITLE")
     )
     refs = F.coalesce(F.transform("rows", lambda r: r["evidence_id"]), F.array().cast("array<string>"))
-    joined = ranges.join(packed, ["run_id", "start_ms"], "left").withColumn("evidence_refs", refs)
+    joined = joined.withColumn("evidence_refs", refs)
     reason = (
         F.when(F.coalesce("straddles", F.lit(False)), "EVIDENCE_STRADDLES_BOUNDARY")
         .when(F.col("end_ms") - F.col("start_ms") > SEGMENT_MAX_MS, "NO_SAFE_BOUNDARY")

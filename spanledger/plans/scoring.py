@@ -9,7 +9,7 @@ from spanledger.operators import history, lookups, matching, quality
 from spanledger.operators.lookups import ordered_refs
 from spanledger.plans.catalog import query
 from spanledger.plans.views import sql_bytes_any, sql_bytes_lower, sql_norm
-from spanledger.session import checkpoint
+from spanledger.session import checkpoint, spread
 
 RUN = ["run_id"]
 _BARE = lambda c: f"replace({sql_norm(c)}, ' ', '')"
@@ -17,9 +17,14 @@ _CER = f"levenshtein({sql_bytes_lower(_BARE('hypothesis'))}, {sql_bytes_lower(_B
 _UNITS = f"length({_BARE('reference')})"
 
 
+def pairs(t):
+    """Pairs spread evenly: edit distance is quadratic in the text length."""
+    return spread(t.v_pairs, "run_id", "turn")
+
+
 def character_rows(t):
     errors, units = quality.character_counts(F.col("hypothesis"), F.col("reference"))
-    return t.v_pairs.select("run_id", "turn", "lang", errors.alias("errors"), units.alias("units"))
+    return pairs(t).select("run_id", "turn", "lang", errors.alias("errors"), units.alias("units"))
 
 
 @query("m1_character_errors", f"""
@@ -32,7 +37,7 @@ def _(t):
 @query("m2_word_errors")
 def _(t):
     errors, units = quality.word_counts(F.col("hypothesis"), F.col("reference"))
-    rows = t.v_pairs.select("run_id", "turn", errors.alias("errors"), units.alias("units"))
+    rows = pairs(t).select("run_id", "turn", errors.alias("errors"), units.alias("units"))
     return rows.withColumn("wer", F.round(quality.rate(F.col("errors"), F.col("units")), 9))
 
 
@@ -40,7 +45,7 @@ def _(t):
 SELECT run_id, turn, levenshtein({sql_bytes_any('hypothesis')}, {sql_bytes_any('reference')}) AS errors, length(reference) AS units FROM v_pairs""", "v_pairs")
 def _(t):
     errors, units = quality.exact_character_counts(F.col("hypothesis"), F.col("reference"))
-    return t.v_pairs.select("run_id", "turn", errors.alias("errors"), units.alias("units"))
+    return pairs(t).select("run_id", "turn", errors.alias("errors"), units.alias("units"))
 
 
 def points(t):
@@ -149,10 +154,10 @@ SELECT run_id, turn, len(terms) AS term_count, round((len(list_filter(terms, lam
 def _(t):
     none = t.v_pairs.select("run_id", "turn", "reference", F.col("hypothesis").alias("n"))
     correct = t.v_pairs.select("run_id", (F.col("turn") - 1).alias("turn"), F.col("hypothesis").alias("c"))
-    pairs = none.join(correct, ["run_id", "turn"])
+    triples = spread(none.join(correct, ["run_id", "turn"]), "run_id", "turn")
     en, units = quality.character_counts(F.col("n"), F.col("reference"))
     ec, _ = quality.character_counts(F.col("c"), F.col("reference"))
-    rows = pairs.select("run_id", "turn", en.alias("en"), ec.alias("ec"), units.alias("u"), normalize_text(F.col("n")).alias("hn"),
+    rows = triples.select("run_id", "turn", en.alias("en"), ec.alias("ec"), units.alias("u"), normalize_text(F.col("n")).alias("hn"),
                         normalize_text(F.col("c")).alias("hc"), terms_of(normalize_text(F.col("reference"))).alias("terms"))
     recall = quality.term_recall(F.col("hc"), F.col("terms")) - quality.term_recall(F.col("hn"), F.col("terms"))
     return rows.where(F.size("terms") > 0).select(
@@ -171,8 +176,8 @@ def scored(t):
     """Observations of one evaluation: error rates, boundary F1, fact scores and counts."""
     words, units = quality.word_counts(F.col("hypothesis"), F.col("reference"))
     chars, char_units = quality.character_counts(F.col("hypothesis"), F.col("reference"))
-    by_char = t.v_pairs.where(F.col("lang").isin(quality.CHARACTER_LANGUAGES)).select("lang", chars.alias("errors"), char_units.alias("units"))
-    by_word = t.v_pairs.where(F.col("lang").isin("en", "es")).select("lang", words.alias("errors"), units.alias("units"))
+    by_char = pairs(t).where(F.col("lang").isin(quality.CHARACTER_LANGUAGES)).select("lang", chars.alias("errors"), char_units.alias("units"))
+    by_word = pairs(t).where(F.col("lang").isin("en", "es")).select("lang", words.alias("errors"), units.alias("units"))
     names = F.create_map(*[F.lit(x) for kv in quality.METRIC_OF_LANGUAGE.items() for x in kv])
     rates = quality.micro_average(by_char.unionByName(by_word), ["lang"]).select(names[F.col("lang")].alias("metric"), "value")
     pooled = boundary_rows(t).agg(*[F.sum(c).alias(c) for c in ("matches", "predicted", "reference")])

@@ -50,7 +50,7 @@ def v_sentences(t) -> DataFrame:
             F.concat(acc["starts"], F.array(acc["next"])).alias("starts"),
         ),
     )["starts"]
-    placed = t.documents.select("doc_id", "lang", F.posexplode(F.arrays_zip(
+    placed = t.wide("documents", "doc_id").select("doc_id", "lang", F.posexplode(F.arrays_zip(
         parts.alias("text"), offsets.alias("start_ms"))))
     return placed.select(
         F.col("doc_id").alias("run_id"),

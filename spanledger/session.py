@@ -49,12 +49,15 @@ def stage_table(df: DataFrame) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's reliable checkpoint folder.
+    """Cut lineage: write the rows once to the shared folder and read them back.
 
-    The folder comes from ``spark.checkpoint.dir``. A temporary folder is used
-    only where that setting is missing, which is the case in tests.
+    A written table survives lost executors, is read by column, and has a known size,
+    so later joins can tell whether a side is small enough to broadcast.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return df.sparkSession.read.schema(df.schema).parquet(stage_table(df))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows before costly per-row work, whatever the input splits look like."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)

@@ -66,12 +66,12 @@ def first_eligible(tracks: DataFrame) -> DataFrame:
 
 
 _TIME = r"(?:(\d+):)?(\d{2}):(\d{2})[.](\d{3})"
-_TIMING = rf"(?m)^[ \t]*{_TIME}[ \t]+-->[ \t]+{_TIME}[^\n]*\n?"
+_TIMING = rf"(?m)^[ \t]*{_TIME}[ \t]+-->[ \t]+{_TIME}.*$"
 
 
-def _clock_ms(block: Column, first_group: int) -> Column:
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(block, _TIMING, first_group + i), F.lit("")), F.lit("0")).cast("bigint")
-    return ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3)
+def _clock_ms(stamp: Column) -> Column:
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(stamp, _TIME, i), F.lit("")), F.lit("0")).cast("bigint")
+    return ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)
 
 
 def parse_webvtt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,21 +86,24 @@ def parse_webvtt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = small.where("__ok").select(
         "file_id", "duration_ms", "stream_index", "language", F.posexplode(F.split("__text", r"\n[ \t]*\n\s*")).alias("pos", "block")
     ).where(F.col("block").rlike(_TIMING))
-    payload = F.regexp_replace(F.regexp_extract("block", rf"(?s){_TIMING}(.*)$", 9), "<[^>]*>", "")
-    rows = blocks.select(
+    timed = blocks.withColumn("__line", F.regexp_extract("block", _TIMING, 0))
+    after = F.locate("-->", F.col("block")) + F.length(F.substring_index("__line", "-->", -1)) + 3
+    payload = F.regexp_replace(F.substring(F.col("block"), after, F.length("block")), "<[^>]*>", "")
+    rows = timed.select(
         "file_id", "duration_ms", "stream_index", "language", "pos", caption_text(payload).alias("text"),
-        _clock_ms(F.col("block"), 1).alias("start_ms"), _clock_ms(F.col("block"), 5).alias("raw_end_ms"),
-    ).where("text IS NULL OR text <> ''")
+        _clock_ms(F.substring_index("__line", "-->", 1)).alias("start_ms"), _clock_ms(F.substring_index("__line", "-->", -1)).alias("raw_end_ms"),
+    )
     bad_time = (
         (F.col("start_ms") >= F.col("raw_end_ms")) | (F.col("start_ms") >= F.col("duration_ms"))
         | (F.col("raw_end_ms") > F.col("duration_ms") + OVERRUN_MS)
     )
-    rows = rows.withColumn("reason", F.when(F.col("text").isNull(), "VTT_INVALID")
+    rows = rows.withColumn("reason", F.when(F.col("text") == "", F.lit(None)).when(F.col("text").isNull(), "VTT_INVALID")
                            .when(F.length("text") > MAX_CUE_CHARS, "LIMIT_EXCEEDED").when(bad_time, "TIMELINE_INVALID"))
+    spoken = ~F.col("text").eqNullSafe("")
     facts = rows.groupBy("file_id").agg(
         F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason")))["reason"].alias("first_bad"),
-        F.count(F.lit(1)).alias("cues"), F.sum(F.length("text")).alias("chars"),
-        (F.max(F.least("raw_end_ms", "duration_ms")) - F.min("start_ms")).alias("span_ms"),
+        F.nullif(F.sum(F.when(spoken, 1).otherwise(0)), F.lit(0)).alias("cues"), F.sum(F.length("text")).alias("chars"),
+        (F.max(F.when(spoken, F.least("raw_end_ms", "duration_ms"))) - F.min(F.when(spoken, F.col("start_ms")))).alias("span_ms"),
     )
     status = headed.select("file_id", "duration_ms", "__ok", (F.octet_length("content") > MAX_FILE_BYTES).alias("__big")).join(
         facts, "file_id", "left"
@@ -116,5 +119,5 @@ def parse_webvtt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "file_id", stable_id("subtitle", file_id=F.col("file_id"), stream_index=F.col("stream_index"), start_ms=F.col("start_ms"),
                              end_ms=end, text=F.col("text")).alias("evidence_id"),
         "start_ms", end.alias("end_ms"), "text", "language", "stream_index",
-    )
+    ).where("text <> ''")
     return cues, status

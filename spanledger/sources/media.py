@@ -25,6 +25,12 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def stream_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Uploaded objects as they arrive."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).load(path)
+
+
 def ingest(objects: DataFrame, max_bytes: int) -> DataFrame:
     """Size, digest and header of each object, with EMPTY and TOO_LARGE as a status."""
     size = F.octet_length("content").cast("bigint")
