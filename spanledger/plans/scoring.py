@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanledger.functions.text import nfkc, normalize_text
-from spanledger.operators import history, lookups, matching, quality
+from spanledger.operators import history, lookups, matching, quality, segmentation
 from spanledger.operators.lookups import ordered_refs
 from spanledger.plans.catalog import query
 from spanledger.plans.views import sql_bytes_any, sql_bytes_lower, sql_norm
@@ -141,7 +141,8 @@ def _(t):
 @query("m10_transcript_text", """
 SELECT run_id, string_agg(text, ' ' ORDER BY start_ms, end_ms, evidence_id) AS transcript FROM v_transcript WHERE role = 'assistant' GROUP BY run_id""", "v_transcript")
 def _(t):
-    spoken = t.v_transcript.where("role = 'assistant'").withColumn("at", F.struct("start_ms", "end_ms", "evidence_id"))
+    admitted = segmentation.admit(t.v_transcript.withColumn("evidence_type", F.lit("ASR_SEGMENT")), t.v_runs)
+    spoken = admitted.where("role = 'assistant'").withColumn("at", F.struct("start_ms", "end_ms", "evidence_id"))
     return ordered_refs(spoken, RUN, "at", "text").select("run_id", F.array_join("values", " ").alias("transcript"))
 
 

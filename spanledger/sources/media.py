@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,24 +79,24 @@ def name_verdict(filename: Column, declared: Column, detected: Column, kind: str
     )
 
 
+# Fixed value: JPEG markers that open a frame header.
+JPEG_FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+
+
 def _jpeg_size(data: bytes) -> str | None:
     """``WxH`` from the first frame header of a JPEG."""
     at = 2
-    while at + 9 < len(data):
-        if data[at] != 0xFF:
-            at += 1
-            continue
-        marker, at = data[at + 1], at + 2
-        if marker in (0xD8, 0xD9):
-            continue
-        size = int.from_bytes(data[at:at + 2], "big")
-        if size < 2 or at + size > len(data):
+    while 0 <= (at := data.find(b"\xff", at)) < len(data) - 9:
+        kind, size = struct.unpack_from(">BH", data, at + 1)
+        if kind in (0xD8, 0xD9):
+            at += 2
+        elif size < 2 or at + 2 + size > len(data):
             return None
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            if size < 7:
-                return None
-            return f"{int.from_bytes(data[at + 5:at + 7], 'big')}x{int.from_bytes(data[at + 3:at + 5], 'big')}"
-        at += size
+        elif kind in JPEG_FRAMES:
+            high, wide = struct.unpack_from(">HH", data, at + 5)
+            return f"{wide}x{high}" if size >= 7 else None
+        else:
+            at += 2 + size
     return None
 
 
