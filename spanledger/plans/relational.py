@@ -418,7 +418,15 @@ def _(t):
     return out.select("run_id", "observation_id", "value_rank", "retained")
 
 
-@query("l8_first_fit")
+@query("l8_first_fit", """
+WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber || '_' || l_partkey AS id, list_distinct([l_suppkey % 5, l_partkey % 5]) AS fr,
+                            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber || '_' || l_partkey, l_suppkey % 5) AS rn FROM lineitem),
+w AS (SELECT l_orderkey, rn, fr AS frames, id AS ids FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.l_orderkey, o.rn, CASE WHEN len(list_distinct(list_concat(w.frames, o.fr))) <= 3 THEN list_distinct(list_concat(w.frames, o.fr)) ELSE w.frames END,
+             CASE WHEN len(list_distinct(list_concat(w.frames, o.fr))) <= 3 THEN w.ids || ',' || o.id ELSE w.ids END
+      FROM w JOIN o ON o.l_orderkey = w.l_orderkey AND o.rn = w.rn + 1)
+SELECT l_orderkey, ids AS observation_ids, array_to_string(list_sort(frames), ',') AS frame_ids FROM w QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY rn DESC) = 1""")
 def _(t):
     obs = t.lineitem.select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("ord"), F.concat_ws("_", "l_linenumber", "l_partkey").alias("observation_id"),
