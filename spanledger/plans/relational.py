@@ -674,11 +674,12 @@ def _(t):
 
 
 @query("a14_status_rollup", """
-SELECT job_id, CASE WHEN bool_or(status = 'FAILED') THEN 'FAIL' WHEN bool_or(status = 'PENDING') THEN 'NOT_RUN' ELSE 'PASS' END AS status FROM v_jobs WHERE value < 20 GROUP BY job_id""", "v_jobs")
+SELECT job_id * 40 + event_id // 500 AS run_id, CASE WHEN bool_or(status = 'FAILED') THEN 'FAIL' WHEN bool_or(status = 'PENDING') THEN 'NOT_RUN' ELSE 'PASS' END AS status FROM v_jobs GROUP BY ALL""", "v_jobs")
 def _(t):
     status = F.when(F.col("status") == "FAILED", "FAIL").when(F.col("status") == "PENDING", "NOT_RUN").otherwise("PASS")
-    rows = t.v_jobs.where("value < 20").select("job_id", status.alias("verdict"))
-    return rows.groupBy("job_id").agg(history.worst_status("verdict").alias("status"))
+    run = F.col("job_id") * 40 + F.floor(F.col("event_id") / 500)
+    rows = t.v_jobs.select(run.alias("run_id"), status.alias("verdict"))
+    return rows.groupBy("run_id").agg(history.worst_status("verdict").alias("status"))
 
 
 @query("a15_first_seen_warnings", """

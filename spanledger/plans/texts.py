@@ -29,11 +29,11 @@ def _(t):
 
 
 @query("f3_safe_titles", r"""
-WITH s AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE substring(html, 16, 400) END AS title, regexp_extract(url, '[^/]*$') AS file FROM pages),
+WITH s AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE html END AS title, regexp_extract(url, '[^/]*$') AS file FROM pages),
 c AS (SELECT page_id, CASE WHEN trim(title) <> '' THEN trim(title) ELSE regexp_replace(file, '^(.+)\.[^.]*$', '\1') END AS x FROM s)
 SELECT page_id, nullif(rtrim(substring(trim(regexp_replace(regexp_replace(x, '[\pC/\\]', ' ', 'g'), '\s+', ' ', 'g')), 1, 200)), '') AS title FROM c""")
 def _(t):
-    explicit = F.when(F.col("page_id") % 3 == 0, F.lit("  ")).otherwise(F.substring("html", 16, 400))
+    explicit = F.when(F.col("page_id") % 3 == 0, F.lit("  ")).otherwise(F.col("html"))
     return t.pages.select("page_id", text.safe_title(explicit, F.col("url")).alias("title"))
 
 
@@ -44,10 +44,10 @@ def _(t):
 
 
 @query("f5_quote_match", r"""
-WITH q AS (SELECT run_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN substring(reference, 5, 40) ELSE hypothesis END, '[\s\pP]', '', 'g') AS a, regexp_replace(reference, '[\s\pP]', '', 'g') AS b FROM v_pairs)
+WITH q AS (SELECT run_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN string_split(reference, chr(10))[-1] ELSE hypothesis END, '[\s\pP]', '', 'g') AS a, regexp_replace(reference, '[\s\pP]', '', 'g') AS b FROM v_pairs)
 SELECT run_id, turn, a <> '' AND contains(b, a) AS verbatim FROM q""", "v_pairs")
 def _(t):
-    quote = F.when(F.col("turn") % 2 == 0, F.substring("reference", 5, 40)).otherwise(F.col("hypothesis"))
+    quote = F.when(F.col("turn") % 2 == 0, F.element_at(F.split("reference", "\n"), -1)).otherwise(F.col("hypothesis"))
     return t.v_pairs.select("run_id", "turn", compose.quote_matches(quote, F.col("reference")).alias("verbatim"))
 
 
