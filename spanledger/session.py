@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: str | None = None
-
-
 def build_session(app_name: str = "spanledger", cores: str | int = 8) -> SparkSession:
     """Local session for tests and benches; clusters bring their own session."""
     cores = os.environ.get("BENCH_CPUS", str(cores))
@@ -31,14 +28,19 @@ def build_session(app_name: str = "spanledger", cores: str | int = 8) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is configured."""
+    """The folder every executor can reach, from ``spark.checkpoint.dir``.
+
+    A single-process session has one disk, so a folder is made and set where none is
+    configured; a cluster must name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    global _FALLBACK
-    if _FALLBACK is None:
-        _FALLBACK = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _FALLBACK
+    if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def stage_table(df: DataFrame) -> str:
