@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from spanledger.llm.sampling import bounded_sample, remainder
 
@@ -190,20 +191,18 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_label: int = 800,
     return train(samples, (counts[0], counts[1]) if len(counts) == 2 else None)
 
 
-def score_quality(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score`` and ``quality_kept`` over whole texts.
+def score_quality(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """(row, quality_score, quality_kept) of every row over its whole text; ``row`` holds all its columns, whatever they are called.
 
     A null or empty text has no window and gets the score of an empty text. Without a model (no labelled row) the score is 0.5.
     """
-    docs_columns = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("binary").alias("bytes"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(network.taps) if network else None
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(batch.num_columns - 1)]
+            texts = [x.as_py() or b"" for x in batch.column(1)]
             scores = score_texts(network, texts, pairs) if network else np.full(len(texts), 0.5)
-            names = [*docs_columns, "quality_score", "quality_kept"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array(scores >= threshold)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(scores >= threshold)], ["row", "quality_score", "quality_kept"])
 
-    return docs.select("*", F.col(text_col).cast("binary").alias("_bytes")).mapInArrow(run, f"{fields}, quality_score double, quality_kept boolean")
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("quality_score", DoubleType()), StructField("quality_kept", BooleanType())]))

@@ -55,14 +55,14 @@ def op7_repeated_units(spark: SparkSession, folder: str) -> DataFrame:
     kept = units.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.stop.cast("string"))), ",")
     removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start)
-    return kept.select("doc_id", "text", removed.alias("removed_chars"), spans.alias("removed_spans"))
+    return kept.select("row.doc_id", "text", removed.alias("removed_chars"), spans.alias("removed_spans"))
 
 
 def op8_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     network = quality_cnn.fit_quality_model(docs, _table(spark, folder, "labels"))
     scored = quality_cnn.score_quality(docs, network)
-    return scored.select("doc_id", _held_out(5, 0), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
+    return scored.select("row.doc_id", "quality_score", "quality_kept").select("doc_id", _held_out(5, 0), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
 def op9_piece_dropout(spark: SparkSession, folder: str) -> DataFrame:

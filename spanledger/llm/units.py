@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from spanledger.session import checkpoint
 
@@ -41,7 +42,9 @@ def digests(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[byte
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_id": F.col(id_col), "_text": F.col(text_col), "_hash": F.xxhash64(F.col(text_col))})
+    """Rows packed into one column, so that no name of theirs can clash, beside id, text and text hash."""
+    packed = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return docs.select(packed, docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_hash"))
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,7 +85,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``; repeated units are cut from the text and ``removed`` keeps their original offsets.
+    """(row, text, removed) of every row of ``docs``: the row as it was, its text without repeated units, and what was cut.
 
     Units are sentences within lines, compared after case folding and without punctuation and white space; those of
     fewer than ``min_words`` words stay. The earliest occurrence over all documents is kept, also within one document.
@@ -91,30 +94,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     places = repeated_units(docs, id_col, text_col, min_words).select(F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), "places")
     keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(places, keyed["_id"].eqNullSafe(F.col("_rid")) & (keyed["_hash"] == F.col("_rhash")), "left")
-    names = [c for c in docs.columns if c != text_col]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names, text_col).schema)
+    joined = keyed.join(places, keyed["_id"].eqNullSafe(F.col("_rid")) & (keyed["_hash"] == F.col("_rhash")), "left").select("row", "_text", "places")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             texts, removed = [], []
-            for text, gone in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-                text, gone = text.as_py(), gone.as_py()
-                cut, kept, at = [], [], 0
-                if gone:
-                    units = unit_spans(text)
-                    for place in gone:
-                        start, stop = units[place]
-                        kept.append(text[at:start])
-                        at = stop
-                        if cut and cut[-1]["stop"] == start:
-                            cut[-1]["stop"] = stop
-                        else:
-                            cut.append({"start": start, "stop": stop})
-                texts.append("".join([*kept, text[at:]]) if gone else text)
+            for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+                text, cut = _without(text.as_py(), gone.as_py() or [])
+                texts.append(text)
                 removed.append(cut)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array(removed, spans)], [*names, text_col, "removed"])
-
-    out = joined.select(*[keyed[n] for n in names], keyed[text_col], "places").mapInArrow(run, f"{fields}, removed array<struct<start:int,stop:int>>")
-    return out.select(*docs.columns, "removed")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, spans)], ["row", "text", "removed"])
+
+    span = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
+    return joined.mapInArrow(run, StructType([joined.schema["row"], StructField("text", StringType()), StructField("removed", span)]))
+
+
+def _without(text: str | None, gone: list[int]) -> tuple[str | None, list[dict]]:
+    """A text without the units at ``gone`` (in order), and their spans."""
+    if not text or not gone:
+        return text, []
+    spans, cut, kept, at = unit_spans(text), [], [], 0
+    for place in gone:
+        start, stop = spans[place]
+        kept.append(text[at:start])
+        at = stop
+        if cut and cut[-1]["stop"] == start:
+            cut[-1]["stop"] = stop
+        else:
+            cut.append({"start": start, "stop": stop})
+    return "".join([*kept, text[at:]]), cut
