@@ -59,12 +59,12 @@ def _(t):
 
 
 @query("f7_clean_markers", r"""
-WITH m AS (SELECT doc_id, replace(text, '. ', '  [asr_' || doc_id || 'abc] . subtitle_x-1y ') AS x FROM documents),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\\?\[\s*(?:asr|subtitle)_[A-Za-z0-9_-]{3,}\s*\\?\]', '', 'gi'), '(?:asr|subtitle)_[A-Za-z0-9_-]{3,}', '', 'gi') AS x FROM m)
+WITH m AS (SELECT doc_id, replace(replace(text, '. ', '  [asr_' || doc_id || 'abc] . subtitle_x-1y '), ', ', ' asr[asr_abc]_xyz, ') AS x FROM documents),
+c AS (SELECT doc_id, regexp_replace(x, '\\?\[\s*(?:asr|subtitle)_[A-Za-z0-9_-]{3,}\s*\\?\]|(?:asr|subtitle)_[A-Za-z0-9_-]{3,}', '', 'gi') AS x FROM m)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]{2,}', ' ', 'g'), ' +([，。；：、,.!?！？])', '\1', 'g'), '^\s+|\s+$', '', 'g') AS text FROM c""")
 def _(t):
     marker = F.concat(F.lit("  [asr_"), F.col("doc_id"), F.lit("abc] . subtitle_x-1y "))
-    return t.documents.select("doc_id", text.clean_markers(F.replace(F.col("text"), F.lit(". "), marker)).alias("text"))
+    return t.documents.select("doc_id", text.clean_markers(F.replace(F.replace(F.col("text"), F.lit(". "), marker), F.lit(", "), F.lit(" asr[asr_abc]_xyz, "))).alias("text"))
 
 
 @query("f8_markdown_escape", r"""
