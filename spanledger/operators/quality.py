@@ -92,14 +92,20 @@ def fact_scores(facts: DataFrame, keys: list[str]) -> DataFrame:
     return total.select(*keys, share("ps", "p").alias("support_rate"), share("kps", "k").alias("key_fact_recall"))
 
 
-def closure_rate(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """Claims whose references all exist (1.0 without claims)."""
+def closure_rate(claims: DataFrame, refs: DataFrame, known: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Share of claims that have references, all of which exist (1.0 without claims).
+
+    ``claims`` (``claim_id``) and ``refs`` (``claim_id``, ``ref``) come apart, so a claim without a reference counts as open.
+    With ``results`` (``has_result``, one row per planned run) the rate is 0.0 when there is none or a run has no result.
+    """
     marked = refs.join(known.select("ref").distinct().withColumn("known", F.lit(True)), "ref", "left")
-    claims = marked.groupBy("claim_id").agg(F.min(F.coalesce("known", F.lit(False))).alias("closed"))
-    closed = F.sum(F.when(F.col("closed"), 1).otherwise(0))
-    n = F.count(F.lit(1))
-    return claims.agg(n.alias("claims"), F.coalesce(closed, F.lit(0)).alias("closed"), F.round(
-        F.when(n == 0, 1.0).otherwise(closed / n), 9).alias("rate"))
+    held = marked.groupBy("claim_id").agg(F.min(F.coalesce("known", F.lit(False))).alias("closed"))
+    n, closed = F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.col("closed"), F.lit(False)).cast("bigint")), F.lit(0).cast("bigint"))
+    rate = claims.join(held, "claim_id", "left").agg(n.alias("claims"), closed.alias("closed"), F.when(n == 0, 1.0).otherwise(F.round(F.try_divide(closed, n), 9)).alias("rate"))
+    if results is None:
+        return rate
+    whole = results.agg(F.coalesce(F.min(F.coalesce("has_result", F.lit(False))), F.lit(False)).alias("whole"))
+    return rate.join(whole, F.lit(1) == F.lit(1)).select("claims", "closed", F.when(F.col("whole"), F.col("rate")).otherwise(0.0).alias("rate"))
 
 
 def rubric_means(judged: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,12 +116,16 @@ def rubric_means(judged: DataFrame, keys: list[str]) -> DataFrame:
         verdict("DUPLICATES").alias("visual_duplicate_rate"))
 
 
-def visual_accuracy(cases: DataFrame) -> DataFrame:
-    """Accuracy and key-field recall over all cases, only when every case succeeded."""
-    whole = F.min("succeeded")
-    return cases.agg(
-        F.when(whole, F.round(F.greatest(F.lit(0.0), 1.0 - F.sum("errors") / F.sum("units")), 9)).alias("visual_text_accuracy"),
-        F.when(whole, F.round(F.sum("hits") / F.sum("fields"), 9)).alias("visual_key_field_recall"))
+def visual_accuracy(cases: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Accuracy and key-field recall over all cases; null with a reason unless every case succeeded and there is something to count."""
+    sums = cases.groupBy(*keys).agg(
+        F.coalesce(F.min("succeeded"), F.lit(False)).alias("ok"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("errors", "units", "hits", "fields")])
+    accuracy = F.greatest(F.lit(0.0), 1.0 - F.try_divide("errors", "units"))
+    reason = lambda column, name: F.when(~F.col("ok"), "CASES_NOT_READY").when(F.col(column) == 0, name).otherwise("")
+    return sums.select(
+        *keys, F.when(F.col("ok") & (F.col("units") > 0), F.round(accuracy, 9)).alias("visual_text_accuracy"),
+        F.when(F.col("ok"), F.round(F.try_divide("hits", "fields"), 9)).alias("visual_key_field_recall"),
+        reason("units", "NO_REFERENCE_TEXT").alias("text_reason"), reason("fields", "NO_KEY_FIELDS").alias("key_reason"))
 
 
 def language_coverage(samples: DataFrame, minimum: int = 6) -> DataFrame:
@@ -174,10 +184,17 @@ def resolution_decision(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def report_status(planned: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """Status of a report over its planned cases; a planned case without a result is INCOMPLETE."""
-    rows = planned.join(results, "case_id", "left")
-    n, missing = F.count(F.lit(1)), F.sum(F.when(F.col("case_status").isNull(), 1).otherwise(0))
+    """Status of a report over its planned cases.
+
+    A planned case without a result makes it INCOMPLETE; a result that was never planned, or a second one for a case, makes it REFUSED.
+    Both tables have ``keys`` and ``case_id``.
+    """
+    per_case = results.groupBy(*keys, "case_id").agg(F.count(F.lit(1)).alias("times"), F.min("case_status").alias("case_status"))
+    rows = planned.select(*keys, "case_id").withColumn("planned", F.lit(1)).join(per_case, [*keys, "case_id"], "full")
+    count = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
+    n, missing = F.count("planned"), count(F.col("times").isNull())
+    refused = count(F.col("planned").isNull() | (F.col("times") > 1))
     only_waiting = F.min(F.coalesce(F.col("case_status") == "NOT_RUN", F.lit(False)))
     failed = F.max(F.coalesce(F.col("case_status").isin("FAIL", "NOT_RUN"), F.lit(False)))
-    status = F.when(missing > 0, "INCOMPLETE").when(only_waiting, "NOT_RUN").when(failed, "FAIL").otherwise("SUCCEEDED")
-    return rows.groupBy(*keys).agg(n.alias("planned"), missing.alias("missing"), status.alias("status"))
+    status = F.when(refused > 0, "REFUSED").when(missing > 0, "INCOMPLETE").when(only_waiting, "NOT_RUN").when(failed, "FAIL").otherwise("SUCCEEDED")
+    return rows.groupBy(*keys).agg(n.alias("planned"), missing.alias("missing"), refused.alias("refused"), status.alias("status"))

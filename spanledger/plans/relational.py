@@ -391,9 +391,27 @@ def order_frames(t):
     ).withColumn("frame_id", F.col("l_suppkey"))
 
 
-@query("l6_coverage_trim")
-def _(t):
-    out = selection.trim_frames(order_frames(t), ["l_orderkey"], 3, 90_000)
+@query("l6_coverage_trim", """
+WITH RECURSIVE fr AS (
+  SELECT l_orderkey, l_suppkey AS frame_id, min(l_linenumber) AS ord, sum(CAST(l_quantity AS BIGINT) * 1000) AS size, list_distinct([min(l_partkey) % 3, max(l_partkey) % 3]) AS t FROM lineitem GROUP BY ALL),
+fl AS (SELECT l_orderkey, list({'ord': ord, 'id': frame_id, 'size': size, 't': t} ORDER BY ord, frame_id) AS f FROM fr WHERE size <= 48000 GROUP BY l_orderkey),
+tg AS (SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [0] WHEN o_orderkey % 3 = 1 THEN [0, 1] ELSE [2] END AS req FROM orders),
+walk AS (
+  SELECT l_orderkey, req, f, f AS kept, len(f) AS i FROM tg JOIN fl USING (l_orderkey)
+  UNION ALL
+  SELECT l_orderkey, req, f, CASE WHEN (len(kept) > 2 OR list_sum(list_transform(kept, lambda x: x.size)) > 90000)
+      AND len(list_filter(req, lambda r: NOT list_contains(flatten(list_transform(list_filter(kept, lambda x: x.ord <> f[i].ord), lambda x: x.t)), r))) = 0
+    THEN list_filter(kept, lambda x: x.ord <> f[i].ord) ELSE kept END, i - 1 FROM walk WHERE i > 0),
+done AS (SELECT * FROM walk WHERE i = 0)
+SELECT tg.l_orderkey, array_to_string(list_transform(kept, lambda x: x.id), ',') AS frame_ids, CASE WHEN kept IS NULL THEN 'NO_ADMITTED_FRAME'
+  WHEN len(list_filter(done.req, lambda r: NOT list_contains(flatten(list_transform(kept, lambda x: x.t)), r))) > 0 THEN 'TARGET_NOT_COVERED'
+  WHEN len(kept) > 3 OR list_sum(list_transform(kept, lambda x: x.size)) > 90000 THEN 'NO_REMOVABLE_FRAME' ELSE '' END AS reason
+FROM tg LEFT JOIN done USING (l_orderkey)""")
+def _(t):
+    targets = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(
+        F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit(0))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))).cast("array<bigint>")
+    ).alias("target_id"))
+    out = selection.trim_frames(order_frames(t), targets, ["l_orderkey"], 2, 90_000, 48_000, escalate=True)
     return out.withColumn("frame_ids", F.array_join(F.transform("frame_ids", lambda x: x.cast("string")), ","))
 
 
@@ -603,13 +621,15 @@ def _(t):
 
 
 @query("a7_claim_closure_rate", """
-WITH c AS (SELECT l_orderkey, bool_and(c_custkey IS NOT NULL) AS closed FROM lineitem LEFT JOIN customer ON c_custkey = l_partkey GROUP BY l_orderkey)
+WITH r AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 12),
+c AS (SELECT o_orderkey, count(l_orderkey) > 0 AND count(*) = count(c_custkey) AS closed FROM orders LEFT JOIN r ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = l_partkey GROUP BY o_orderkey)
 SELECT count(*) AS claims, count(*) FILTER (WHERE closed) AS closed, round(count(*) FILTER (WHERE closed) / count(*), 9) AS rate FROM c""")
 def _(t):
     from spanledger.operators.quality import closure_rate
 
-    refs = t.lineitem.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("ref"))
-    return closure_rate(refs, t.customer.select(F.col("c_custkey").alias("ref")))
+    claims = t.orders.select(F.col("o_orderkey").alias("claim_id"))
+    refs = t.lineitem.where("l_quantity > 12").select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("ref"))
+    return closure_rate(claims, refs, t.customer.select(F.col("c_custkey").alias("ref")))
 
 
 @query("a8_rubric_means", """
@@ -626,15 +646,21 @@ def _(t):
 
 
 @query("a9_visual_accuracy", """
-WITH c AS (SELECT sample_id, count(*) AS units, sum(1 - supported) AS errors, sum(is_key) AS fields, sum(is_key * supported) AS hits FROM v_facts GROUP BY 1)
-SELECT round(greatest(0.0, 1.0 - sum(errors) / sum(units)), 9) AS visual_text_accuracy, round(sum(hits) / sum(fields), 9) AS visual_key_field_recall FROM c""", "v_facts")
+WITH c AS (SELECT sample_id % 5 AS grp, CASE WHEN sample_id % 5 = 0 THEN 0 ELSE count(*) END AS units, sum(1 - supported) AS errors, CASE WHEN sample_id % 5 = 3 THEN 0 ELSE sum(is_key) END AS fields,
+       sum(is_key * supported) AS hits, sample_id % 5 <> 1 OR sample_id % 7 <> 0 AS ok FROM v_facts GROUP BY sample_id),
+g AS (SELECT grp, bool_and(ok) AS ok, sum(units) AS units, sum(errors) AS errors, sum(fields) AS fields, sum(hits) AS hits FROM c GROUP BY grp)
+SELECT grp, CASE WHEN ok AND units > 0 THEN round(greatest(0.0, 1.0 - errors / units), 9) END AS visual_text_accuracy, CASE WHEN ok AND fields > 0 THEN round(hits / fields, 9) END AS visual_key_field_recall,
+       CASE WHEN NOT ok THEN 'CASES_NOT_READY' WHEN units = 0 THEN 'NO_REFERENCE_TEXT' ELSE '' END AS text_reason, CASE WHEN NOT ok THEN 'CASES_NOT_READY' WHEN fields = 0 THEN 'NO_KEY_FIELDS' ELSE '' END AS key_reason FROM g""", "v_facts")
 def _(t):
     from spanledger.operators.quality import visual_accuracy
 
+    group = F.col("sample_id") % 5
     cases = t.v_facts.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("units"), F.sum(1 - F.col("supported")).alias("errors"), F.sum("is_key").alias("fields"),
-        F.sum(F.col("is_key") * F.col("supported")).alias("hits")).withColumn("succeeded", F.lit(True))
-    return visual_accuracy(cases)
+        F.count(F.lit(1)).alias("units"), F.sum(1 - F.col("supported")).alias("errors"), F.sum("is_key").alias("fields"), F.sum(F.col("is_key") * F.col("supported")).alias("hits"))
+    cases = cases.select(
+        group.alias("grp"), F.when(group == 0, 0).otherwise(F.col("units")).alias("units"), "errors", F.when(group == 3, 0).otherwise(F.col("fields")).alias("fields"), "hits",
+        ((group != 1) | (F.col("sample_id") % 7 != 0)).alias("succeeded"))
+    return visual_accuracy(cases, ["grp"])
 
 
 @query("a10_language_coverage", """

@@ -239,14 +239,18 @@ def _(t):
 
 
 @query("m15_visual_report_status", """
-WITH p AS (SELECT o_orderkey AS case_id, o_orderpriority AS report FROM orders), r AS (SELECT l_orderkey AS case_id, CASE WHEN max(l_quantity) < 10 THEN 'FAIL' WHEN min(l_quantity) > 45 THEN 'NOT_RUN' ELSE 'SUCCEEDED' END AS s FROM lineitem GROUP BY 1)
-SELECT report, count(*) AS planned, count(*) FILTER (WHERE s IS NULL) AS missing, CASE WHEN count(*) FILTER (WHERE s IS NULL) > 0 THEN 'INCOMPLETE' WHEN bool_and(s = 'NOT_RUN') THEN 'NOT_RUN'
-   WHEN bool_or(s IN ('FAIL', 'NOT_RUN')) THEN 'FAIL' ELSE 'SUCCEEDED' END AS status FROM p LEFT JOIN r USING (case_id) GROUP BY report""")
+WITH p AS (SELECT o_orderkey AS case_id, o_custkey AS report FROM orders WHERE o_orderkey % 11 <> 0),
+r AS (SELECT l_orderkey AS case_id, CASE WHEN max(l_quantity) < 10 THEN 'FAIL' WHEN min(l_quantity) > 45 THEN 'NOT_RUN' ELSE 'SUCCEEDED' END AS s, o_custkey AS report FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 2 GROUP BY ALL),
+j AS (SELECT coalesce(p.report, r.report) AS report, p.case_id AS pc, r.case_id AS rc, s FROM p FULL JOIN r ON p.case_id = r.case_id)
+SELECT report, count(pc) AS planned, count(*) FILTER (WHERE rc IS NULL) AS missing, count(*) FILTER (WHERE pc IS NULL) AS refused,
+   CASE WHEN count(*) FILTER (WHERE pc IS NULL) > 0 THEN 'REFUSED' WHEN count(*) FILTER (WHERE rc IS NULL) > 0 THEN 'INCOMPLETE' WHEN bool_and(s = 'NOT_RUN') THEN 'NOT_RUN'
+   WHEN bool_or(s IN ('FAIL', 'NOT_RUN')) THEN 'FAIL' ELSE 'SUCCEEDED' END AS status FROM j GROUP BY report""")
 def _(t):
-    planned = t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("report"))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.max("l_quantity").alias("hi"), F.min("l_quantity").alias("lo"))
-    results = lines.select("case_id", F.when(F.col("hi") < 10, "FAIL").when(F.col("lo") > 45, "NOT_RUN").otherwise("SUCCEEDED").alias("case_status"))
-    return quality.report_status(planned, results, ["report"])
+    owner = t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("report"))
+    lines = t.lineitem.where("l_quantity > 2").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.max("l_quantity").alias("hi"), F.min("l_quantity").alias("lo"))
+    status = F.when(F.col("hi") < 10, "FAIL").when(F.col("lo") > 45, "NOT_RUN").otherwise("SUCCEEDED")
+    results = lines.join(owner, "case_id").select("report", "case_id", status.alias("case_status"))
+    return quality.report_status(owner.where("case_id % 11 <> 0"), results, ["report"])
 
 
 @query("m16_resolution_decision", """
@@ -270,9 +274,9 @@ def _(t):
     coverage = runs.join(broken, "run_id", "left").agg(
         F.lit("chapter_coverage").alias("metric"), (covered / F.sum("duration_ms")).alias("value"))
     rows, paragraphs = written(t)
-    refs = rows.select("run_id", "chapter_index", F.explode("claims").alias("c")).select(
-        F.concat_ws("_", "run_id", "chapter_index").alias("claim_id"), F.explode("c.evidence_refs").alias("ref"))
-    closure = quality.closure_rate(refs, t.v_transcript.select(F.col("evidence_id").alias("ref"))).select(F.lit("claim_evidence_rate").alias("metric"), F.col("rate").alias("value"))
+    claims = rows.select("run_id", "chapter_index", F.posexplode("claims").alias("k", "c")).select(F.concat_ws("_", "run_id", "chapter_index", "k").alias("claim_id"), "c.evidence_refs")
+    refs = claims.select("claim_id", F.explode("evidence_refs").alias("ref"))
+    closure = quality.closure_rate(claims.select("claim_id"), refs, t.v_transcript.select(F.col("evidence_id").alias("ref"))).select(F.lit("claim_evidence_rate").alias("metric"), F.col("rate").alias("value"))
     stored = checkpoint(rendered(t, rows, paragraphs).select("run_id", F.sha2("content", 256).alias("stored")))
     again = rendered(t, rows, paragraphs).select("run_id", F.sha2("content", 256).alias("digest"))
     same = again.join(stored, "run_id").agg(F.lit("markdown_consistency").alias("metric"), F.min(F.when(F.col("digest") == F.col("stored"), 1.0).otherwise(0.0)).alias("value"))

@@ -60,7 +60,7 @@ def _(t):
 WITH f AS (SELECT event_id, props, first_value(props) OVER w AS stored, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))
 SELECT event_id AS request_id, CASE WHEN rn = 1 THEN 'NEW' WHEN props = stored THEN 'REUSED' ELSE 'CONFLICT' END AS outcome FROM f""")
 def _(t):
-    return st.run_available(st.flag_conflicts(request_stream(t)))
+    return st.flag_conflicts(request_stream(t))
 
 
 @query("str5_expired_leases", """

@@ -81,20 +81,34 @@ def first_requests(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def flag_conflicts(requests: DataFrame) -> DataFrame:
-    """NEW, REUSED or CONFLICT per request; the first payload of a key is its state."""
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = state.get[0] if state.exists else None
-        for batch in batches:
-            batch = batch.sort_values(["ts", "request_id"])
-            outcome = []
-            for payload in batch.payload:
-                outcome.append("NEW" if stored is None else "REUSED" if payload == stored else "CONFLICT")
-                stored = payload if stored is None else stored
-            yield pd.DataFrame({"request_id": batch.request_id, "outcome": outcome})
-        state.update((stored,))
-
-    return requests.groupBy("scope", "key").applyInPandasWithState(
-        judge, "request_id bigint, outcome string", "payload string", "append", GroupStateTimeout.NoTimeout)
+    """NEW, REUSED or CONFLICT per request, run over everything available.
+
+    The payload of a key is that of its earliest request (ts, request_id) in the first micro-batch that has the key; later
+    batches are judged against it, whatever their timestamps. Payloads are aggregated and joined as
+    columns, so a key of any size is no single task's work, and a batch that is repeated replaces what it wrote.
+    """
+    spark = requests.sparkSession
+    base = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    stored_schema = f"scope {kinds['scope']}, key {kinds['key']}, payload {kinds['payload']}, request_id {kinds['request_id']}, batch int"
+
+    def judge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("scope", "key", "payload", "request_id", "ts")
+        first = rows.groupBy("scope", "key").agg(F.min_by(F.struct("payload", "request_id"), F.struct("ts", "request_id")).alias("f"))
+        first = first.select("scope", "key", "f.payload", "f.request_id")
+        same = lambda a, b: a["scope"].eqNullSafe(b["scope"]) & a["key"].eqNullSafe(b["key"])
+        if number:
+            stored = spark.read.schema(stored_schema).parquet(f"{base}/first").where(F.col("batch") < number).drop("batch")
+            first = first.join(stored, same(first, stored), "left_anti")
+        first.write.mode("overwrite").parquet(f"{base}/first/batch={number}")
+        known = spark.read.schema(stored_schema).parquet(f"{base}/first").where(F.col("batch") <= number)
+        judged = rows.join(known, same(rows, known)).select(rows["request_id"], F.when(
+            (known["batch"] == number) & (known["request_id"] == rows["request_id"]), "NEW").when(known["payload"].eqNullSafe(rows["payload"]), "REUSED").otherwise("CONFLICT").alias("outcome"))
+        judged.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    job = requests.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(judge).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(f"request_id {kinds['request_id']}, outcome string").parquet(f"{base}/out").drop("batch")
 
 
 def expired_leases(log: DataFrame, watermark: str = "0 seconds") -> DataFrame:

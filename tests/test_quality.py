@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanledger.functions import payload
+from spanledger.functions import payload, text
 from spanledger.operators import matching, quality, selection
 
 
@@ -132,3 +132,55 @@ def test_json_recovery(spark, text, want):
 def test_message_text(spark, body, want):
     assert payload.message_text(body) == want
     assert spark.createDataFrame([(body,)], "t string").select(payload.response_text(F.col("t")).alias("r")).collect()[0].r == want
+
+
+def test_claims_without_references_stay_open(spark):
+    claims = spark.createDataFrame([(1,), (2,)], "claim_id int")
+    refs, known = spark.createDataFrame([(1, "a")], "claim_id int, ref string"), spark.createDataFrame([("a",)], "ref string")
+    assert quality.closure_rate(claims, refs, known).first().rate == 0.5
+    assert quality.closure_rate(claims.limit(0), refs.limit(0), known).first().rate == 1.0
+    missing = spark.createDataFrame([(True,), (False,)], "has_result boolean")
+    assert quality.closure_rate(claims, refs, known, missing).first().rate == 0.0
+    assert quality.closure_rate(claims, refs, known, missing.limit(0)).first().rate == 0.0
+
+
+def test_visual_accuracy_without_units(spark):
+    cases = spark.createDataFrame([(0, 0, 0, 0, True)], "units int, errors int, fields int, hits int, succeeded boolean")
+    row = quality.visual_accuracy(cases).first()
+    assert (row.visual_text_accuracy, row.visual_key_field_recall, row.text_reason, row.key_reason) == (None, None, "NO_REFERENCE_TEXT", "NO_KEY_FIELDS")
+    assert quality.visual_accuracy(cases.limit(0)).first().text_reason == "CASES_NOT_READY"
+
+
+def test_unplanned_results_are_refused(spark):
+    planned = spark.createDataFrame([("r", 1), ("s", 1), ("u", 1)], "report string, case_id int")
+    results = spark.createDataFrame([("r", 1, "SUCCEEDED"), ("r", 9, "SUCCEEDED"), ("s", 1, "SUCCEEDED"), ("u", 1, "FAIL"), ("u", 1, "SUCCEEDED")], "report string, case_id int, case_status string")
+    got = {r.report: r.status for r in quality.report_status(planned, results, ["report"]).collect()}
+    assert got == {"r": "REFUSED", "s": "SUCCEEDED", "u": "REFUSED"}
+
+
+def test_required_targets_are_reported(spark):
+    frames = spark.createDataFrame([(1, 1, 10, 5, [1]), (1, 2, 11, 5, [1]), (1, 3, 12, 5, [2]), (2, 1, 20, 5, [1]), (3, 1, 30, 500, [1])], "k int, ord int, frame_id int, size_bytes long, target_ids array<int>")
+    targets = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 7), (3, 1), (4, 1)], "k int, target_id int")
+    got = {r.k: (r.frame_ids, r.reason) for r in selection.trim_frames(frames, targets, ["k"], 2, 100, 100).collect()}
+    assert got == {1: ([10, 12], ""), 2: ([20], "TARGET_NOT_COVERED"), 3: (None, "NO_ADMITTED_FRAME"), 4: (None, "NO_ADMITTED_FRAME")}
+
+
+def test_markers_go_in_one_pass(spark):
+    row = spark.createDataFrame([("asr[asr_abc]_xyz",)], "t string").select(text.clean_markers(F.col("t")).alias("c")).first()
+    assert row.c == "asr_xyz"
+
+
+def test_conflicts_judge_by_the_earliest_request(spark, tmp_path):
+    """25,000 requests of one key, latest first, in several batches: only the first batch's earliest is NEW."""
+    from spanledger.streaming import evidence
+
+    rows = spark.range(25_000).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id")).alias("ts"), F.col("id").alias("request_id"), F.lit("s").alias("scope"), F.lit("k").alias("key"),
+        F.when(F.col("id") == 24_999, "first").otherwise("other").alias("payload"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in" / "part=0"))
+    later = spark.createDataFrame([(30_000, "first"), (30_001, "other")], "request_id bigint, payload string")
+    later.select(F.timestamp_seconds(F.lit(0)).alias("ts"), "request_id", F.lit("s").alias("scope"), F.lit("k").alias("key"), "payload").coalesce(1).write.parquet(str(tmp_path / "in" / "part=1"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    got = {r.request_id: r.outcome for r in evidence.flag_conflicts(stream).collect()}
+    assert len(got) == 25_002 and got[24_999] == "NEW" and got[0] == "CONFLICT" and got[30_000] == "REUSED" and got[30_001] == "CONFLICT"
+    assert sum(o == "NEW" for o in got.values()) == 1
