@@ -114,7 +114,7 @@ def _long(network: Network, pairs: np.ndarray, text: bytes) -> np.ndarray:
     return np.concatenate((total / count, top))
 
 
-def train(samples: list[tuple[bytes, int]], rates: tuple[float, float] | None = None, epochs: int = 14, batch: int = 32, seed: int = 5) -> Network | None:
+def train(samples: list[tuple[bytes, int]], rates: tuple[float, float] | None = None, epochs: int = 14, batch: int = 32, least_steps: int = 500, seed: int = 5) -> Network | None:
     """Adam on the log loss; the gradient of a maximum goes to the one window that gave it.
 
     ``rates`` are the numbers of rows labelled 0 and 1 that the sample stands for; the intercept is moved
@@ -124,6 +124,7 @@ def train(samples: list[tuple[bytes, int]], rates: tuple[float, float] | None =
     if not labels:
         return None
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, -(-least_steps * batch // len(samples)))  # a small sample is gone over more often
     net = Network((rng.standard_normal((WIDTH, 256, FILTERS)) * 0.15).astype(np.float32), np.zeros(FILTERS, np.float32), (rng.standard_normal(2 * FILTERS) * 0.1).astype(np.float32), 0.0)
     params = [net.taps, net.bias, net.out, np.zeros(1, np.float32)]
     means, squares, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0

