@@ -1,9 +1,8 @@
 """Chapters: groups of base segments and their sampling points.
 
-A run has at most 20,000 base segments (``segment_budget`` lists the runs beyond
-that), so the per-run sequences below are bounded groups. What can be said with
-windows is said with windows; only the walk along precomputed jumps and the
-merging of short chapters are folds.
+Every run comes out whatever its number of segments; ``segment_budget`` lists the runs beyond the model's limit. Scans
+run over slices of the timeline, walks stream through sorted rows; only the joining of short chapters holds the
+chapter drafts of a run.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions.identity import stable_id
 from spanledger.functions.timing import midpoint
-from spanledger.operators.scan import UNBOUNDED_AFTER, UNBOUNDED_BEFORE, within_budget
+from spanledger.operators.scan import Scan, ordered_fold, ordered_scan, time_bucket
 
 # Fixed values of the planning rules.
 CHAPTER_MAX_MS = 300_000
@@ -24,6 +23,8 @@ TARGET_MS = {"fine": 120_000, "standard": 180_000, "coarse": 300_000}
 MINIMUM_MS = {"fine": 60_000, "standard": 60_000, "coarse": 120_000}
 MAX_SEGMENTS = 20_000
 MAX_TARGETS = 4
+#: Part of the timeline that one task scans.
+SLICE_MS = 900_000
 
 
 def segment_budget(segments: DataFrame, limit: int = MAX_SEGMENTS) -> DataFrame:
@@ -36,40 +37,29 @@ def group_near_target(segments: DataFrame, target_ms: int) -> DataFrame:
 
     From any segment the best group end is the last end short of the target or the
     first end past it, whichever is nearer and within the chapter limit. Both are
-    found for all segments by one window; the groups are then the segments reached
-    by following those ends from the first segment.
+    found for all segments by one sliced scan; the groups are then the segments that a walk
+    along those ends from the first segment meets.
     """
-    bounded = within_budget(segments, ["run_id"], MAX_SEGMENTS)
     none = F.lit(None).cast("bigint")
     goal = F.col("start_ms") + target_ms
-    tall = bounded.select("run_id", goal.alias("__at"), F.lit(0).alias("__kind"), none.alias("__end"), "start_ms", "end_ms").unionByName(
-        bounded.select("run_id", F.col("end_ms").alias("__at"), F.lit(1).alias("__kind"), F.col("end_ms").alias("__end")),
+    tall = segments.select("run_id", goal.alias("__at"), F.lit(0).alias("__kind"), none.alias("__end"), "start_ms", "end_ms").unionByName(
+        segments.select("run_id", F.col("end_ms").alias("__at"), F.lit(1).alias("__kind"), F.col("end_ms").alias("__end")),
         allowMissingColumns=True,
     )
-    w = Window.partitionBy("run_id").orderBy("__at", "__kind")
-    seen = tall.withColumn("__short", F.max("__end").over(w.rowsBetween(*UNBOUNDED_BEFORE))).withColumn(
-        "__past", F.min("__end").over(w.rowsBetween(*UNBOUNDED_AFTER))
-    ).where("__kind = 0")
+    seen = ordered_scan(tall, ["run_id"], ["__at", "__kind"], time_bucket("__at", SLICE_MS), [
+        Scan("__short", "max_before", "__end"), Scan("__past", "min_after", "__end")]).where("__kind = 0")
     short = F.greatest("__short", "end_ms")
     reachable = F.col("__past") - F.col("start_ms") <= CHAPTER_MAX_MS
     closer = F.abs(F.col("__past") - goal) < F.abs(short - goal)
     jump = F.when(reachable & closer & (F.col("end_ms") < goal), F.col("__past")).otherwise(short)
-    jumps = seen.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start_ms"), jump.alias("to_ms")))).alias("__jumps")
-    )
-    walked = F.aggregate(
-        "__jumps",
-        F.struct(F.element_at("__jumps", 1)["start_ms"].alias("at"), F.array().cast("array<bigint>").alias("heads")),
-        lambda acc, j: F.when(
-            j["start_ms"] == acc["at"],
-            F.struct(j["to_ms"].alias("at"), F.concat(acc["heads"], F.array(acc["at"])).alias("heads")),
-        ).otherwise(acc),
-    )["heads"]
-    heads = jumps.select("run_id", F.explode(walked).alias("start_ms")).withColumn("__head", F.col("start_ms"))
-    upto = Window.partitionBy("run_id").orderBy("start_ms")
-    return bounded.join(heads, ["run_id", "start_ms"], "left").withColumn(
-        "group_start", F.max("__head").over(upto)
-    ).drop("__head")
+
+    def step(state: tuple, start: int, to: int) -> tuple:
+        head, following = state or (start, start)
+        return ((start, to), start) if start == following else ((head, following), head)
+
+    jumps = seen.select("run_id", "start_ms", jump.alias("__to"))
+    walked = ordered_fold(jumps, ["run_id"], ["start_ms"], ["start_ms", "__to"], "group_start", tuple, step)
+    return segments.join(walked.drop("__to"), ["run_id", "start_ms"])
 
 
 def rule_chapters(segments: DataFrame, granularity: str = "standard") -> DataFrame:
@@ -105,17 +95,13 @@ def rule_chapters(segments: DataFrame, granularity: str = "standard") -> DataFra
 
 def minimum_chapters(segments: DataFrame, limit_ms: int = CHAPTER_MAX_MS) -> DataFrame:
     """Fewest chapters that can hold the segments in order, and the longest segment."""
-    lists = within_budget(segments, ["run_id"], MAX_SEGMENTS).groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("s"),
-        F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"),
-    )
-    packed = F.aggregate(
-        "s", F.struct(F.lit(1).cast("bigint").alias("n"), F.element_at("s", 1)["start_ms"].alias("head")),
-        lambda acc, x: F.when(x["end_ms"] - acc["head"] <= limit_ms, acc).otherwise(
-            F.struct((acc["n"] + 1).alias("n"), x["start_ms"].alias("head"))
-        ),
-    )
-    return lists.select("run_id", packed["n"].alias("minimum_chapters"), "longest_ms")
+    def step(state: tuple, start: int, end: int) -> tuple:
+        count, head = state or (1, start)
+        state = (count, head) if end - head <= limit_ms else (count + 1, start)
+        return state, state[0]
+
+    walked = ordered_fold(segments.select("run_id", "start_ms", "end_ms"), ["run_id"], ["start_ms", "end_ms"], ["start_ms", "end_ms"], "chapter", tuple, step)
+    return walked.groupBy("run_id").agg(F.max("chapter").alias("minimum_chapters"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
 
 
 DRAFT_SCHEMA = (
@@ -191,8 +177,7 @@ def _fold_drafts(drafts: DataFrame, fold) -> DataFrame:
         return pd.DataFrame(fold(rows), columns=frame.columns)
 
     columns = [c.split(" ")[0] for c in DRAFT_SCHEMA.split(", ")]
-    bounded = within_budget(drafts.select(*columns), ["run_id"], MAX_SEGMENTS)
-    return bounded.groupBy("run_id").applyInPandas(per_run, DRAFT_SCHEMA)
+    return drafts.select(*columns).groupBy("run_id").applyInPandas(per_run, DRAFT_SCHEMA)
 
 
 def merge_short_chapters(drafts: DataFrame, minimum_ms: int) -> DataFrame:
@@ -200,7 +185,7 @@ def merge_short_chapters(drafts: DataFrame, minimum_ms: int) -> DataFrame:
 
 
 def limit_chapters(drafts: DataFrame, maximum: int) -> DataFrame:
-    """At most ``maximum`` drafts per run; runs that cannot reach it keep more (see ``over_limit``)."""
+    """At most ``maximum`` drafts per run; runs that cannot reach it keep more."""
     return _fold_drafts(drafts, lambda rows: reduce_count(rows, maximum))
 
 

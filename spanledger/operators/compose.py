@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as tx
 from spanledger.functions.identity import stable_id
-from spanledger.operators.scan import Scan, ordered_scan, within_budget
+from spanledger.operators.scan import Scan, ordered_scan
 
 
 def observation_intervals(shown: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -290,12 +290,11 @@ def block_characters(block_type: Column, text: Column, items: Column) -> Column:
 def render_documents(titles: DataFrame, chapters: DataFrame, paragraphs: DataFrame, claims: DataFrame) -> DataFrame:
     """Markdown per run from a table of lines.
 
-    Every part contributes rows (section, chapter, part, position, line); one ordered
-    aggregation per run joins them. A run may hold 240 chapters of bounded text; runs with
-    more are refused by the chapter limit and are not rendered.
+    Every part contributes rows (section, chapter, part, position, line). The lines of each chapter become one string
+    first; a short ordered aggregation per run then joins chapter strings. Every run that has a
+    chapter is rendered, also beyond the model's 240 chapters.
     """
-    titles = titles.join(within_budget(chapters, ["run_id"], MAX_CHAPTERS).select("run_id").distinct(), "run_id", "left_semi")
-    chapters = within_budget(chapters, ["run_id"], MAX_CHAPTERS)
+    titles = titles.join(chapters.select("run_id").distinct(), "run_id", "left_semi")
     esc = tx.escape_markdown
     zero = F.lit(0).cast("bigint")
 
@@ -331,6 +330,8 @@ def render_documents(titles: DataFrame, chapters: DataFrame, paragraphs: DataFra
     for part in parts[1:]:
         table = table.unionByName(part)
     table = table.join(titles.select("run_id"), "run_id", "left_semi")
-    joined = table.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("s", "c", "p", "q", "line"))).alias("__l"))
+    chapter = table.groupBy("run_id", "s", "c").agg(F.array_sort(F.collect_list(F.struct("p", "q", "line"))).alias("__l")).select(
+        "run_id", "s", "c", F.array_join(F.transform("__l", lambda r: r["line"]), "\n").alias("line"))
+    joined = chapter.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("s", "c", "line"))).alias("__l"))
     text = F.array_join(F.transform("__l", lambda r: r["line"]), "\n")
     return joined.select("run_id", F.concat(F.rtrim(text, F.lit("\n")), F.lit("\n")).alias("content"))

@@ -11,10 +11,13 @@ tasks as it has buckets.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 UNBOUNDED_BEFORE = (Window.unboundedPreceding, -1)
 UNBOUNDED_AFTER = (1, Window.unboundedFollowing)
@@ -104,12 +107,27 @@ def time_bucket(column: str, width_ms: int) -> Column:
     return F.floor(F.col(column) / F.lit(width_ms)).cast("bigint")
 
 
-def within_budget(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Rows of the groups that hold at most ``limit`` rows.
+def ordered_fold(
+    rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], name: str, start: Callable[[], tuple], step: Callable[..., tuple],
+) -> DataFrame:
+    """Add the long column ``name``: what ``step(state, *inputs) -> (state, value)`` gives for each row of a key in order.
 
-    Used in front of per-group folds. Groups beyond the limit are refused by
-    the data model; ``transcript_budget`` and ``segment_budget`` list them, so
-    no row disappears unreported.
+    For walks in which a row depends on where the walk stands, so that no window expresses them. Rows are sorted
+    by Spark and streamed through with one state per key; a key of any length is read once, in Arrow batches, and
+    never gathered. Null inputs reach ``step`` as None.
     """
-    allowed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= limit)
-    return df.join(allowed.select(*keys), keys, "left_semi")
+    columns, at = rows.columns, [rows.columns.index(c) for c in [*keys, *inputs]]
+    schema = StructType([*rows.schema.fields, StructField(name, LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, ()
+        for batch in batches:
+            values = []
+            for row in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if row[: len(keys)] != key:
+                    key, state = row[: len(keys)], start()
+                state, value = step(state, *row[len(keys) :])
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], [*columns, name])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -1,20 +1,17 @@
-"""Base segmentation of one run from its transcript.
+"""Base segmentation of runs from their transcripts.
 
-The transcript of a run is bounded by the data model (20,000 items and 2,000,000
-characters). ``admit`` enforces that bound with a pre-aggregated count before any
-per-run window; refused runs are listed by ``transcript_budget``. Past that point a
-run is a bounded group, all windows share the ``run_id`` partitioning, and the only
-per-run sequence is the split of a single oversize range.
+Every run comes out, whatever its size: rules that a run or a segment breaks are named in ``reason``.
+Points, ranges and evidence meet in ordered scans over slices of the timeline, so a long or dense run is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.identity import stable_id
 from spanledger.operators.generate import grid_points
-from spanledger.operators.scan import UNBOUNDED_AFTER, UNBOUNDED_BEFORE
+from spanledger.operators.scan import Scan, ordered_fold, ordered_scan, time_bucket
 from spanledger.session import checkpoint
 
 # Fixed values of the segmentation rules.
@@ -27,6 +24,8 @@ SEGMENT_MAX_MS = 300_000
 REFS_MAX = 256
 ITEMS_MAX = 20_000
 CHARS_MAX = 2_000_000
+#: Part of the timeline that one task scans.
+SLICE_MS = 900_000
 
 
 def transcript_budget(
@@ -52,12 +51,6 @@ def transcript_budget(
     )
 
 
-def admit(evidence: DataFrame, runs: DataFrame) -> DataFrame:
-    """Evidence of the runs that pass ``transcript_budget``."""
-    passed = transcript_budget(evidence, runs).where("reason = ''").select("run_id")
-    return evidence.join(passed, "run_id", "left_semi")
-
-
 def boundary_candidates(
     runs: DataFrame, silence_points: DataFrame | None, sentence_ends: DataFrame, language_changes: DataFrame | None,
     sentence_score: float = 0.8,
@@ -126,6 +119,10 @@ def ordered_candidates(runs: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def _scan(rows: DataFrame, order: list[str], *scans: Scan) -> DataFrame:
+    return ordered_scan(rows, ["run_id"], order, time_bucket(order[0], SLICE_MS), list(scans))
+
+
 def mark_safe(points: DataFrame, evidence: DataFrame) -> DataFrame:
     """Add ``is_safe``: no evidence interval strictly contains the point."""
     extra = [c for c in points.columns if c not in ("run_id", "timestamp_ms")]
@@ -135,8 +132,7 @@ def mark_safe(points: DataFrame, evidence: DataFrame) -> DataFrame:
     ).unionByName(evidence.select(
         "run_id", F.col("start_ms").alias("__at"), F.lit(1).alias("__kind"), F.col("end_ms").alias("__end"),
     ), allowMissingColumns=True)
-    before = Window.partitionBy("run_id").orderBy("__at", "__kind").rowsBetween(*UNBOUNDED_BEFORE)
-    scanned = tall.withColumn("__open", F.max("__end").over(before)).where("__kind = 0")
+    scanned = _scan(tall, ["__at", "__kind"], Scan("__open", "max_before", "__end")).where("__kind = 0")
     return scanned.select(
         "run_id", F.col("__at").alias("timestamp_ms"), *[F.col(f"__row.{c}").alias(c) for c in extra],
         (F.coalesce("__open", F.lit(0)) <= F.col("__at")).alias("is_safe"),
@@ -162,10 +158,7 @@ def snap_blocked_grid(marked: DataFrame, endpoints: DataFrame, evidence: DataFra
     tall = blocked.select("run_id", "timestamp_ms", F.lit(1).alias("__kind"), none.alias("__end")).unionByName(
         endpoints.select("run_id", "timestamp_ms", F.lit(0).alias("__kind"), F.col("timestamp_ms").alias("__end"))
     )
-    w = Window.partitionBy("run_id").orderBy("timestamp_ms", "__kind")
-    near = tall.withColumn("__left", F.max("__end").over(w.rowsBetween(*UNBOUNDED_BEFORE))).withColumn(
-        "__right", F.min("__end").over(w.rowsBetween(*UNBOUNDED_AFTER))
-    ).where("__kind = 1")
+    near = _scan(tall, ["timestamp_ms", "__kind"], Scan("__left", "max_before", "__end"), Scan("__right", "min_after", "__end")).where("__kind = 1")
     left, right = F.col("timestamp_ms") - F.col("__left"), F.col("__right") - F.col("timestamp_ms")
     best = F.when(F.col("__right").isNull() | (left <= right), F.col("__left")).otherwise(F.col("__right"))
     return near.select("run_id", F.col("timestamp_ms").alias("grid_ms"), best.alias("timestamp_ms")).where(
@@ -182,8 +175,7 @@ def blocking_cues(candidates: DataFrame, evidence: DataFrame, runs: DataFrame) -
     ).unionByName(candidates.select(
         "run_id", F.col("timestamp_ms").alias("__at"), F.lit(0).alias("__kind"), F.col("timestamp_ms").alias("__c"),
     ), allowMissingColumns=True)
-    after = Window.partitionBy("run_id").orderBy("__at", "__kind").rowsBetween(*UNBOUNDED_AFTER)
-    hit = tall.withColumn("__next", F.min("__c").over(after)).where("__kind = 1 AND __next < end_ms")
+    hit = _scan(tall, ["__at", "__kind"], Scan("__next", "min_after", "__c")).where("__kind = 1 AND __next < end_ms")
     edges = hit.select("run_id", F.explode(F.array("start_ms", "end_ms")).alias("timestamp_ms")).distinct()
     inside = edges.join(runs.select("run_id", "duration_ms"), "run_id").where(
         "timestamp_ms > 0 AND timestamp_ms < duration_ms"
@@ -196,46 +188,34 @@ def to_ranges(boundaries: DataFrame, runs: DataFrame) -> DataFrame:
     points = runs.select(
         "run_id", F.explode(F.array(F.lit(0).cast("bigint"), F.col("duration_ms"))).alias("timestamp_ms")
     ).unionByName(boundaries.select("run_id", "timestamp_ms")).distinct()
-    w = Window.partitionBy("run_id").orderBy("timestamp_ms")
-    return points.select(
-        "run_id", F.col("timestamp_ms").alias("start_ms"), F.lead("timestamp_ms").over(w).alias("end_ms")
-    ).where("end_ms IS NOT NULL")
+    following = _scan(points, ["timestamp_ms"], Scan("end_ms", "lead", "timestamp_ms"))
+    return following.select("run_id", F.col("timestamp_ms").alias("start_ms"), "end_ms").where("end_ms IS NOT NULL")
 
 
 def split_oversize(ranges: DataFrame, endpoints: DataFrame, limit_ms: int = SEGMENT_MAX_MS) -> DataFrame:
     """Extra boundaries for ranges longer than the limit.
 
     From the left edge the latest safe end within the limit is taken, again and
-    again. Ranges do not influence each other, so each is its own small fold over
-    its own safe ends.
+    again. Ranges do not influence each other; the safe ends of each are walked in order.
     """
     long = ranges.where(F.col("end_ms") - F.col("start_ms") > limit_ms)
-    tall = long.select("run_id", F.col("start_ms").alias("timestamp_ms"), F.lit(0).alias("__kind"), "start_ms", "end_ms").unionByName(
+    edges = F.struct("start_ms", "end_ms")
+    tall = long.select("run_id", F.col("start_ms").alias("timestamp_ms"), F.lit(0).alias("__kind"), edges.alias("__range")).unionByName(
         endpoints.select("run_id", "timestamp_ms", F.lit(1).alias("__kind")), allowMissingColumns=True
     )
-    w = Window.partitionBy("run_id").orderBy("timestamp_ms", "__kind")
-    owned = tall.withColumn("__range", F.max(F.when(F.col("__kind") == 0, F.struct("start_ms", "end_ms"))).over(w))
-    inner = owned.where("__kind = 1 AND timestamp_ms > __range.start_ms AND timestamp_ms < __range.end_ms")
-    lists = inner.groupBy("run_id", F.col("__range.start_ms").alias("start_ms"), F.col("__range.end_ms").alias("end_ms")).agg(
-        F.array_sort(F.collect_list("timestamp_ms")).alias("ends")
-    )
+    owned = _scan(tall, ["timestamp_ms", "__kind"], Scan("__own", "max_before", "__range"))
+    inner = owned.where("__kind = 1 AND timestamp_ms > __own.start_ms AND timestamp_ms < __own.end_ms")
+    ends = inner.select("run_id", F.col("__own.start_ms").alias("start_ms"), "timestamp_ms").unionByName(
+        long.select("run_id", "start_ms", F.col("end_ms").alias("timestamp_ms")))
 
-    def step(acc, e):
-        reach = e - acc["cur"] > limit_ms
-        moved = reach & (acc["last"] > acc["cur"]) & ~acc["stuck"]
-        cur = F.when(moved, acc["last"]).otherwise(acc["cur"])
-        return F.struct(
-            cur.alias("cur"), F.when(acc["stuck"], acc["last"]).otherwise(e).alias("last"),
-            (acc["stuck"] | (e - cur > limit_ms)).alias("stuck"),
-            F.when(moved, F.concat(acc["out"], F.array(acc["last"]))).otherwise(acc["out"]).alias("out"),
-        )
+    def step(state: tuple, start: int, end: int) -> tuple:
+        cur, last, stuck = state or (start, start, False)
+        cut = end - cur > limit_ms and last > cur and not stuck
+        cur = last if cut else cur
+        return (cur, last if stuck else end, stuck or end - cur > limit_ms), cur if cut else None
 
-    start = F.struct(
-        F.col("start_ms").alias("cur"), F.col("start_ms").alias("last"), F.lit(False).alias("stuck"),
-        F.array().cast("array<bigint>").alias("out"),
-    )
-    chosen = F.aggregate(F.concat("ends", F.array("end_ms")), start, step)["out"]
-    return lists.select("run_id", F.explode(chosen).alias("timestamp_ms"))
+    walked = ordered_fold(ends, ["run_id", "start_ms"], ["timestamp_ms"], ["start_ms", "timestamp_ms"], "cut_ms", tuple, step)
+    return walked.where("cut_ms IS NOT NULL").select("run_id", F.col("cut_ms").alias("timestamp_ms"))
 
 
 def assign_evidence(ranges: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -247,8 +227,7 @@ def assign_evidence(ranges: DataFrame, evidence: DataFrame) -> DataFrame:
         "run_id", F.col("start_ms").alias("__at"), F.lit(0).alias("__kind"),
         F.struct("start_ms", "end_ms").alias("__range"),
     ), allowMissingColumns=True)
-    w = Window.partitionBy("run_id").orderBy("__at", "__kind").rowsBetween(*UNBOUNDED_BEFORE)
-    owned = tall.withColumn("__o", F.max("__range").over(w)).where("__kind = 1")
+    owned = _scan(tall, ["__at", "__kind"], Scan("__o", "max_before", "__range")).where("__kind = 1")
     return owned.select(
         "run_id", "__row.*", F.col("__o.start_ms").alias("range_start_ms"), F.col("__o.end_ms").alias("range_end_ms")
     )
@@ -260,14 +239,13 @@ def merge_empty_ranges(ranges: DataFrame, evidence: DataFrame) -> DataFrame:
         "run_id", F.col("range_start_ms").alias("start_ms"), F.lit(True).alias("__filled")
     ).distinct()
     spoken = evidence.select("run_id").distinct().withColumn("__spoken", F.lit(True))
-    w = Window.partitionBy("run_id").orderBy("start_ms")
     marked = ranges.join(filled, ["run_id", "start_ms"], "left").join(spoken, "run_id", "left")
     joins_previous = (
         (F.col("end_ms") - F.col("start_ms") <= EMPTY_MAX_MS) & F.col("__filled").isNull()
         & F.col("__spoken").isNotNull() & (F.col("start_ms") > 0)
     )
-    head = F.max(F.when(~joins_previous, F.col("start_ms"))).over(w)
-    return marked.select("run_id", head.alias("start_ms"), "end_ms").groupBy("run_id", "start_ms").agg(
+    headed = _scan(marked.select("run_id", "start_ms", "end_ms", F.when(~joins_previous, F.col("start_ms")).alias("__own")), ["start_ms"], Scan("__before", "max_before", "__own"))
+    return headed.select("run_id", F.coalesce("__own", "__before").alias("start_ms"), "end_ms").groupBy("run_id", "start_ms").agg(
         F.max("end_ms").alias("end_ms")
     )
 
@@ -298,30 +276,29 @@ def safe_boundaries(runs: DataFrame, evidence: DataFrame, candidates: DataFrame)
 def build_segments(runs: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     """Base segments with ordered evidence references and the rule they break, if any.
 
-    The admitted evidence, the tested points and the ranges are each used several times,
-    so they are stage tables in the shared folder. Evidence is assigned to its range once;
-    joining an empty range to the one before adds no evidence, so only the range edges
-    change afterwards.
+    No run is left out: a run that breaks a transcript rule has that rule as the reason of all its segments. The evidence, the
+    tested points and the ranges are each used several times, so they are stage tables in the shared folder. Evidence is assigned
+    to its range once; joining an empty range to the one before adds no evidence, so only the range edges change afterwards.
     """
     runs = checkpoint(runs.select("run_id", "duration_ms"))
     candidates = checkpoint(candidates)
-    admitted = checkpoint(admit(evidence, runs))
-    ranges = checkpoint(to_ranges(safe_boundaries(runs, admitted, candidates), runs))
-    owned = assign_evidence(ranges, admitted)
+    evidence = checkpoint(evidence)
+    ranges = checkpoint(to_ranges(safe_boundaries(runs, evidence, candidates), runs))
+    owned = assign_evidence(ranges, evidence)
     packed = owned.groupBy("run_id", F.col("range_start_ms").alias("start_ms")).agg(
         F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "evidence_id", "text"))).alias("rows"),
         F.max(F.col("end_ms") > F.col("range_end_ms")).alias("straddles"),
         F.max("evidence_type").alias("evidence_type"),
     )
-    whole = Window.partitionBy("run_id")
-    joined = ranges.join(packed, ["run_id", "start_ms"], "left").withColumn(
-        "__spoken", F.max(F.col("straddles").isNotNull()).over(whole)
-    ).withColumn("__last", F.max("end_ms").over(whole))
+    spoken = evidence.select("run_id").distinct().withColumn("__spoken", F.lit(True))
+    broken = transcript_budget(evidence, runs).where("reason <> ''").select("run_id", F.col("reason").alias("run_reason"))
+    joined = ranges.join(packed, ["run_id", "start_ms"], "left").join(spoken, "run_id", "left").join(runs, "run_id").join(broken, "run_id", "left")
     joins_previous = (
-        (F.col("end_ms") - F.col("start_ms") <= EMPTY_MAX_MS) & F.col("straddles").isNull() & F.col("__spoken") & (F.col("start_ms") > 0)
+        (F.col("end_ms") - F.col("start_ms") <= EMPTY_MAX_MS) & F.col("straddles").isNull() & F.col("__spoken").isNotNull() & (F.col("start_ms") > 0)
     )
-    following = F.lead("start_ms").over(whole.orderBy("start_ms"))
-    joined = joined.where(~joins_previous).withColumn("end_ms", F.coalesce(following, F.col("__last")))
+    heads = checkpoint(joined.where(~joins_previous))
+    following = _scan(heads.select("run_id", "start_ms"), ["start_ms"], Scan("__next", "lead", "start_ms"))
+    joined = heads.join(following, ["run_id", "start_ms"]).withColumn("end_ms", F.coalesce("__next", "duration_ms"))
     source = (
         F.when(F.col("evidence_type").isNull(), "NONE").when(F.col("evidence_type") == "ASR_SEGMENT", "ASR")
         .otherwise("SUBTITLE")
@@ -329,7 +306,7 @@ def build_segments(runs: DataFrame, evidence: DataFrame, candidates: DataFrame)
     refs = F.coalesce(F.transform("rows", lambda r: r["evidence_id"]), F.array().cast("array<string>"))
     joined = joined.withColumn("evidence_refs", refs)
     reason = (
-        F.when(F.coalesce("straddles", F.lit(False)), "EVIDENCE_STRADDLES_BOUNDARY")
+        F.when(F.col("run_reason").isNotNull(), F.col("run_reason")).when(F.coalesce("straddles", F.lit(False)), "EVIDENCE_STRADDLES_BOUNDARY")
         .when(F.col("end_ms") - F.col("start_ms") > SEGMENT_MAX_MS, "NO_SAFE_BOUNDARY")
         .when(F.size("evidence_refs") > REFS_MAX, "TOO_MANY_REFERENCES").otherwise("")
     )

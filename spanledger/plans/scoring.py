@@ -141,7 +141,7 @@ def _(t):
 @query("m10_transcript_text", """
 SELECT run_id, string_agg(text, ' ' ORDER BY start_ms, end_ms, evidence_id) AS transcript FROM v_transcript WHERE role = 'assistant' GROUP BY run_id""", "v_transcript")
 def _(t):
-    admitted = segmentation.admit(t.v_transcript.withColumn("evidence_type", F.lit("ASR_SEGMENT")), t.v_runs)
+    admitted = t.v_transcript.withColumn("evidence_type", F.lit("ASR_SEGMENT"))
     spoken = admitted.where("role = 'assistant'").withColumn("at", F.struct("start_ms", "end_ms", "evidence_id"))
     return ordered_refs(spoken, RUN, "at", "text").select("run_id", F.array_join("values", " ").alias("transcript"))
 

@@ -217,7 +217,7 @@ WITH g AS (SELECT run_id, unnest(range(30000, duration_ms, 30000)) AS timestamp_
 SELECT run_id, timestamp_ms FROM g WHERE NOT EXISTS (SELECT 1 FROM v_transcript e
   WHERE e.run_id = g.run_id AND e.start_ms < g.timestamp_ms AND g.timestamp_ms < e.end_ms)""", "v_runs")
 def _(t):
-    evidence = segmentation.admit(asr(t), t.v_runs)
+    evidence = asr(t)
     grid = generate.grid_points(t.v_runs, "run_id", "duration_ms", 30_000)
     return segmentation.mark_safe(grid, evidence).where("is_safe").drop("is_safe")
 
@@ -243,7 +243,7 @@ near AS (SELECT b.run_id, b.ts AS grid_ms, e.ts AS timestamp_ms,
 SELECT run_id, grid_ms, timestamp_ms FROM near WHERE rk = 1""", "v_sentences v_sentence_runs")
 def _(t):
     evidence, runs = asr(t, "v_sentences"), t.v_sentence_runs
-    admitted = segmentation.admit(evidence, runs)
+    admitted = evidence
     ends = segmentation.boundary_candidates(runs, None, sentence_ends(t), None)
     ordered = segmentation.ordered_candidates(runs, ends)
     marked = segmentation.mark_safe(ordered, admitted)
@@ -256,7 +256,7 @@ hit AS (SELECT DISTINCT e.run_id, e.start_ms, e.end_ms FROM v_transcript e JOIN
 edges AS (SELECT DISTINCT run_id, unnest([start_ms, end_ms]) AS ts FROM hit)
 SELECT run_id, ts AS timestamp_ms FROM edges JOIN v_runs USING (run_id) WHERE ts > 0 AND ts < duration_ms""", "v_transcript v_runs")
 def _(t):
-    cues = segmentation.admit(t.v_transcript.withColumn("evidence_type", F.lit("SUBTITLE_CUE")), t.v_runs)
+    cues = t.v_transcript.withColumn("evidence_type", F.lit("SUBTITLE_CUE"))
     grid = generate.grid_points(t.v_runs, "run_id", "duration_ms", 30_000)
     return segmentation.blocking_cues(grid, cues, t.v_runs)
 
@@ -269,7 +269,7 @@ cut AS (SELECT run_id, duration_ms, CAST(0 AS BIGINT) AS cut_ms FROM v_sentence_
         FROM cut c WHERE c.cut_ms IS NOT NULL AND c.duration_ms - c.cut_ms > 300000)
 SELECT run_id, cut_ms AS timestamp_ms FROM cut WHERE cut_ms > 0""", "v_sentences v_sentence_runs")
 def _(t):
-    admitted = segmentation.admit(asr(t, "v_sentences"), t.v_sentence_runs)
+    admitted = asr(t, "v_sentences")
     whole = t.v_sentence_runs.select("run_id", F.lit(0).cast("bigint").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
     return segmentation.split_oversize(whole, segmentation.safe_endpoints(admitted))
 
@@ -282,7 +282,7 @@ m AS (SELECT r.*, CASE WHEN r.end_ms - r.start_ms <= 10000 AND r.start_ms > 0 AN
 n AS (SELECT *, sum(head) OVER (PARTITION BY run_id ORDER BY start_ms) AS grp FROM m)
 SELECT run_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM n GROUP BY run_id, grp""", "v_transcript v_runs")
 def _(t):
-    evidence = segmentation.admit(asr(t), t.v_runs)
+    evidence = asr(t)
     edges = evidence.select("run_id", F.explode(F.array("start_ms", "end_ms")).alias("timestamp_ms"))
     return segmentation.merge_empty_ranges(segmentation.to_ranges(edges, t.v_runs), evidence)
 

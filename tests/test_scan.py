@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spanledger.operators import spans
-from spanledger.operators.scan import Scan, ordered_scan, time_bucket, within_budget
+from spanledger.operators.scan import Scan, ordered_fold, ordered_scan, time_bucket
 
 
 def rows_of(seed, n=300):
@@ -124,6 +124,20 @@ def test_silence_and_nearest(spark):
             assert near.get((run, r[2])) == (best[1] if best else None)
 
 
-def test_budget_keeps_whole_groups(spark):
-    df = spark.createDataFrame([(1, i) for i in range(5)] + [(2, i) for i in range(3)], "run_id int, x int")
-    assert {r.run_id for r in within_budget(df, ["run_id"], 3).collect()} == {2}
+def test_ordered_fold_walks_a_long_key(spark):
+    """A key over many Arrow batches, and short ones, give what a loop gives."""
+    rows = [(1, n, n * 7 % 13) for n in range(25_000)] + [(k, n, n % 5) for k in range(2, 60) for n in range(k % 4)]
+    df = spark.createDataFrame(random.sample(rows, len(rows)), "k int, n int, v int")
+
+    def step(state, v):
+        total = 0 if state[0] > 40 else state[0] + v
+        return (total,), total
+
+    got = sorted((r.k, r.n, r.out) for r in ordered_fold(df, ["k"], ["n"], ["v"], "out", lambda: (0,), step).collect())
+    want, state, key = [], (0,), None
+    for k, n, v in sorted(rows):
+        state = (0,) if k != key else state
+        key = k
+        state, value = step(state, v)
+        want.append((k, n, value))
+    assert got == want
