@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanledger.plans import views
-from spanledger.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,17 +25,6 @@ class Tables:
             return builder(self)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def wide(self, name: str, key: str) -> DataFrame:
-        """A text table split over the cluster even when it came as a few large files.
-
-        Inputs that already have a split per core are left alone, so no text is
-        shuffled at scale.
-        """
-        table = getattr(self, name)
-        if table.rdd.getNumPartitions() >= self.spark.sparkContext.defaultParallelism:
-            return table
-        return spread(table, key)
-
 
 def with_views(sql: str, needs: str = "") -> str:
     """Prefix ``sql`` with the view definitions it names, in dependency order."""

@@ -199,7 +199,42 @@ def _(t):
     return out.select("l_orderkey", "l_linenumber", F.array_join(F.transform("target_ids", lambda x: x.cast("string")), ",").alias("target_ids"))
 
 
-@query("t12_rendered_documents")
+def _markdown(text: str) -> str:
+    """SQL that escapes HTML and Markdown."""
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        text = f"replace({text}, '{raw}', '{entity}')"
+    special = rf"regexp_replace({text}, '([\\`*_\[\]{{}}()#|>!])', '\\\1', 'g')"
+    return rf"regexp_replace({special}, '(?m)^(\s*)([-+*]\s|\d+[.)]\s)', '\1\\\2', 'g')"
+
+
+_SPACED = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+RENDERED = f"""
+{_CH}, ov AS (SELECT run_id, substring(string_agg(summary, '；' ORDER BY chapter_index), 1, 8000) AS overview FROM wr WHERE content_status = 'GROUNDED' GROUP BY run_id),
+ti AS (SELECT run_id, 'Run ' || run_id AS title, coalesce(overview, '') AS overview FROM v_runs LEFT JOIN ov USING (run_id) WHERE run_id IN (SELECT run_id FROM ch)),
+nm AS (SELECT *, chapter_index // 100 AS h, chapter_index // 10 % 10 AS t, chapter_index % 10 AS o, string_split('零一二三四五六七八九', '') AS d FROM wr),
+cs AS (SELECT run_id, chapter_index, title, summary, content_status,
+  '第' || CASE WHEN h > 0 THEN d[h + 1] || '百' ELSE '' END || CASE WHEN h > 0 AND t = 0 AND o > 0 THEN '零' ELSE '' END || CASE WHEN t > 1 THEN d[t + 1] ELSE '' END
+    || CASE WHEN t > 0 THEN '十' ELSE '' END || CASE WHEN o > 0 THEN d[o + 1] ELSE '' END || '章：' AS name,
+  printf('%02d:%02d:%02d - %02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60) AS clock FROM nm),
+bd AS (SELECT run_id, chapter_index, string_agg(text, ' ' ORDER BY chunk) AS body FROM para GROUP BY ALL),
+ln AS (
+  SELECT run_id, 0 AS s, 0 AS c, 0 AS p, 0 AS q, '# ' || {_markdown('title')} || chr(10) AS line FROM ti
+  UNION ALL SELECT run_id, 1, 0, 0, 0, '## 核心概览' || chr(10) || chr(10) || {_markdown("coalesce(nullif(overview, ''), '未提供核心概览。')")} || chr(10) FROM ti
+  UNION ALL SELECT run_id, 2, 0, 0, 0, '## 目录' || chr(10) FROM ti
+  UNION ALL SELECT run_id, 2, chapter_index, 1, 0, '- ' || name || {_markdown('title')} || ' （' || clock || '）' FROM cs
+  UNION ALL SELECT run_id, 2, 1000000, 2, 0, '' FROM ti
+  UNION ALL SELECT run_id, 3, chapter_index, 0, 0, '## ' || {_markdown('(name || title)')} || chr(10) || chr(10) || '时间：' || clock || chr(10) FROM cs
+  UNION ALL SELECT cs.run_id, 3, cs.chapter_index, 1, 0, {_markdown('summary')} || chr(10) FROM cs LEFT JOIN bd ON bd.run_id = cs.run_id AND bd.chapter_index = cs.chapter_index
+    WHERE content_status = 'GROUNDED' AND length(summary) > 0 AND {_SPACED('summary')} IS DISTINCT FROM {_SPACED('body')}
+  UNION ALL SELECT run_id, 3, chapter_index, 2, chunk, {_markdown('text')} || chr(10) FROM para
+  UNION ALL SELECT run_id, 3, chapter_index, 3, 0, '#### 本章结论' || chr(10) FROM cl
+  UNION ALL SELECT run_id, 3, chapter_index, 4, 0, '- ' || {_markdown('text')} FROM cl
+  UNION ALL SELECT run_id, 3, chapter_index, 5, 0, '' FROM cl),
+doc AS (SELECT run_id, rtrim(string_agg(line, chr(10) ORDER BY s, c, p, q), chr(10)) || chr(10) AS content FROM ln GROUP BY run_id)"""
+RENDERED_NEED = "v_windows v_transcript v_runs"
+
+
+@query("t12_rendered_documents", f"WITH {RENDERED} SELECT run_id, content FROM doc", RENDERED_NEED)
 def _(t):
     return rendered(t)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import identity, speech, text
 from spanledger.plans.catalog import query
+from spanledger.plans.documents import RENDERED, RENDERED_NEED, rendered
 from spanledger.sources import asr, captions, datasets, media, publish
 
 
@@ -147,7 +148,7 @@ def vtt_files(t):
 SELECT run_id AS file_id, start_ms, least(end_ms, max(end_ms) OVER (PARTITION BY run_id) - 500) AS end_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM v_transcript""", "v_transcript")
 def _(t):
     cues, _ = captions.parse_webvtt(vtt_files(t))
-    return cues.select("file_id", "start_ms", "end_ms", "text")
+    return cues.where("reason = ''").select("file_id", "start_ms", "end_ms", "text")
 
 
 @query("src8_webvtt_files", r"""
@@ -250,8 +251,6 @@ def _(t):
     return t.events.select("event_id", body.alias("body")).withColumn("digest", F.sha2("body", 256))
 
 
-@query("snk4_document_files")
+@query("snk4_document_files", f"WITH {RENDERED} SELECT run_id, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS size_bytes FROM doc", RENDERED_NEED)
 def _(t):
-    from spanledger.plans.documents import rendered
-
     return rendered(t).select("run_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("size_bytes"))

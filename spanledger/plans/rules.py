@@ -211,11 +211,11 @@ def _(t):
 
 
 @query("v21_metric_maps", f"""
-WITH m AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS extra, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events WHERE value > 100 GROUP BY 1)
+WITH m AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS extra, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events GROUP BY 1)
 SELECT {_row('METRICS', 'user_id', 'user_id', detail="CASE WHEN extra > 0 THEN 'UNKNOWN_METRIC' ELSE 'MISSING_METRIC' END")} FROM m WHERE extra > 0 OR views = 0 OR clicks = 0""")
 def _(t):
-    kinds = t.events.where("value > 100 AND event_type IN ('purchase', 'view', 'click')").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    everyone = t.events.where("value > 100").select("user_id").distinct()
+    kinds = t.events.where("event_type IN ('purchase', 'view', 'click')").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    everyone = t.events.select("user_id").distinct()
     maps = kinds.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
     rows = everyone.join(maps, "user_id", "left").select("user_id", F.coalesce("m", F.create_map().cast("map<string,bigint>")).alias("metrics"))
     return closure.metric_map_rules(rows, "user_id", ["view", "click"])

@@ -224,13 +224,13 @@ def _(t):
 
 
 @query("m14_visual_text_facts", f"""
-WITH j AS (SELECT run_id, string_agg(reference, chr(10) ORDER BY turn) AS reference, string_agg(hypothesis, chr(10) ORDER BY turn) AS hypothesis, list_distinct(list(substring(reference, 1, 12))) AS fields FROM v_pairs GROUP BY run_id)
+WITH j AS (SELECT run_id, string_agg(reference, chr(10) ORDER BY turn) AS reference, string_agg(hypothesis, chr(10) ORDER BY turn) AS hypothesis, list_distinct(list(reference)) AS fields FROM v_pairs GROUP BY run_id)
 SELECT run_id, levenshtein({sql_bytes_any('hypothesis')}, {sql_bytes_any('reference')}) AS errors, length(reference) AS reference_units, len(list_filter(fields, lambda f: contains(hypothesis, f))) AS key_field_matches, len(fields) AS key_field_units FROM j""", "v_pairs")
 def _(t):
     joined = ordered_refs(pairs(t), RUN, "turn", F.struct("reference", "hypothesis")).select(
         "run_id", F.array_join(F.transform("values", lambda v: v["reference"]), "\n").alias("reference"),
         F.array_join(F.transform("values", lambda v: v["hypothesis"]), "\n").alias("hypothesis"),
-        F.array_distinct(F.transform("values", lambda v: F.substring(v["reference"], 1, 12))).alias("fields"))
+        F.array_distinct(F.transform("values", lambda v: v["reference"])).alias("fields"))
     joined = joined.withColumn("shown", nfkc(F.col("hypothesis")))
     errors, units = quality.exact_character_counts(F.col("hypothesis"), F.col("reference"))
     return joined.select(

@@ -341,7 +341,27 @@ def _(t):
     return _flat(base_segments(t))
 
 
-@query("i18_base_segments_dense")
+_DENSE = f"""
+{_SAMPLED},
+grid AS (SELECT run_id, unnest(range(30000, duration_ms, 30000)) AS ts FROM v_sentence_runs),
+cand AS (SELECT run_id, ts FROM grid WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.run_id = grid.run_id AND abs(sel.ts - grid.ts) <= 8000) UNION SELECT run_id, ts FROM sel),
+good AS (SELECT c.run_id, c.ts FROM cand c WHERE NOT EXISTS (SELECT 1 FROM v_sentences e WHERE e.run_id = c.run_id AND e.start_ms < c.ts AND c.ts < e.end_ms)),
+dense AS (SELECT run_id FROM v_sentences GROUP BY run_id HAVING count(*) >= 10 AND min(end_ms - start_ms) < 20000),
+near AS (SELECT b.run_id, e.ts, row_number() OVER (PARTITION BY b.run_id, b.ts ORDER BY abs(e.ts - b.ts), e.ts) AS rk
+         FROM (SELECT * FROM cand EXCEPT SELECT * FROM good) b SEMI JOIN dense USING (run_id) JOIN ends e ON e.run_id = b.run_id AND abs(e.ts - b.ts) <= 8000 WHERE b.ts % 30000 = 0),
+safe AS (SELECT run_id, ts FROM good UNION SELECT run_id, ts FROM near WHERE rk = 1),
+""" + _SEGMENTS[_SEGMENTS.index("p AS"):].replace("v_transcript", "v_sentences").replace("v_runs", "v_sentence_runs")
+
+
+_FLAT = """
+SELECT run_id, 'segment_' || substring(sha256('{"end_ms":' || end_ms || ',"evidence_refs":' ||
+         CASE WHEN n_refs = 0 THEN '[]' ELSE '["' || replace(evidence_refs, ',', '","') || '"]' END ||
+         ',"run_id":' || run_id || ',"start_ms":' || start_ms || '}'), 1, 24) AS segment_id,
+       start_ms, end_ms, evidence_refs, text, n_refs, CASE WHEN n_refs = 0 THEN 'NONE' ELSE 'ASR' END AS transcript_source, '' AS reason
+FROM base"""
+
+
+@query("i18_base_segments_dense", f"WITH {_DENSE} {_FLAT}", "v_sentences v_sentence_runs")
 def _(t):
     return _flat(dense_segments(t))
 

@@ -60,6 +60,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Even out rows before costly per-row work, whatever the input splits look like."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
+    """Even out rows before costly per-row work, whatever the input splits look like; the number of partitions is Spark's to choose."""
+    return df.repartition(*keys)

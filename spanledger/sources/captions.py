@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,19 @@ from spanledger.operators.scan import Scan, ordered_scan
 # Fixed values of the subtitle rules.
 TEXT_CODECS = ["subrip", "ass", "ssa", "webvtt", "mov_text"]
 HINT_LANGUAGES = ["zh", "en", "ja", "ko", "es"]
-MAX_FILE_BYTES = 16 * 1024 * 1024
-MAX_CUES = 20_000
-MAX_CUE_CHARS = 4_000
-MAX_TOTAL_CHARS = 2_000_000
 OVERRUN_MS = 1_000
 
 
+@dataclass(frozen=True)
+class CaptionLimits:
+    """Limits of a caption file; what exceeds one is labelled LIMIT_EXCEEDED."""
+
+    file_bytes: int = 16 * 1024 * 1024
+    cues: int = 20_000
+    cue_chars: int = 4_000
+    total_chars: int = 2_000_000
+
+
 def rank_subtitle_streams(streams: DataFrame, hints: list[str]) -> DataFrame:
     """Rank the text streams of each run: hinted language, default, not forced, index.
 
@@ -74,16 +82,15 @@ def _clock_ms(stamp: Column) -> Column:
     return ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)
 
 
-def parse_webvtt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_webvtt(files: DataFrame, limits: CaptionLimits = CaptionLimits()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """WebVTT files to ``(cues, file status)``.
 
-    ``files``: file_id, content, duration_ms, stream_index, language. A file is refused
-    whole by its first broken rule; limits are per file and found by one aggregation.
+    ``files``: file_id, content, duration_ms, stream_index, language. Every cue is returned with the first rule
+    its file breaks as ``reason`` (empty when none); limits are per file and found by one aggregation.
     """
     text = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), "\r\n?", "\n")
     headed = files.withColumn("__text", text).withColumn("__ok", F.col("__text").rlike(r"^WEBVTT(?:[ \t\n]|$)"))
-    small = headed.where(F.octet_length("content") <= MAX_FILE_BYTES)
-    blocks = small.where("__ok").select(
+    blocks = headed.where("__ok").select(
         "file_id", "duration_ms", "stream_index", "language", F.posexplode(F.split("__text", r"\n[ \t]*\n\s*")).alias("pos", "block")
     ).where(F.col("block").rlike(_TIMING))
     timed = blocks.withColumn("__line", F.regexp_extract("block", _TIMING, 0))
@@ -98,26 +105,26 @@ def parse_webvtt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         | (F.col("raw_end_ms") > F.col("duration_ms") + OVERRUN_MS)
     )
     rows = rows.withColumn("reason", F.when(F.col("text") == "", F.lit(None)).when(F.col("text").isNull(), "VTT_INVALID")
-                           .when(F.length("text") > MAX_CUE_CHARS, "LIMIT_EXCEEDED").when(bad_time, "TIMELINE_INVALID"))
+                           .when(F.length("text") > limits.cue_chars, "LIMIT_EXCEEDED").when(bad_time, "TIMELINE_INVALID"))
     spoken = ~F.col("text").eqNullSafe("")
     facts = rows.groupBy("file_id").agg(
         F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason")))["reason"].alias("first_bad"),
         F.nullif(F.sum(F.when(spoken, 1).otherwise(0)), F.lit(0)).alias("cues"), F.sum(F.length("text")).alias("chars"),
         (F.max(F.when(spoken, F.least("raw_end_ms", "duration_ms"))) - F.min(F.when(spoken, F.col("start_ms")))).alias("span_ms"),
     )
-    status = headed.select("file_id", "duration_ms", "__ok", (F.octet_length("content") > MAX_FILE_BYTES).alias("__big")).join(
+    status = headed.select("file_id", "duration_ms", "__ok", (F.octet_length("content") > limits.file_bytes).alias("__big")).join(
         facts, "file_id", "left"
     ).withColumn(
         "reason",
         F.when(F.col("__big"), "LIMIT_EXCEEDED").when(~F.col("__ok") | F.col("cues").isNull(), "VTT_INVALID")
         .when(F.col("first_bad").isNotNull(), F.col("first_bad"))
-        .when((F.col("cues") > MAX_CUES) | (F.col("chars") > MAX_TOTAL_CHARS), "LIMIT_EXCEEDED").otherwise(""),
+        .when((F.col("cues") > limits.cues) | (F.col("chars") > limits.total_chars), "LIMIT_EXCEEDED").otherwise(""),
     ).select("file_id", "cues", "chars", (F.col("span_ms") / F.col("duration_ms")).alias("span_ratio"), "reason")
-    accepted = rows.join(status.where("reason = ''").select("file_id"), "file_id", "left_semi")
+    judged = rows.drop("reason").join(status.select("file_id", "reason"), "file_id")
     end = F.least("raw_end_ms", "duration_ms")
-    cues = accepted.select(
+    cues = judged.select(
         "file_id", stable_id("subtitle", file_id=F.col("file_id"), stream_index=F.col("stream_index"), start_ms=F.col("start_ms"),
                              end_ms=end, text=F.col("text")).alias("evidence_id"),
-        "start_ms", end.alias("end_ms"), "text", "language", "stream_index",
-    ).where("text <> ''")
+        "start_ms", end.alias("end_ms"), "text", "language", "stream_index", "reason",
+    ).where("NOT (text <=> '')")
     return cues, status

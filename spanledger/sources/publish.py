@@ -15,12 +15,10 @@ def replace_runs(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFr
 def publish(batch: DataFrame, path: str, partitions: list[str]) -> None:
     """Overwrite only the partitions the batch holds; repeating a publish changes nothing.
 
-    ``partitions`` is the scope and a run bucket, so partition counts stay bounded. The
-    write shuffles by partition and a file-size split keeps a large bucket from being
-    written by one task.
+    ``partitions`` is the scope and a run bucket, so partition counts stay bounded. Rows are rebalanced by
+    partition: Spark splits a large one over several writers by its size.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in batch.columns if c not in partitions]), F.lit(16))
-    shaped = batch.repartition(*partitions, spread)
+    shaped = batch.hint("rebalance", *partitions)
     shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 

@@ -15,7 +15,7 @@ from spanledger.streaming import evidence as st
 def vtt(spark, content, duration=10_000):
     files = spark.createDataFrame([("f", content, duration, 0, "en")], "file_id string, content string, duration_ms bigint, stream_index int, language string")
     cues, status = captions.parse_webvtt(files)
-    return sorted((r.start_ms, r.end_ms, r.text) for r in cues.collect()), status.collect()[0].reason
+    return sorted((r.start_ms, r.end_ms, r.text) for r in cues.where("reason = ''").collect()), status.collect()[0].reason
 
 
 @pytest.mark.parametrize("body,cues,reason", [
@@ -30,6 +30,13 @@ def test_webvtt(spark, body, cues, reason):
     assert vtt(spark, body) == (cues, reason)
 
 
+def test_caption_limits_label_rows(spark):
+    files = spark.createDataFrame([("f", "WEBVTT\n\n00:01.000 --> 00:02.000\none\n\n00:03.000 --> 00:04.000\ntwo\n", 10_000, 0, "en")],
+                                  "file_id string, content string, duration_ms bigint, stream_index int, language string")
+    cues, status = captions.parse_webvtt(files, captions.CaptionLimits(cues=1))
+    assert status.first().reason == "LIMIT_EXCEEDED" and [r.reason for r in cues.collect()] == ["LIMIT_EXCEEDED"] * 2
+
+
 def test_subtitle_ranking(spark):
     rows = [(1, 3, "en", False, True, "subrip"), (1, 4, "zh", True, False, "ass"), (1, 5, "zh", False, False, "webvtt"), (1, 7, "en", True, False, "mov_text"),
             (1, 8, "zh", True, False, "hdmv_pgs_subtitle")]
