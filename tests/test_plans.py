@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 # These run their stages while the plan is built, or run a stream.
-STAGED = ("i18", "t3_", "t9_", "t12", "t16", "snk4", "m17", "str")
+STAGED = ("i18", "t3_", "t9_", "t12", "t16", "snk4", "m17", "str", "op", "pipeline")
 
 
 def plan_of(frame):

@@ -172,3 +172,37 @@ def test_reduce_count_matches_restart():
                 break
             want[spot:spot + 2] = [chapters.join_drafts(want[spot], want[spot + 1])]
         assert chapters.reduce_count(drafts, maximum) == want
+
+
+def test_runs_beyond_the_limits_come_out(spark):
+    """20,001 short turns in one run: nothing is dropped, every segment names the rule, and all turns are referenced once."""
+    n = 20_001
+    evidence = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("run_id"), F.concat(F.lit("e"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("evidence_id"),
+        (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 900).alias("end_ms"), F.lit("word").alias("text"), F.lit("ASR_SEGMENT").alias("evidence_type"),
+    ).unionByName(spark.createDataFrame([(2, "x", 0, 900, "word", "ASR_SEGMENT")], EVIDENCE))
+    runs = evidence.groupBy("run_id").agg((F.max("end_ms") + 100).alias("duration_ms"))
+    ends = evidence.select("run_id", F.col("end_ms").alias("timestamp_ms"))
+    segments = segmentation.build_segments(runs, evidence, segmentation.boundary_candidates(runs, None, ends, None))
+    totals = {r.run_id: r for r in segments.groupBy("run_id").agg(
+        F.sum(F.size("evidence_refs")).alias("refs"), F.collect_set("reason").alias("reasons"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms")).collect()}
+    assert totals[1].refs == n and totals[1].reasons == ["TOO_MANY_ITEMS"] and totals[1].ms == n * 1000
+    assert totals[2].reasons == [""]
+    tiles = evidence.select("run_id", "start_ms", (F.col("start_ms") + 1000).alias("end_ms"))
+    grouped = chapters.group_near_target(tiles, 60_000)
+    assert grouped.count() == n + 1 and grouped.where("start_ms - group_start >= 60000").count() == 0
+    assert {r.run_id: r.minimum_chapters for r in chapters.minimum_chapters(tiles).collect()} == {1: 67, 2: 1}
+
+
+def test_long_documents_are_rendered(spark):
+    from spanledger.operators import compose
+
+    n = 241
+    rows = spark.range(1, n + 1).select(
+        F.lit(1).alias("run_id"), F.col("id").alias("chapter_index"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 1000).alias("end_ms"),
+        F.concat(F.lit("t"), F.col("id")).alias("title"), F.lit("").alias("summary"), F.lit("GROUNDED").alias("content_status"))
+    body = rows.select("run_id", "chapter_index", F.lit(0).alias("chunk"), F.lit("body").alias("text"))
+    titles = spark.createDataFrame([(1, "T", "")], "run_id int, title string, overview string")
+    none = spark.createDataFrame([], "run_id int, chapter_index bigint, pos int, text string")
+    content = compose.render_documents(titles, rows, body, none).first().content
+    assert content.count("\n## 第") == n and "## 第二百四十一章：t241\n" in content and content.index("第二百四十章：t240\n") < content.index("第二百四十一章：t241\n")
