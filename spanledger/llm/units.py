@@ -76,10 +76,11 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = _keyed(docs, id_col, text_col).select("_id", "_text", "_hash").mapInArrow(run, f"_id {kind}, _hash bigint, place array<int>, high array<bigint>, low array<bigint>")
     units = checkpoint(rows).select("_id", "_hash", F.inline(F.arrays_zip("place", "high", "low")))
-    twice = units.groupBy("high", "low").count().filter("count > 1").select("high", "low")
+    # written tables on one side let Spark split a digest that very many units share
+    twice = checkpoint(units.groupBy("high", "low").count().filter("count > 1").select("high", "low"))
     shared = checkpoint(units.join(twice, ["high", "low"]))
     rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_hash").alias("hash"), F.col("place").alias("place"))
-    first = shared.groupBy("high", "low").agg(F.min(rank).alias("first"))
+    first = checkpoint(shared.groupBy("high", "low").agg(F.min(rank).alias("first")))
     later = shared.join(first, ["high", "low"]).filter(~rank.eqNullSafe(F.col("first")))
     return later.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
