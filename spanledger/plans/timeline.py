@@ -335,7 +335,7 @@ WITH {_SEGMENTS}
 SELECT run_id, 'segment_' || substring(sha256('{{"end_ms":' || end_ms || ',"evidence_refs":' ||
          CASE WHEN n_refs = 0 THEN '[]' ELSE '["' || replace(evidence_refs, ',', '","') || '"]' END ||
          ',"run_id":' || run_id || ',"start_ms":' || start_ms || '}}'), 1, 24) AS segment_id,
-       start_ms, end_ms, evidence_refs, text, n_refs, CASE WHEN n_refs = 0 THEN 'NONE' ELSE 'ASR' END AS transcript_source, '' AS reason
+       start_ms, end_ms, evidence_refs, text, n_refs, CASE WHEN n_refs = 0 THEN 'NONE' ELSE 'ASR' END AS transcript_source, CASE WHEN end_ms - start_ms > 300000 THEN 'NO_SAFE_BOUNDARY' ELSE '' END AS reason
 FROM base""", "v_transcript v_runs")
 def _(t):
     return _flat(base_segments(t))
@@ -357,7 +357,7 @@ _FLAT = """
 SELECT run_id, 'segment_' || substring(sha256('{"end_ms":' || end_ms || ',"evidence_refs":' ||
          CASE WHEN n_refs = 0 THEN '[]' ELSE '["' || replace(evidence_refs, ',', '","') || '"]' END ||
          ',"run_id":' || run_id || ',"start_ms":' || start_ms || '}'), 1, 24) AS segment_id,
-       start_ms, end_ms, evidence_refs, text, n_refs, CASE WHEN n_refs = 0 THEN 'NONE' ELSE 'ASR' END AS transcript_source, '' AS reason
+       start_ms, end_ms, evidence_refs, text, n_refs, CASE WHEN n_refs = 0 THEN 'NONE' ELSE 'ASR' END AS transcript_source, CASE WHEN end_ms - start_ms > 300000 THEN 'NO_SAFE_BOUNDARY' ELSE '' END AS reason
 FROM base"""
 
 

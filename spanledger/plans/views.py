@@ -22,7 +22,7 @@ def v_transcript(t) -> DataFrame:
         "role",
         "text",
         ((F.col("turn") % 10) / 10.0).cast("double").alias("confidence"),
-        (F.least(F.length("text"), F.lit(1900)) * 150).cast("bigint").alias("dur"),
+        (F.length("text") * 150).cast("bigint").alias("dur"),
     ).withColumn("step", F.col("dur") + 500)
     placed = ordered_scan(
         turns, ["run_id"], ["seq"], F.floor(F.col("seq") / 64), [Scan("before", "sum_before", "step")]
@@ -135,7 +135,7 @@ SELECT conv_id AS run_id, 'ev_' || conv_id || '_' || turn AS evidence_id, turn A
        CAST((turn % 10) / 10.0 AS DOUBLE) AS confidence,
        CAST(coalesce(sum(dur + 500) OVER w, 0) AS BIGINT) AS start_ms,
        CAST(coalesce(sum(dur + 500) OVER w, 0) + dur AS BIGINT) AS end_ms
-FROM (SELECT *, CAST(least(length(text), 1900) * 150 AS BIGINT) AS dur FROM conversations WHERE length(text) > 0)
+FROM (SELECT *, CAST(length(text) * 150 AS BIGINT) AS dur FROM conversations WHERE length(text) > 0)
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "v_runs": "SELECT run_id, max(end_ms) + 1000 AS duration_ms FROM v_transcript GROUP BY run_id",
     "v_sentence_rows": """
