@@ -176,7 +176,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
         return F.transform(masks, lambda mask: segment.bitwiseXOR(mask).bitwiseOR(F.lit(table << 32).cast("bigint")))
 
     keys = F.flatten(F.array(*[ball(table, segment) for table, segment in enumerate(halves)]))
-    entries = prints.select("n", F.explode(keys).alias("key"))
+    entries = prints.select("n", F.explode(keys).alias("key")).repartition("key")  # shuffled once for both uses
     ends = entries.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high")
     met = entries.join(ends, "key").select("n", F.explode(F.array("low", "high")).alias("other")).filter("n <> other")
     pairs = met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct()
