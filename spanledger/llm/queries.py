@@ -116,7 +116,9 @@ u AS (SELECT doc_id, text, unnest(parts) AS part, generate_subscripts(parts, 1)
 o AS (SELECT *, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
 v AS (SELECT doc_id, place, CAST(start AS BIGINT) AS start, least(CAST(start AS BIGINT) + length(part) + 1, length(text)) AS stop, substr(text, CAST(start AS BIGINT) + 1, length(part) + 1) AS raw,
       trim(regexp_replace(lower(part), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm FROM o),
-w AS (SELECT *, CASE WHEN norm <> '' AND len(string_split(norm, ' ')) >= 5 THEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) ELSE 1 END AS nth FROM v),
+y AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n, lag(norm, 1, '') OVER (PARTITION BY doc_id ORDER BY place) AS before FROM v),
+x AS (SELECT *, CASE WHEN n >= 5 THEN norm WHEN n > 0 AND before <> '' AND n + len(string_split(before, ' ')) >= 5 THEN before || ' ' || norm END AS unit FROM y),
+w AS (SELECT *, CASE WHEN unit IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY unit ORDER BY doc_id, place) END AS nth FROM x),
 kept AS (SELECT doc_id, string_agg(raw, '' ORDER BY place) AS text FROM w WHERE nth = 1 GROUP BY doc_id),
 isl AS (SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run, start, stop FROM w WHERE nth > 1),
 span AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM isl GROUP BY doc_id, run),

@@ -16,7 +16,7 @@ from spanledger.session import checkpoint
 
 #: A unit ends at a line end, or at white space after the end of a sentence.
 SEPARATOR = re.compile(r"(?<=[.!?])[ \t\r]|\n")
-#: Shorter units repeat by chance and are always kept.
+#: Shorter units repeat by chance; they count together with the unit before them, or not at all.
 MIN_WORDS = 5
 #: Letters, digits and everything beyond ASCII make words; case is folded before.
 WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -31,13 +31,19 @@ def unit_spans(text: str) -> list[tuple[int, int]]:
 
 
 def digests(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
-    """Places and 128-bit digests of the units of a text that are long enough."""
-    places, out = [], []
+    """Places and 128-bit digests of the units of a text.
+
+    A unit of fewer than ``min_words`` words is hashed with the words of the unit before it, so it counts as repeated
+    where that unit repeats with it; it has no digest where both together are still too short.
+    """
+    places, out, before = [], [], []
     for place, (start, stop) in enumerate(unit_spans(text)):
         words = text[start:stop].lower().encode("utf-8", "replace").translate(WORD_BYTES).split()
-        if len(words) >= min_words:
+        hashed = words if len(words) >= min_words or not words else before + words
+        if len(hashed) >= min_words:
             places.append(place)
-            out.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            out.append(xxhash.xxh3_128_digest(b" ".join(hashed)))
+        before = words
     return places, out
 
 
@@ -89,7 +95,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(row, text, removed) of every row of ``docs``: the row as it was, its text without repeated units, and what was cut.
 
     Units are sentences within lines, compared after case folding and without punctuation and white space; those of
-    fewer than ``min_words`` words stay. The earliest occurrence over all documents is kept, also within one document.
+    fewer than ``min_words`` words go only together with the unit before them. The earliest occurrence over all documents is kept, also within one document.
     ``removed`` holds (start, stop) in characters of the original text, in order and joined where they
     touch. Null texts stay null. Rows with the same id and the same text are one document seen again: all get the same result.
     """

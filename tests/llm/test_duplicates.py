@@ -86,14 +86,16 @@ def plain_units(rows, min_words=5):
     """Scan in rank order; cut every unit met before."""
     seen, out = set(), {}
     for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept, gone = [], []
+        kept, gone, before = [], [], []
         for start, stop in units.unit_spans(text or ""):
-            norm = " ".join("".join(c if c.isalnum() or ord(c) >= 128 else " " for c in text[start:stop].lower()).split(" ")).split()
-            if len(norm) >= min_words and tuple(norm) in seen:
+            norm = "".join(c if c.isalnum() or ord(c) >= 128 else " " for c in text[start:stop].lower()).split()
+            unit = tuple(norm if len(norm) >= min_words or not norm else before + norm)
+            before = norm
+            if len(unit) >= min_words and unit in seen:
                 gone.append((start, stop))
             else:
                 kept.append(text[start:stop])
-                seen.add(tuple(norm))
+                seen.add(unit)
         out[key] = ("".join(kept) if text is not None else None, gone)
     return out
 
