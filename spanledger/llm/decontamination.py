@@ -56,11 +56,11 @@ class _Segment:
         return b"\n".join(self.terms), counts.tobytes(), gaps.tobytes(), np.array(self.starts, np.int32).tobytes()
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Write the index of every word of every text to the shared folder and return it.
 
     Two kinds of rows: one per document (segment, ord, id, n_words), and one per segment with its
-    terms, posting counts, positions and document starts. A segment holds whole documents of about ``SEGMENT_WORDS``
+    terms, posting counts, positions and document starts. A segment holds whole documents of about ``segment_words``
     words, so a term that a third of all documents use is spread over as many segments as they fill.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -85,7 +85,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 segment.add(words)
                 ids.append(key.as_py())
                 counts.append(len(words))
-                if segment.size >= SEGMENT_WORDS:
+                if segment.size >= segment_words:
                     yield from rows()
                     segment, ids, counts, number = _Segment(), [], [], number + 1
         if ids:
@@ -222,13 +222,15 @@ def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     yield start, stop
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS,
+) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``.
 
     Repeated rows and ids are documents of their own (known by segment and place). A null or wordless text has no
     words and no hit; items without words match nothing, items of one id count once, and a null item id is the empty id.
     """
-    index = build_index(docs, id_col, text_col)
+    index = build_index(docs, id_col, text_col, segment_words)
     matches = phrase_matches(index, items, width).groupBy("segment", "ord").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
     )

@@ -55,7 +55,8 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 class Bundle:
     """Frames, record index and seek table of one archive file."""
 
-    def __init__(self) -> None:
+    def __init__(self, frame_bytes: int = FRAME_BYTES) -> None:
+        self._frame_bytes = frame_bytes
         self._packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
         self._frames: list[bytes] = []
         self._sizes: list[tuple[int, int]] = []
@@ -69,7 +70,7 @@ class Bundle:
         self._index.append(struct.pack("<HIII", len(key), len(self._sizes), self._open_bytes, len(record)) + key)
         self._open.append(record)
         self._open_bytes += len(record)
-        if self._open_bytes >= FRAME_BYTES:
+        if self._open_bytes >= self._frame_bytes:
             self._close_frame()
 
     def _close_frame(self) -> None:
@@ -141,7 +142,9 @@ def parse_record(record: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, path: str | None = None, minimum: int = 0, date: str = "2024-01-01T00:00:00Z") -> str:
+def write_archives(
+    pages: DataFrame, path: str | None = None, minimum: int = 0, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
+) -> str:
     """Write one record per row of ``pages`` (page_id, url, html) and return the folder of the bundles.
 
     Of the rows whose payloads are equal and of ``minimum`` bytes or more, that of the largest
@@ -151,7 +154,7 @@ def write_archives(pages: DataFrame, path: str | None = None, minimum: int = 0,
 
     Only digests that occur more than once are joined back, from a written table whose size
     Spark knows, so pages are not shuffled where these are few. Each task packs the rows it
-    has into bundles of about ``BUNDLE_BYTES``; a bundle is one row, written as one file by Spark's
+    has into bundles of about ``bundle_bytes``; a bundle is one row, written as one file by Spark's
     text writer with the last byte of the format as its line end, so the committer handles retries.
     """
     path = path or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
@@ -167,15 +170,15 @@ def write_archives(pages: DataFrame, path: str | None = None, minimum: int = 0,
         def row(bundle: Bundle) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([bundle.finish()[:-1]], pa.binary())], ["bundle"])
 
-        bundle, filled = Bundle(), False
+        bundle, filled = Bundle(frame_bytes), False
         for batch in batches:
             for page, url, payload, first, revisit in zip(*batch.columns, strict=True):
                 page, payload = page.as_py(), payload.as_py()
                 bundle.add(record_id(page), warc_record(page, url.as_py(), payload, first.as_py(), revisit.as_py(), date))
                 filled = True
-                if bundle.bytes >= BUNDLE_BYTES:
+                if bundle.bytes >= bundle_bytes:
                     yield row(bundle)
-                    bundle, filled = Bundle(), False
+                    bundle, filled = Bundle(frame_bytes), False
         if filled:
             yield row(bundle)
 

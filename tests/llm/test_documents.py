@@ -11,13 +11,11 @@ import pytest
 from spanledger.llm import decontamination, pieces, sharding, warc
 
 
-def test_archives_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FRAME_BYTES", 300)
-    monkeypatch.setattr(warc, "BUNDLE_BYTES", 400)
+def test_archives_round_trip(spark, tmp_path):
     rows = [(i, f"http://x/{i}\r\ny z", f"<p>é{i % 7}</p>" * (i % 9)) for i in range(60)]
     rows += [(100, None, None), (101, "u", ""), (None, "u", "<p>é1</p>"), (None, "u", "alone"), (50, "again", rows[50][2]), (200, "big", "x" * 100_000)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, digest int").repartition(3)
-    path = warc.write_archives(frame, str(tmp_path / "a"))
+    path = warc.write_archives(frame, str(tmp_path / "a"), frame_bytes=300, bundle_bytes=400)
     assert len(glob.glob(f"{path}/part-*")) > 3
     got = warc.read_archives(spark, path).collect()
     groups = defaultdict(list)
@@ -118,7 +116,6 @@ def plain_overlap(text, items, width=10):
 
 
 def test_contamination(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "SEGMENT_WORDS", 120)
     monkeypatch.setattr(decontamination, "PASS_WORDS", 40)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(12)] + ["É1", "the"]
@@ -134,7 +131,7 @@ def test_contamination(spark, monkeypatch):
     tests = spark.createDataFrame(items, "item_id bigint, text string")
     import hashlib
 
-    got = sorted(((r["doc_id"] or -1), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.contamination(frame, tests).collect())
+    got = sorted(((r["doc_id"] or -1), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.contamination(frame, tests, segment_words=120).collect())
     want = []
     for key, text in docs:
         n, hit, found = plain_overlap(text, items)
