@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.llm.sampling import bounded_sample, remainder
+from spanledger.llm.simhash import shingle_hashes
 
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…"
 # Look-alike characters of disguised letters, and second-person words.
@@ -29,24 +30,47 @@ def words_of(text: str) -> list[str]:
     return [w.strip(EDGES) for w in text.lower().split()]
 
 
-def learn_lexicon(samples: list[tuple[str, int]], size: int = 400) -> tuple[dict[str, float], frozenset[str]]:
-    """Words that occur in more toxic than other texts: log odds by word, and the strongest of them."""
-    seen = ({}, {})
-    totals = [0, 0]
-    for text, label in samples:
-        totals[label] += 1
-        for w in set(words_of(text)):
-            if w:
-                seen[label][w] = seen[label].get(w, 0) + 1
-    odds = {}
+@dataclass
+class Sample:
+    """A labelled text with what the lexicon needs of it, computed once."""
+
+    text: str
+    label: int
+    words: frozenset[str]
+    sketch: int
+
+    @classmethod
+    def of(cls, text: str, label: int) -> Sample:
+        least = min(shingle_hashes(text.encode("utf-8", "replace"), 5, 1), default=0)
+        return cls(text, label, frozenset(words_of(text)) - {""}, int(least))
+
+
+def learn_lexicon(samples: list[Sample], size: int = 400) -> tuple[dict[str, float], frozenset[str]]:
+    """Words that more toxic than other texts hold, by the lower bound of their log odds; and the strong ones among them.
+
+    The bound takes two standard errors off, so a rare word that toxic texts hold by chance doesn't become strong. Near
+    copies count as one text (by the least hash of their shingles), so their words do not gain by being copied.
+    """
+    seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    totals, met = [0, 0], set()
+    for sample in samples:
+        if (sample.label, sample.sketch) in met:
+            continue
+        met.add((sample.label, sample.sketch))
+        totals[sample.label] += 1
+        counts = seen[sample.label]
+        for w in sample.words:
+            counts[w] = counts.get(w, 0) + 1
+    bound = {}
     for w, hits in seen[1].items():
-        if hits >= max(3, totals[1] // 200):
+        if hits >= max(3, totals[1] // 100):
             other = seen[0].get(w, 0)
-            value = math.log((hits + 0.5) / (totals[1] + 1)) - math.log((other + 0.5) / (totals[0] + 1))
+            odds = math.log((hits + 0.5) / (totals[1] + 1)) - math.log((other + 0.5) / (totals[0] + 1))
+            value = odds - 2 * math.sqrt(1 / (hits + 0.5) + 1 / (other + 0.5)) + math.sqrt(2)  # a word never seen elsewhere is not punished for that
             if value > 1.0:
-                odds[w] = (value * math.sqrt(hits), value)
-    top = sorted(odds, key=lambda w: (-odds[w][0], w))[:size]
-    return {w: odds[w][1] for w in top}, frozenset(w for w in top if odds[w][1] >= 2.0)
+                bound[w] = value
+    top = sorted(bound, key=lambda w: (-bound[w], w))[:size]
+    return {w: bound[w] for w in top}, frozenset(w for w in top if bound[w] >= 2.5)
 
 
 def features_of(text: str, lexicon: dict[str, float], strong: frozenset[str]) -> list[float]:
@@ -174,7 +198,7 @@ def isotonic(margin: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> tuple[
     return np.array(knots), np.clip(np.array(levels), 0.0, 1.0)
 
 
-def train(samples: list[tuple[str, int]], rates: tuple[float, float] | None = None, rounds: int = 60, depth: int = 3, folds: int = 4) -> Booster | None:
+def train(samples: list[tuple[str, int]], rates: tuple[float, float] | None = None, rounds: int = 60, depth: int = 3, folds: int = 3) -> Booster | None:
     """Lexicon, trees and calibration from (text, label) rows; calibration uses margins of trees that did not see the row.
 
     ``rates`` are the numbers of rows labelled 0 and 1 the sample stands for, used as weights. With one class only, that class's rate is the score.
@@ -187,25 +211,30 @@ def train(samples: list[tuple[str, int]], rates: tuple[float, float] | None = No
     weight = weight * len(gold) / weight.sum()
     if len(set(gold)) == 1:
         return Booster({}, frozenset(), [np.zeros(0)] * len(FEATURES), [], 0.0, np.array([0.0]), gold[:1])
+    prepared = [Sample.of(t, y) for t, y in samples]
     fold = np.arange(len(samples)) % folds
     margins = np.zeros(len(samples))
     for k in range(folds):
-        inside = [s for s, f in zip(samples, fold, strict=True) if f != k]
+        inside = [s for s, f in zip(prepared, fold, strict=True) if f != k]
         part = _fit(inside, weight[fold != k], rounds, depth)
-        x = np.array([features_of(t, part.lexicon, part.strong) for (t, _), f in zip(samples, fold, strict=True) if f == k])
+        x = np.array([features_of(s.text, part.lexicon, part.strong) for s, f in zip(prepared, fold, strict=True) if f == k])
         if len(x):
             margins[fold == k] = part.base + _walk(part.trees, _bin(x, part.cuts))
-    model = _fit(samples, weight, rounds, depth)
+    model = _fit(prepared, weight, rounds, depth)
     model.knots, model.levels = isotonic(margins, gold, weight)
     return model
 
 
-def _fit(samples, weight, rounds, depth) -> Booster:
-    lexicon, strong = learn_lexicon(samples)
-    x = np.array([features_of(t, lexicon, strong) for t, _ in samples])
+def _fit(samples: list[Sample], weight, rounds, depth, folds: int = 3) -> Booster:
+    """Trees on features whose lexicon did not see the row (one lexicon per fold), and the lexicon of all rows for scoring."""
+    x = np.zeros((len(samples), len(FEATURES)))
+    for k in range(folds):
+        own = learn_lexicon([s for i, s in enumerate(samples) if i % folds != k])
+        for i in range(k, len(samples), folds):
+            x[i] = features_of(samples[i].text, *own)
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    base, trees = _boost(_bin(x, cuts), np.array([y for _, y in samples], float), weight, rounds, depth, 0.15)
-    return Booster(lexicon, strong, cuts, trees, base, np.array([0.0]), np.array([0.5]))
+    base, trees = _boost(_bin(x, cuts), np.array([s.label for s in samples], float), weight, rounds, depth, 0.15)
+    return Booster(*learn_lexicon(samples), cuts, trees, base, np.array([0.0]), np.array([0.5]))
 
 
 def score_texts(model: Booster, texts: list[str]) -> np.ndarray:
