@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from spanledger.llm.sampling import bounded_sample, remainder
+from spanledger.llm.sampling import labelled_texts, remainder
 
 WIDTH = 6
 FILTERS = 16
@@ -170,7 +170,8 @@ def _gradients(net: Network, shift: float, texts: list[bytes], gold: np.ndarray)
     per = np.diff(np.append(first, len(starts)))
     back = np.repeat(error / per, per)[:, None] * net.out[:FILTERS]
     owner = np.repeat(np.arange(len(texts)), per)
-    top = pooled == features[owner, FILTERS:]
+    top = (pooled == features[owner, FILTERS:]).astype(np.float32)
+    top /= np.add.reduceat(top, first, axis=0)[owner]  # equal chunks share the gradient of their maximum
     back = back + top * (error[owner][:, None] * net.out[FILTERS:])
     back *= pooled > 0
     taps = np.zeros_like(net.taps)
@@ -186,10 +187,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_label: int = 800,
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     if not counts:
         return None
-    chosen = bounded_sample(marks, "label", sorted(counts), per_label, F.struct(F.xxhash64("id", F.lit(17)), "id"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    samples = sorted((r["text"].encode("utf-8", "replace"), r["label"]) for r in rows.select("text", "label").collect())
-    return train(samples, (counts[0], counts[1]) if len(counts) == 2 else None)
+    samples = labelled_texts(docs, marks, counts, per_label, 17, id_col, text_col)
+    return train([(t.encode("utf-8", "replace"), y) for t, y in samples], (counts[0], counts[1]) if len(counts) == 2 else None)
 
 
 def score_quality(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
