@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.sampling import bounded_sample, remainder
+from spanledger.llm.sampling import labelled_texts, remainder
 
 WORD = re.compile(r"[^\W\d_]")
 #: The words of ``words_of`` with their places.
@@ -286,15 +286,13 @@ class Tagger:
 def fit_language_model(docs: DataFrame, per_label: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Train on at most ``per_label`` texts per label, taken by least hash among rows not held out.
 
-    Held out are ids whose crc32 modulo 3 is 1. The label set is every label that such rows have.
+    Held out are ids whose crc32 modulo 3 is 1; rows without an id, text or label are not learned from. The label set is
+    every label that the other rows have.
     """
-    rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(remainder(F.col(id_col), 3) == 1, F.lit(False)))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col), F.lit(11)).alias("o"), F.col(id_col).alias("id"))
-    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a label set, not data
-    if not labels:
-        return None
-    picked = bounded_sample(rows, "label", labels, per_label, F.struct("o", "id", "text")).select("text", "label").collect()
-    return train(sorted((r["text"], r["label"]) for r in picked))
+    rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(F.col(id_col), 3) != 1))
+    marks = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}  # a label set, not data
+    return train(labelled_texts(rows, marks.distinct(), counts, per_label, 11, id_col, text_col)) if counts else None
 
 
 def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.sampling import bounded_sample, remainder
+from spanledger.llm.sampling import labelled_texts, remainder
 from spanledger.llm.simhash import shingle_hashes
 
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…"
@@ -249,10 +249,8 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_label: int = 1500
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     if not counts:
         return None
-    chosen = bounded_sample(marks, "label", sorted(counts), per_label, F.struct(F.xxhash64("id", F.lit(23)), "id"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    samples = sorted((r["id"], r["text"], r["label"]) for r in rows.collect())
-    return train([(t, y) for _, t, y in samples], (counts[0], counts[1]) if len(counts) == 2 else None)
+    samples = labelled_texts(docs, marks, counts, per_label, 23, id_col, text_col)
+    return train(samples, (counts[0], counts[1]) if len(counts) == 2 else None)
 
 
 def score_toxicity(docs: DataFrame, model: Booster | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
