@@ -74,8 +74,12 @@ def place_groups(sizes: dict[int, int], shards: int, target: float) -> tuple[dic
     return places, load
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002) -> DataFrame:
-    """(id, size, text_crc32, shard, slot) of every row, with near-equal bytes per shard.
+def shard_documents(
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, keep_rows: bool = False,
+) -> DataFrame:
+    """(id, size, text_crc32, shard, slot[, row]) of every row, with near-equal bytes per shard.
+
+    With ``keep_rows`` the whole row travels along the one exchange, packed in ``row``.
 
     Size is the UTF-8 length of the text plus 1 (a null text counts as empty). Rows of equal
     text stay together in a shard while their group fits into one; a group that is larger than a
@@ -87,8 +91,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     that are shuffled once. Null and repeated ids are ordinary rows; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    carried = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_rows else []
     rows = checkpoint(docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        *carried, F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         _unsigned(F.xxhash64(text)).alias("group"), F.xxhash64(text, F.col(id_col)).alias("mix"),
     ))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -107,7 +112,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     key = F.when(F.col("group").isin(split), _unsigned(F.col("mix"))).otherwise(F.col("group")) if split else F.col("group")
     by_key = sum(((key >= cut).cast("int") for cut in cuts), F.lit(0))
     placed = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])[F.col("group")] if places else F.lit(None)
-    dealt = rows.select("id", "size", "text_crc32", "mix", F.coalesce(placed, by_key).cast("int").alias("shard"))
+    kept = ["row"] if keep_rows else []
+    dealt = rows.select(*kept, "id", "size", "text_crc32", "mix", F.coalesce(placed, by_key).cast("int").alias("shard"))
 
     bits = max(6, math.ceil(math.log2(max(1, count) / shards / RANGE_ROWS + 1)))
     dealt = dealt.withColumn("range", F.shiftrightunsigned("mix", 64 - bits))
@@ -117,10 +123,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     order = Window.partitionBy("shard", "range").orderBy("mix", "id", "size", "text_crc32")
     return (
         dealt.withColumn("rank", F.row_number().over(order)).join(starts, ["shard", "range"])
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"))
+        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), *kept)
     )
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write every row of ``docs`` with its ``shard`` and ``slot``, a folder per shard, files in order of slots."""
+    rows = shard_documents(docs, shards, id_col, text_col, keep_rows=True)
+    rows.select("row", "slot", "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def _fill(load: list[int], rest: float) -> tuple[list[float], float]:
     """Room each shard gets of ``rest`` bytes so that the fullest stays as low as can be."""
     level, order = 0.0, sorted(load)

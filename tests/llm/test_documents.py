@@ -95,6 +95,14 @@ def test_a_group_larger_than_a_shard_is_dealt_out(spark):
     assert len(places["hot" * 50]) == 8
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(i, f"text {i % 40}", "x", i) for i in range(300)] + [(None, None, None, None)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string, shard string, slot int"), str(tmp_path / "s"), shards=3)
+    got = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((tuple(r["row"]) for r in got), key=repr) == sorted(rows, key=repr)
+    assert {r["shard"] for r in got} == {0, 1, 2}
+
+
 def test_shards_of_little(spark):
     frame = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id bigint, text string")
     assert len(sharding.shard_documents(frame).collect()) == 3
