@@ -178,7 +178,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     keys = F.flatten(F.array(*[ball(table, segment) for table, segment in enumerate(halves)]))
     entries = prints.select("n", F.explode(keys).alias("key")).repartition("key")  # shuffled once for both uses
     ends = entries.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high")
-    met = entries.join(ends, "key").select("n", F.explode(F.array("low", "high")).alias("other")).filter("n <> other")
+    # the greatest names the least, and every entry between names both: each match of a bucket once
+    named = F.array_compact(F.array(F.when(F.col("n") > F.col("low"), F.col("low")), F.when((F.col("n") > F.col("low")) & (F.col("n") < F.col("high")), F.col("high"))))
+    met = entries.join(ends, "key").select("n", F.explode(named).alias("other"))
     pairs = met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct()
     left = prints.select(F.col("n").alias("a"), *[F.col(w).alias(f"a{w}") for w in names])
     right = prints.select(F.col("n").alias("b"), *[F.col(w).alias(f"b{w}") for w in names])
