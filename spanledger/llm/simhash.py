@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,9 @@ from spanledger.session import checkpoint
 BUCKET = 256
 #: Words of 64 bits in a wide fingerprint.
 WORDS = 4
+#: Texts and characters of one block of a group whose pairs are compared.
+BLOCK = 512
+BLOCK_CHARS = 16_000_000
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int) -> np.ndarray:
@@ -131,17 +134,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def add_wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(id, w0 .. w3) of every row."""
+    """(id, text_hash, w0 .. w3) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", *(f"w{k}" for k in range(WORDS))]
+    names = ["id", "text_hash", *(f"w{k}" for k in range(WORDS))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [wide_fingerprint(x.as_py(), width, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[k] for v in values], pa.int64()) for k in range(WORDS))], names)
+            values = [wide_fingerprint(x.as_py(), width, seed) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([v[k] for v in values], pa.int64()) for k in range(WORDS))], names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:]))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names[2:]))
+
+
+def in_blocks(members: DataFrame, group: str, size: Column) -> DataFrame:
+    """Rows of every pair of blocks (``i``, ``j``) of a group, dealt and sorted by them; a row of block ``j`` has side 1 where ``i`` < ``j``.
+
+    A group falls into ``size`` blocks, and each pair of blocks is work of its own, so no pair of a group is left out however large it is.
+    """
+    own = members.withColumn("blocks", F.greatest(size, F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    spread = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = spread.select(
+        group, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"),
+        *[c for c in members.columns if c != group],
+    )
+    return work.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def link_forest(names: list[int], side: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges with the components of all links of one pair of blocks; pairs that are connected already are not compared again."""
+    label, edges, cross = np.arange(len(names)), [], bool(side.any())
+    for x in np.flatnonzero(side == 0).tolist():
+        open_ = label != label[x]
+        if cross:
+            open_ &= side == 1
+        else:
+            open_[:x] = False
+        rest = np.flatnonzero(open_)
+        if not len(rest):
+            continue
+        for y in rest[linked(x, rest)].tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                edges.append((names[x], names[y]))
+    return edges
+
+
+def forests(work: DataFrame, value: str, read: Callable, linker: Callable[[list], Callable]) -> DataFrame:
+    """Edges (a, b) of every pair of blocks from ``in_blocks``; ``read`` makes an item of a value, ``linker`` compares items."""
+    names = ["a", "b"]
+    rows = work.select(work.columns[0], "i", "j", "side", "n", value)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(held: list) -> pa.RecordBatch:
+            found = link_forest([n for _, n, _ in held], np.array([s for s, _, _ in held]), linker([v for _, _, v in held])) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names)
+
+        held, last = [], None
+        for batch in batches:
+            groups = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True)
+            for at, (group, side, n) in enumerate(zip(groups, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if group != last:
+                    if len(held) > 1:
+                        yield edges(held)
+                    held, last = [], group
+                held.append((side, n, read(batch.column(5)[at].as_py())))
+        yield edges(held)
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def shingle_linker(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether the exact Jaccard similarity of a set with others is ``similarity`` or more."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    marked = np.zeros(max((int(c.max()) for c in codes if len(c)), default=0) + 1, dtype=bool)
+
+    def linked(x: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), dtype=bool)
+        fit = np.flatnonzero(np.minimum(sizes[others], sizes[x]) >= similarity * np.maximum(sizes[others], sizes[x]) - 1e-9)
+        marked[codes[x]] = True
+        for at in range(0, len(fit), 64):
+            some = fit[at : at + 64]
+            ys = others[some]
+            stops = np.cumsum(sizes[ys])
+            common = np.add.reduceat(marked[np.concatenate([codes[y] for y in ys])].astype(np.int64), np.concatenate(([0], stops[:-1])))
+            out[some] = common >= similarity * (sizes[ys] + sizes[x] - common) - 1e-9
+        marked[codes[x]] = False
+        return out
+
+    return linked
+
+
+def exact_links(candidates: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int, seed: int) -> DataFrame:
+    """Edges (a, b) that connect texts of an exact Jaccard similarity of ``similarity`` or more in distinct word shingles.
+
+    ``candidates`` (a, b) only say what is compared: all pairs of a component of theirs are, by the texts themselves, in blocks.
+    A family of near copies costs about as many comparisons as it has texts in each pair of blocks; G texts that are all a little
+    less alike than ``similarity`` cost G squared, spread over all tasks.
+    """
+    roots = connected_components(candidates)
+    wanted = checkpoint(prints.join(roots.withColumnRenamed("node", "n"), "n").select("n", "root", "text_hash"))
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).join(wanted, "text_hash")
+    members = checkpoint(texts.groupBy("n").agg(F.first("root").alias("root"), F.first("text").alias("text")))
+    sizes = checkpoint(members.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.length("text")).alias("chars")))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS))
+    work = in_blocks(members.join(sizes, "root").select("root", "n", "text", "size", "chars"), "root", blocks)
+    return forests(work, "text", lambda text: np.unique(shingle_hashes(text, width, seed)), lambda sets: shingle_linker(sets, similarity))
 
 
 def distance_at(similarity: float) -> int:
@@ -156,19 +255,19 @@ def distance_at(similarity: float) -> int:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """(id, component_id) of every row: groups of texts whose word shingles are about ``similarity`` alike or more.
+    """(id, component_id) of every row: groups of texts linked by an exact Jaccard similarity of ``similarity`` or more in distinct word shingles.
 
     Multi-index hashing over wide fingerprints: each of the eight 32-bit segments has a table in which
     a fingerprint stands under the 33 keys within one bit of its segment, so two fingerprints meet where a segment differs by
     two bits or fewer. In each bucket the least and the greatest entry are matched with all others and every match is
-    verified over all 256 bits, so candidates grow with the entries and never with the square of a bucket.
+    checked over all 256 bits, so candidates grow with the entries and never with the square of a bucket. They are linked by ``exact_links`` only.
     A pair of similarity 0.8 meets in a table with probability 0.63, one of 0.9 with 0.96, one of 0.95 with 0.999.
     Equal fingerprints are grouped before. Nulls, repeated rows and ids are as in ``near_duplicates``.
     """
     rows = checkpoint(add_wide_fingerprints(docs, id_col, text_col, width, seed))
     names = [f"w{k}" for k in range(WORDS)]
-    grouped = rows.groupBy(*names).agg(F.min("id").alias("first"))
-    prints = checkpoint(grouped.select(F.monotonically_increasing_id().alias("n"), *names, "first"))
+    grouped = rows.groupBy(*names).agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"))
+    prints = checkpoint(grouped.select(F.monotonically_increasing_id().alias("n"), *names, "first", "text_hash"))
     masks = F.array(*[F.lit(m).cast("bigint") for m in _ball(32, 1)])
     halves = [h for w in names for h in (F.shiftrightunsigned(w, 32), F.col(w).bitwiseAND(F.lit(0xFFFFFFFF)))]
 
@@ -185,8 +284,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     left = prints.select(F.col("n").alias("a"), *[F.col(w).alias(f"a{w}") for w in names])
     right = prints.select(F.col("n").alias("b"), *[F.col(w).alias(f"b{w}") for w in names])
     distance = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
-    links = pairs.join(left, "a").join(right, "b").filter(distance <= distance_at(similarity)).select("a", "b")
-    roots = connected_components(links)
+    candidates = pairs.join(left, "a").join(right, "b").filter(distance <= distance_at(similarity)).select("a", "b")
+    roots = connected_components(exact_links(candidates, prints, docs, text_col, similarity, width, seed))
     rooted = prints.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = rooted.join(least, "root").select(*names, "component_id")
