@@ -18,6 +18,8 @@ from spanledger.session import checkpoint
 BUCKET = 256
 #: Words of 64 bits in a wide fingerprint.
 WORDS = 4
+#: Minima that make the key of a table.
+ROWS = 6
 #: Texts and characters of one block of a group whose pairs are compared.
 BLOCK = 512
 BLOCK_CHARS = 16_000_000
@@ -133,18 +135,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(groups, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def add_wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(id, text_hash, w0 .. w3) of every row."""
+def tables_for(similarity: float, miss: float) -> int:
+    """Tables of ``ROWS`` minima each in which a pair of that similarity meets nowhere with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-(similarity**ROWS)))
+
+
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Least values of distinct shingle hashes under ``count`` linear maps; two sets agree in one with the probability of their Jaccard similarity."""
+    rng = np.random.default_rng(count)
+    factors, terms = (rng.integers(0, 2**32, count, dtype=np.uint32) for _ in range(2))
+    factors |= np.uint32(1)
+    short, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(count, 2**32 - 1, np.uint32)
+    for at in range(0, len(short), 512):
+        least = np.minimum(least, (short[at : at + 512, None] * factors + terms).min(axis=0))
+    return least
+
+
+def add_minima(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, tables: int) -> DataFrame:
+    """(id, text_hash, high, low, keys, sketch) of every row: digest of the set of shingles, a key for each table, the last byte of each minimum.
+
+    A wordless text has neither keys nor sketch.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "text_hash", *(f"w{k}" for k in range(WORDS))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [wide_fingerprint(x.as_py(), width, seed) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([v[k] for v in values], pa.int64()) for k in range(WORDS))], names)
+            digests, keys, sketches = [], [], []
+            for text in batch.column(2):
+                found = np.unique(shingle_hashes(text.as_py(), width, seed))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                least = minima(found, tables * ROWS) if len(found) else np.zeros(0, np.uint32)
+                keys.append([xxhash.xxh64_intdigest(row.tobytes(), t) - 2**63 for t, row in enumerate(least.reshape(-1, ROWS))])
+                sketches.append(least.astype(np.uint8).tobytes())
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+            ], ["id", "text_hash", "high", "low", "keys", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names[2:]))
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, high bigint, low bigint, keys array<bigint>, sketch binary")
 
 
 def in_blocks(members: DataFrame, group: str, size: Column) -> DataFrame:
@@ -254,39 +283,32 @@ def distance_at(similarity: float) -> int:
     return int(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+def sketch_linker(sketches: list[bytes], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether sketches agree in so many places as a pair of ``similarity`` does but for four standard deviations."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    least = rows.shape[1] * similarity - 4 * math.sqrt(rows.shape[1] * similarity * (1 - similarity))
+    return lambda x, others: (rows[others] == rows[x]).sum(axis=1) >= least
+
+
+def similar_groups(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, miss: float = 1e-3,
+) -> DataFrame:
     """(id, component_id) of every row: groups of texts linked by an exact Jaccard similarity of ``similarity`` or more in distinct word shingles.
 
-    Multi-index hashing over wide fingerprints: each of the eight 32-bit segments has a table in which
-    a fingerprint stands under the 33 keys within one bit of its segment, so two fingerprints meet where a segment differs by
-    two bits or fewer. In each bucket the least and the greatest entry are matched with all others and every match is
-    checked over all 256 bits, so candidates grow with the entries and never with the square of a bucket. They are linked by ``exact_links`` only.
-    A pair of similarity 0.8 meets in a table with probability 0.63, one of 0.9 with 0.96, one of 0.95 with 0.999.
-    Equal fingerprints are grouped before. Nulls, repeated rows and ids are as in ``near_duplicates``.
+    Texts of the same set of shingles are grouped first. Every set keeps the minima of its shingles under random maps; six of them are
+    the key of a table, and there are as many tables as make the chance that a pair right at the threshold meets in none ``miss`` at most
+    (far less for nearer pairs). In each bucket the least and the greatest entry are matched with all others. Candidates only say which texts ``exact_links`` compares.
+    Nulls, repeated rows and ids are as in ``near_duplicates``.
     """
-    rows = checkpoint(add_wide_fingerprints(docs, id_col, text_col, width, seed))
-    names = [f"w{k}" for k in range(WORDS)]
-    grouped = rows.groupBy(*names).agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"))
-    prints = checkpoint(grouped.select(F.monotonically_increasing_id().alias("n"), *names, "first", "text_hash"))
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _ball(32, 1)])
-    halves = [h for w in names for h in (F.shiftrightunsigned(w, 32), F.col(w).bitwiseAND(F.lit(0xFFFFFFFF)))]
-
-    def ball(table: int, segment: Column) -> Column:
-        return F.transform(masks, lambda mask: segment.bitwiseXOR(mask).bitwiseOR(F.lit(table << 32).cast("bigint")))
-
-    keys = F.flatten(F.array(*[ball(table, segment) for table, segment in enumerate(halves)]))
-    entries = prints.select("n", F.explode(keys).alias("key")).repartition("key")  # shuffled once for both uses
-    ends = entries.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high")
-    # the greatest names the least, and every entry between names both: each match of a bucket once
-    named = F.array_compact(F.array(F.when(F.col("n") > F.col("low"), F.col("low")), F.when((F.col("n") > F.col("low")) & (F.col("n") < F.col("high")), F.col("high"))))
-    met = entries.join(ends, "key").select("n", F.explode(named).alias("other"))
-    pairs = met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct()
-    left = prints.select(F.col("n").alias("a"), *[F.col(w).alias(f"a{w}") for w in names])
-    right = prints.select(F.col("n").alias("b"), *[F.col(w).alias(f"b{w}") for w in names])
-    distance = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
-    candidates = pairs.join(left, "a").join(right, "b").filter(distance <= distance_at(similarity)).select("a", "b")
+    rows = checkpoint(add_minima(docs, id_col, text_col, width, seed, tables_for(similarity, miss)))
+    grouped = rows.groupBy("high", "low").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    prints = checkpoint(grouped.select(F.monotonically_increasing_id().alias("n"), "*"))
+    entries = prints.select("n", F.explode("keys").alias("key"))
+    ends = entries.groupBy("key").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n")).filter("low_n < high_n")
+    met = entries.join(ends, "key").select("n", F.explode(F.array("low_n", "high_n")).alias("other"))
+    candidates = met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).filter("a < b").distinct()
     roots = connected_components(exact_links(candidates, prints, docs, text_col, similarity, width, seed))
     rooted = prints.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = rooted.join(least, "root").select(*names, "component_id")
-    return rows.join(groups, names).select(F.col("id").alias(id_col), "component_id")
+    groups = rooted.join(least, "root").select("high", "low", "component_id")
+    return rows.select("id", "high", "low").join(groups, ["high", "low"]).select(F.col("id").alias(id_col), "component_id")
