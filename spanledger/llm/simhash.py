@@ -20,6 +20,8 @@ BUCKET = 256
 WORDS = 4
 #: Minima that make the key of a table.
 ROWS = 6
+#: Entries of one block of a bucket.
+BUCKET_BLOCK = 2048
 #: Texts and characters of one block of a group whose pairs are compared.
 BLOCK = 512
 BLOCK_CHARS = 16_000_000
@@ -297,16 +299,17 @@ def similar_groups(
 
     Texts of the same set of shingles are grouped first. Every set keeps the minima of its shingles under random maps; six of them are
     the key of a table, and there are as many tables as make the chance that a pair right at the threshold meets in none ``miss`` at most
-    (far less for nearer pairs). In each bucket the least and the greatest entry are matched with all others. Candidates only say which texts ``exact_links`` compares.
+    (far less for nearer pairs). All entries of a bucket are compared by their sketches, in blocks, and a forest of what may be alike leaves the task. Candidates only say which texts ``exact_links`` compares.
     Nulls, repeated rows and ids are as in ``near_duplicates``.
     """
     rows = checkpoint(add_minima(docs, id_col, text_col, width, seed, tables_for(similarity, miss)))
     grouped = rows.groupBy("high", "low").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     prints = checkpoint(grouped.select(F.monotonically_increasing_id().alias("n"), "*"))
     entries = prints.select("n", F.explode("keys").alias("key"))
-    ends = entries.groupBy("key").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n")).filter("low_n < high_n")
-    met = entries.join(ends, "key").select("n", F.explode(F.array("low_n", "high_n")).alias("other"))
-    candidates = met.select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).filter("a < b").distinct()
+    sizes = checkpoint(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    met = entries.join(sizes, "key").join(prints.select("n", "sketch"), "n").select("key", "n", "sketch", "size")
+    work = in_blocks(met, "key", F.ceil(F.col("size") / BUCKET_BLOCK))
+    candidates = forests(work, "sketch", lambda sketch: sketch, lambda found: sketch_linker(found, similarity))
     roots = connected_components(exact_links(candidates, prints, docs, text_col, similarity, width, seed))
     rooted = prints.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

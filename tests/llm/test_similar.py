@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from spanledger.llm import simhash
 from test_duplicates import plain_groups
 
@@ -62,3 +64,16 @@ def test_pairs_at_the_threshold_are_found(spark):
     got = grouped(spark, texts)
     assert all(got[i] in (i, i - i % 2) for i in range(len(texts)))
     assert sum(got[i + 1] != i for i in range(0, len(texts), 2)) <= 1
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_pairs_in_a_crowded_bucket_are_found(spark, monkeypatch, block):
+    """Families of one template meet in common buckets; pairs between the ends of other families count as well."""
+    monkeypatch.setattr(simhash, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK", min(block, 512))
+    texts = templated(random.Random(3), 150, 200, 60)
+    random.Random(4).shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    want = plain_groups(sets, lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
+    assert len(set(want)) == 150
+    assert grouped(spark, texts) == want
