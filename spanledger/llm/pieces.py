@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +18,14 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Ways in which one word is segmented within a corpus; the occurrence decides which.
-VARIANTS = 2
-#: Words whose segmentations a task keeps, and the longest it keeps.
+#: Segmentations that a task keeps, and the longest word of which it keeps any.
 CACHE = 400_000
 CACHED_LENGTH = 40
 #: Symbols up to which the agenda is a plain list in text order; longer words use a heap.
 SHORT = 48
 NEVER = 1 << 30
-# Keyed hash of a candidate, from the word's key, the place of its left side and its rank: odd 32-bit constants.
-PLACE, PIECE, MIX, MASK = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0xFFFFFFFF
+# Keyed hash of an occurrence and its drops: SplitMix64.
+STEP, MIX_A, MIX_B, MASK = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
 
 
 @dataclass
@@ -72,87 +72,159 @@ def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
     return re.compile(f"{SPACE}*(?:{letter}+|{other}+)|{SPACE}+")
 
 
+def mixed(x):
+    """SplitMix64's mixing of a number, or of an array of 64-bit numbers."""
+    if isinstance(x, np.ndarray):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
+        return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> 30)) * MIX_A & MASK
+    x = (x ^ (x >> 27)) * MIX_B & MASK
+    return x ^ (x >> 31)
+
+
+class Node:
+    """A segmentation of a word after some drops: candidates taken since the last drop, ids, and what follows from one further drop."""
+
+    __slots__ = ("ids", "further", "taken")
+
+    def __init__(self, taken: int, ids: bytes) -> None:
+        self.taken, self.ids, self.further = taken, ids, None
+
+
 class Encoder:
-    """Encodes texts; each candidate merge is dropped when its keyed hash falls below the rate."""
+    """Encodes texts; each candidate merge of each occurrence of a word is dropped by a draw of its own.
+
+    Draws are keyed by seed, text and place of the occurrence. As they are independent, the number of candidates taken before the next
+    drop is geometric, and one hash gives it. The segmentations of a word so form a tree with a branch for each
+    place of the next drop, of which a task keeps what it has met; what it keeps changes no result.
+    """
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int) -> None:
         self.vocabulary, self.seed = vocabulary, seed
-        self.limit = int(rate * (1 << 32))
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if rate > 0 else 1)]
+        self.scale = 1 / math.log1p(-rate) if 0 < rate < 1 else None
+        self.always = rate >= 1
         self.word = vocabulary.word
         order = {score: n for n, score in enumerate(sorted(set(vocabulary.scores.values()), reverse=True))}
         self.costs = {piece: order[score] for piece, score in vocabulary.scores.items()}
         self.literal = np.array([vocabulary.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.nodes: dict[str | None, Node] = {None: Node(0, self.literal)}
+        self.kept = 0
 
     def encode(self, text: str, salt: int = 0) -> bytes:
         """Ids as 32-bit integers. The mark for spaces, where it stands in the text itself, becomes its three bytes."""
         if not text:
             return b""
-        parts: list[bytes] = []
-        number = salt & 0xFFFFFFFF
-        many = len(self.caches)
+        words: list[str | None] = []
         for k, stretch in enumerate(text.split(SPACE)):
             if k:
-                parts.append(self.literal)
-            marked = (SPACE if k == 0 else "") + stretch.replace(" ", SPACE)
-            for word in self.word.findall(marked):
-                number += 1
-                variant = (number * 0x9E3779B1 >> 16) % many
-                ids = self.caches[variant].get(word)
-                if ids is None:
-                    ids = self._remember(word, variant)
-                parts.append(ids)
+                words.append(None)
+            words += self.word.findall((SPACE if k == 0 else "") + stretch.replace(" ", SPACE))
+        base = xxhash.xxh64_intdigest((salt & MASK).to_bytes(8, "little"), self.seed)
+        parts: list[bytes] = []
+        for at in range(0, len(words), 65536):
+            some = words[at : at + 65536]
+            keys = mixed(np.arange(at + 1, at + 1 + len(some), dtype=np.uint64) * np.uint64(STEP) + np.uint64(base))
+            parts += map(self._ids, some, self._gaps(keys).tolist(), keys.tolist())
         return b"".join(parts)
 
-    def _remember(self, word: str, variant: int) -> bytes:
-        ids = array("i", self._merge(word, variant)).tobytes()
-        cache = self.caches[variant]
-        if len(word) <= CACHED_LENGTH:
-            if len(cache) >= CACHE // len(self.caches):
-                cache.clear()
-            cache[word] = ids
-        return ids
-
-    def _merge(self, word: str, variant: int) -> list[int]:
-        key = xxhash.xxh32_intdigest(word.encode("utf-8", "replace"), (self.seed * VARIANTS + variant) & MASK)
-        symbols = self._short(word, key) if len(word) <= SHORT else self._long(word, key)
-        ids, out = self.vocabulary.ids, []
+    def _ids(self, word: str | None, gap: int, key: int) -> bytes:
+        node = self.nodes.get(word)
+        if node is None:
+            if len(word) > CACHED_LENGTH:
+                return self._numbers(self._agenda(word, self._drops(key))[0])
+            if self.kept >= CACHE:
+                self._forget()
+            node = self.nodes[word] = self._node(word, [])
+        if gap >= node.taken:
+            return node.ids
+        drops = [gap]
+        while True:
+            if node.further is None:
+                node.further = {}
+            after = node.further.get(gap)
+            if after is None:
+                after = node.further[gap] = self._node(word, drops)
+            node, gap = after, self._gap(key, len(drops))
+            if gap >= node.taken:
+                return node.ids
+            drops.append(gap)
+
+    def _node(self, word: str, drops: list[int]) -> Node:
+        self.kept += 1
+        symbols, taken = self._agenda(word, chain(drops, repeat(NEVER)))
+        return Node(taken - sum(drops) - len(drops), self._numbers(symbols))
+
+    def _gaps(self, keys: np.ndarray) -> np.ndarray:
+        """Candidates taken before the first drop, for each key."""
+        if self.scale is None:
+            return np.full(len(keys), 0 if self.always else NEVER)
+        share = ((mixed(keys + np.uint64(STEP)) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53
+        return np.minimum(np.log(share) * self.scale, NEVER).astype(np.int64)
+
+    def _gap(self, key: int, drop: int) -> int:
+        """Candidates taken between two drops."""
+        if self.scale is None:
+            return 0 if self.always else NEVER
+        return min(int(math.log(((mixed(key + (drop + 1) * STEP & MASK) >> 11) + 1) * 2.0**-53) * self.scale), NEVER)
+
+    def _drops(self, key: int) -> Iterator[int]:
+        return (self._gap(key, drop) for drop in count())
+
+    def _numbers(self, symbols: list[str]) -> bytes:
+        ids, out = self.vocabulary.ids, array("i")
         for symbol in symbols:
             number = ids.get(symbol)
             if number is None:
                 out.extend(self.vocabulary.bytes_at[b] for b in symbol.encode("utf-8", "replace"))
             else:
                 out.append(number)
-        return out
+        return out.tobytes()
+
+    def _agenda(self, word: str, gaps: Iterator[int]) -> tuple[list[str], int]:
+        """Symbols of a word and the candidates taken from its agenda, of which those after ``gaps`` others are dropped."""
+        return self._listed(word, gaps) if len(word) <= SHORT else self._heaped(word, gaps)
 
     def _short(self, word: str, key: int) -> list[str]:
+        return self._listed(word, self._drops(key))[0]
+
+    def _long(self, word: str, key: int) -> list[str]:
+        return self._heaped(word, self._drops(key))[0]
+
+    def _listed(self, word: str, gaps: Iterator[int]) -> tuple[list[str], int]:
         """The agenda as a list of costs in text order: take the least, drop it or merge it, renew its two neighbours."""
-        costs, limit = self.costs.get, self.limit
-        symbols, starts = list(word), list(range(len(word)))
+        costs = self.costs.get
+        symbols, taken, drop = list(word), 0, next(gaps)
         agenda = [costs(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
             least = min(agenda)
             if least == NEVER:
                 break
             at = agenda.index(least)
-            if ((key ^ starts[at] * PLACE) + least * PIECE) * MIX & MASK < limit:
+            taken += 1
+            if taken > drop:
                 agenda[at] = NEVER
+                drop = taken + next(gaps)
                 continue
             piece = symbols[at] + symbols[at + 1]
             symbols[at] = piece
-            del symbols[at + 1], starts[at + 1], agenda[at]
+            del symbols[at + 1], agenda[at]
             if at < len(agenda):
                 agenda[at] = costs(piece + symbols[at + 1], NEVER)
             if at:
                 agenda[at - 1] = costs(symbols[at - 1] + piece, NEVER)
-        return symbols
+        return symbols, taken
 
-    def _long(self, word: str, key: int) -> list[str]:
+    def _heaped(self, word: str, gaps: Iterator[int]) -> tuple[list[str], int]:
         """The same agenda as a heap with links between the symbols, for words of any length."""
         costs = self.costs
         symbols: list[str | None] = list(word)
-        count = len(symbols)
-        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+        taken, drop = 0, next(gaps)
+        size = len(symbols)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         agenda: list[tuple[int, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
@@ -160,22 +232,24 @@ class Encoder:
             if piece in costs:
                 heapq.heappush(agenda, (costs[piece], left, right, piece))
 
-        for at in range(count - 1):
+        for at in range(size - 1):
             offer(at, at + 1)
         while agenda:
             cost, left, right, piece = heapq.heappop(agenda)
             if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != piece:
                 continue
-            if ((key ^ left * PLACE) + cost * PIECE) * MIX & MASK < self.limit:
+            taken += 1
+            if taken > drop:
+                drop = taken + next(gaps)
                 continue
             symbols[left], symbols[right] = piece, None
             after[left] = after[right]
-            if after[left] < count:
+            if after[left] < size:
                 before[after[left]] = left
                 offer(left, after[left])
             if before[left] >= 0:
                 offer(before[left], left)
-        return [s for s in symbols if s is not None]
+        return [s for s in symbols if s is not None], taken
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
@@ -187,7 +261,7 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """(id, token_ids, n_tokens[, lossless]) of every row.
 
-    Segmentations depend on seed, id and place of the word only, so a task that runs again gives the same; another seed gives
+    Every occurrence of a word is segmented by draws of its own, keyed by seed, id and place of the word only, so a task that runs again gives the same; another seed gives
     another segmentation. A null text has null ids, an empty text none. With ``check`` the ids are
     decoded again and ``lossless`` says whether the text came back (null for null).
     """
@@ -202,7 +276,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1,
                 rows, same = [], []
                 for key, text in zip(part.column(0), part.column(1), strict=True):
                     text = text.as_py()
-                    ids = None if text is None else np.frombuffer(encoder.encode(text, xxhash.xxh32_intdigest(str(key.as_py()), seed)), np.int32)
+                    ids = None if text is None else np.frombuffer(encoder.encode(text, xxhash.xxh64_intdigest(str(key.as_py()), seed)), np.int32)
                     rows.append(ids)
                     if check:
                         same.append(None if text is None else decode(vocabulary, ids.tolist()) == text)

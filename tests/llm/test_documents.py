@@ -3,7 +3,7 @@
 import glob
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -195,6 +195,31 @@ def test_both_agendas_agree_and_seeds_differ(vocabulary):
     assert len(set(repeated.tolist())) > len(set(np.frombuffer(pieces.Encoder(vocabulary, 0.0, 1).encode("internationalisation " * 40), np.int32).tolist()))
 
 
+def test_every_occurrence_has_its_own_segmentation(vocabulary):
+    """Segmentations of one word over many texts occur as often as plain dropout of each candidate by its own coin gives them."""
+    word, rate, times = "▁international", 0.3, 4000
+    encoder, rng = pieces.Encoder(vocabulary, rate, 1), random.Random(1)
+    got = Counter(encoder.encode(word[1:], salt) for salt in range(times))
+
+    def plain():
+        symbols, dropped = list(word), set()
+        while True:
+            offers = [(-vocabulary.scores[a + b], at) for at, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in vocabulary.scores and (sum(map(len, symbols[:at])), a, b) not in dropped]
+            if not offers:
+                return encoder._numbers(symbols)
+            at = min(offers)[1]
+            if rng.random() < rate:
+                dropped.add((sum(map(len, symbols[:at])), symbols[at], symbols[at + 1]))
+            else:
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+
+    want = Counter(plain() for _ in range(times))
+    assert len(got) > 20
+    assert all(abs(got[ids] - want[ids]) < 6 * (got[ids] + want[ids]) ** 0.5 for ids in got.keys() | want.keys())
+    fresh = [pieces.Encoder(vocabulary, rate, 1).encode(word[1:], salt) for salt in range(50)]
+    assert fresh == [encoder.encode(word[1:], salt) for salt in range(50)]
+
+
 def test_encode_documents(spark, vocabulary):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (3, TEXTS[3]), (None, "no id")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, token_ids string")
