@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import decontamination, language, pieces, quality_cnn, rotation, sharding, simhash, toxicity, units, warc
+from spanledger.llm import alignment, decontamination, language, mixing, pieces, quality_cnn, rotation, sharding, simhash, toxicity, units, warc, whitening
 from spanledger.llm.sampling import remainder
 
 
@@ -73,11 +73,23 @@ def op10_rotation_codes(spark: SparkSession, folder: str) -> DataFrame:
     return rotation.near_vectors(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_slot_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(_table(spark, folder, "documents"))
+
+
+def op12_polar_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_vectors(_table(spark, folder, "embeddings"))
+
+
+def op13_anchor_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.token_alignment(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_crf, op2_simhash_groups, op3_warc_bundles, op4_histogram_shards, op5_toxicity_trees, op6_benchmark_overlap, op7_repeated_units,
-        op8_quality_cnn, op9_piece_dropout, op10_rotation_codes,
+        op8_quality_cnn, op9_piece_dropout, op10_rotation_codes, op11_slot_schedule, op12_polar_whitening, op13_anchor_alignment,
     )
 }
 
@@ -133,4 +145,15 @@ r AS (SELECT DISTINCT a AS v, a AS w FROM l UNION SELECT r.v, l.b FROM r JOIN l
 c AS (SELECT v, min(w) AS low FROM r GROUP BY v), n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
 SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.v = vec_id""",
+    "op11_slot_schedule": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS o FROM d GROUP BY source),
+f AS (SELECT *, [5, 2, 1][o % 3 + 1] AS w, z * CAST(2 AS DOUBLE) AS cap, sum(z) OVER () * CAST(1.5 AS DOUBLE) AS everything FROM s),
+l AS (SELECT *, cap * sum(w) OVER (ORDER BY cap / w, o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+      <= w * (everything - coalesce(sum(cap) OVER (ORDER BY cap / w, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled FROM f),
+t AS (SELECT source, o, z, CASE WHEN filled THEN cap ELSE w * ((everything - coalesce(sum(cap) FILTER (filled) OVER (), 0)) / sum(w) FILTER (NOT filled) OVER ()) END AS target FROM l),
+p AS (SELECT doc_id, size, z, target, CAST(floor(target + 0.5) AS BIGINT) AS goal,
+      CAST(coalesce(sum(size) OVER (PARTITION BY o ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, z AS source_size, target, greatest(0, least(start + size, goal) - start) + greatest(0, least(start + size + z, goal) - start - z) AS taken FROM p""",
 }
