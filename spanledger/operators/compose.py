@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import text as tx
 from spanledger.functions.identity import stable_id
+from spanledger.operators import rendering
 from spanledger.operators.scan import Scan, ordered_scan
 
 
@@ -288,50 +289,6 @@ def block_characters(block_type: Column, text: Column, items: Column) -> Column:
 
 
 def render_documents(titles: DataFrame, chapters: DataFrame, paragraphs: DataFrame, claims: DataFrame) -> DataFrame:
-    """Markdown per run from a table of lines.
-
-    Every part contributes rows (section, chapter, part, position, line). The lines of each chapter become one string
-    first; a short ordered aggregation per run then joins chapter strings. Every run that has a
-    chapter is rendered, also beyond the model's 240 chapters.
-    """
-    titles = titles.join(chapters.select("run_id").distinct(), "run_id", "left_semi")
-    esc = tx.escape_markdown
-    zero = F.lit(0).cast("bigint")
-
-    def lines(rows: DataFrame, section: int, chapter, part: int, position, line: Column) -> DataFrame:
-        return rows.select(
-            "run_id", F.lit(section).alias("s"), chapter.cast("bigint").alias("c"), F.lit(part).alias("p"),
-            position.cast("bigint").alias("q"), line.alias("line"))
-
-    index = F.col("chapter_index")
-    name = F.concat(F.lit("第"), tx.chinese_ordinal(index), F.lit("章："))
-    clock = F.concat(tx.clock(F.col("start_ms")), F.lit(" - "), tx.clock(F.col("end_ms")))
-    grounded = chapters.where("content_status = 'GROUNDED'")
-    spaced = lambda text: F.trim(F.regexp_replace(text, r"\s+", " "))
-    body = paragraphs.groupBy("run_id", "chapter_index").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda r: r["text"]).alias("__b"))
-    own_summary = grounded.join(body, ["run_id", "chapter_index"], "left").where(
-        (F.length("summary") > 0) & ~F.coalesce(
-            spaced(F.col("summary")) == spaced(F.array_join("__b", " ")), F.lit(False)))
-    parts = [
-        lines(titles, 0, zero, 0, zero, F.concat(F.lit("# "), esc(F.col("title")), F.lit("\n"))),
-        lines(titles, 1, zero, 0, zero, F.concat(F.lit("## 核心概览\n\n"), esc(F.coalesce(F.nullif("overview", F.lit("")), F.lit("未提供核心概览。"))), F.lit("\n"))),
-        lines(titles, 2, zero, 0, zero, F.lit("## 目录\n")),
-        lines(chapters, 2, index, 1, zero, F.concat(F.lit("- "), name, esc(F.col("title")), F.lit(" （"), clock, F.lit("）"))),
-        lines(titles, 2, F.lit(1_000_000), 2, zero, F.lit("")),
-        lines(chapters, 3, index, 0, zero, F.concat(F.lit("## "), esc(F.concat(name, F.col("title"))), F.lit("\n\n"), F.lit("时间："), clock, F.lit("\n"))),
-        lines(own_summary, 3, index, 1, zero, F.concat(esc(F.col("summary")), F.lit("\n"))),
-        lines(paragraphs, 3, index, 2, F.col("chunk"), F.concat(esc(F.col("text")), F.lit("\n"))),
-        lines(claims.select("run_id", "chapter_index").distinct(), 3, index, 3, zero, F.lit("#### 本章结论\n")),
-        lines(claims, 3, index, 4, F.col("pos"), F.concat(F.lit("- "), esc(F.col("text")))),
-        lines(claims.select("run_id", "chapter_index").distinct(), 3, index, 5, zero, F.lit("")),
-    ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    table = table.join(titles.select("run_id"), "run_id", "left_semi")
-    chapter = table.groupBy("run_id", "s", "c").agg(F.array_sort(F.collect_list(F.struct("p", "q", "line"))).alias("__l")).select(
-        "run_id", "s", "c", F.array_join(F.transform("__l", lambda r: r["line"]), "\n").alias("line"))
-    joined = chapter.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("s", "c", "line"))).alias("__l"))
-    text = F.array_join(F.transform("__l", lambda r: r["line"]), "\n")
-    return joined.select("run_id", F.concat(F.rtrim(text, F.lit("\n")), F.lit("\n")).alias("content"))
+    """Markdown of runs whose chapters hold paragraphs (run_id, chapter_index, chunk, text) only."""
+    blocks = paragraphs.select("run_id", "chapter_index", F.col("chunk").alias("position"), rendering.block(F.lit("PARAGRAPH"), text=F.col("text")).alias("block"))
+    return rendering.render_video(titles, chapters, blocks, claims)

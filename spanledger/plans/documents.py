@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanledger.operators import compose, spans
+from spanledger.operators import compose, generate, rendering, spans
 from spanledger.plans.catalog import query
 from spanledger.session import checkpoint
 
@@ -29,9 +29,14 @@ def written(t):
     The evidence of the chapters and the written rows feed several later steps, so each
     is a stage table.
     """
-    evidence = checkpoint(chapter_evidence(t).select(*CHAPTER, "evidence_id", "start_ms", "end_ms", "text"))
+    transcript = checkpoint(t.v_transcript)
+    runs = transcript.groupBy("run_id").agg((F.max("end_ms") + 1000).alias("duration_ms"))
+    windows = generate.fixed_windows(runs, "run_id", "duration_ms", 300_000)
+    chapters = checkpoint(windows.select("run_id", (F.col("chunk_index") + 1).alias("chapter_index"), "start_ms", "end_ms"))
+    inside = spans.contained_in(transcript, chapters, RUN).withColumnRenamed("range_chapter_index", "chapter_index")
+    evidence = checkpoint(inside.select(*CHAPTER, "evidence_id", "start_ms", "end_ms", "text"))
     paragraphs = checkpoint(compose.fallback_paragraphs(evidence, CHAPTER, 2000))
-    rows = compose.fallback_chapters(chapters_of(t), evidence, CHAPTER, paragraphs=paragraphs)
+    rows = compose.fallback_chapters(chapters, evidence, CHAPTER, paragraphs=paragraphs)
     empty = F.array().cast("array<struct<text:string,evidence_refs:array<string>,certainty:double>>")
     return checkpoint(compose.ensure_claims(rows.withColumn("claims", empty))), paragraphs
 
@@ -41,7 +46,7 @@ def rendered(t, rows=None, paragraphs=None):
         rows, paragraphs = written(t)
     claims = compose.flatten_claims(rows, CHAPTER)
     view = compose.overview(rows, RUN, "chapter_index")
-    titles = t.v_runs.join(view, "run_id", "left").select(
+    titles = rows.select("run_id").distinct().join(view, "run_id", "left").select(
         "run_id", F.concat(F.lit("Run "), F.col("run_id")).alias("title"), F.coalesce("overview", F.lit("")).alias("overview"))
     return compose.render_documents(titles, rows, paragraphs, claims)
 
@@ -239,6 +244,121 @@ def _(t):
     return rendered(t)
 
 
+def _clean(text: str) -> str:
+    """SQL that takes evidence ids out of prose."""
+    bare = rf"regexp_replace({text}, '\\?\[\s*(?:asr|subtitle)_[A-Za-z0-9_-]{{3,}}\s*\\?\]|(?:asr|subtitle)_[A-Za-z0-9_-]{{3,}}', '', 'gi')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({bare}, '[ \t]{{2,}}', ' ', 'g'), ' +([，。；：、,.!?！？])', '\1', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _entities(text: str) -> str:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\'\'", "&#x27;")):
+        text = f"replace({text}, \'{raw}\', \'{entity}\')"
+    return text
+
+
+def block_documents(t):
+    """A run per document, a block per line in turns of all kinds, eight lines to a chapter."""
+    lines = t.documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    x, i = F.col("x"), F.col("i")
+    told = F.replace(x, F.lit(". "), F.lit(" [asr_12ab] . "))
+    kinds = F.array(*[F.lit(k) for k in ("PARAGRAPH", "BULLET_LIST", "QUOTE", "CODE", "TABLE", "FORMULA", "VISUAL", "PARAGRAPH")])
+    kind = F.element_at(kinds, i % 8 + 1)
+    quoted = F.concat(F.replace(x, F.lit(". "), F.lit(".\n")), F.when(i % 3 == 0, F.lit("\n")).otherwise(""))
+    ticked = F.replace(x, F.lit("an"), F.repeat(F.lit("`"), i % 6))
+    text = (F.when(kind == "QUOTE", quoted).when(kind == "CODE", ticked).when(kind == "FORMULA", F.concat(x, F.lit(" < $"))).when(kind == "PARAGRAPH", told).otherwise(x))
+    cells = F.transform(F.split("x", r"\. "), lambda y: F.array(y, F.lit("#\n2")))
+    body = rendering.block(
+        kind, text=text, items=F.split(F.replace(x, F.lit("e "), F.lit("e\n")), ", "), language=F.concat("lang", F.lit(" +?")),
+        columns=F.array(F.concat(F.lit("| "), F.col("lang")), F.lit("b\nc")), cells=cells, note=F.when(F.length(x) % 2 == 0, F.concat(F.lit("- "), x)).otherwise(""))
+    blocks = lines.select(F.col("doc_id").alias("run_id"), F.floor(i / 8 + 1).alias("chapter_index"), i.alias("position"), body.alias("block"), "x")
+    first = F.min(F.struct("position", "x"))["x"]
+    # a chapter opens with a paragraph and holds a quote third, so a repeated summary is their text
+    prose = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("block.kind").isin("PARAGRAPH", "QUOTE"), F.struct("position", "block.text")))), lambda r: r["text"]), " ")
+    c = F.col("chapter_index")
+    chapters = blocks.groupBy("run_id", "chapter_index").agg(first.alias("first"), prose.alias("prose")).select(
+        "run_id", "chapter_index", (c * 60_000 - 60_000).alias("start_ms"), (c * 60_000).alias("end_ms"), F.concat(F.lit("- "), F.substring("first", 1, 30)).alias("title"),
+        F.when(c % 2 == 0, F.replace("prose", F.lit(" "), F.lit("  "))).otherwise(F.col("first")).alias("summary"), F.when(c % 5 == 4, "NO_SEMANTIC_EVIDENCE").otherwise("GROUNDED").alias("content_status"))
+    claims = blocks.where("position % 8 IN (0, 2)").select("run_id", "chapter_index", F.col("position").alias("pos"), F.col("block.text").alias("text"))
+    titles = t.documents.select(F.col("doc_id").alias("run_id"), F.concat(F.lit("#"), F.col("source")).alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("overview"))
+    return titles, chapters, blocks.drop("x"), claims
+
+
+_BLOCKS = r"""
+li AS (SELECT doc_id AS run_id, lang, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+bl AS (SELECT *, i // 8 + 1 AS c, i % 8 AS k, replace(x, '. ', ' [asr_12ab] . ') AS told, replace(x, '. ', '.' || chr(10)) || CASE WHEN i % 3 = 0 THEN chr(10) ELSE '' END AS quoted,
+              replace(x, 'an', repeat('`', CAST(i % 6 AS BIGINT))) AS code, string_split(replace(x, 'e ', 'e' || chr(10)), ', ') AS items, string_split(x, '. ') AS cells FROM li),
+ch AS (SELECT run_id, c, arg_min(x, i) AS opening, string_agg(CASE k WHEN 2 THEN quoted ELSE told END, ' ' ORDER BY i) FILTER (k IN (0, 2, 7)) AS prose FROM bl GROUP BY ALL),
+cs AS (SELECT run_id, c, '- ' || substring(opening, 1, 30) AS title, CASE WHEN c % 2 = 0 THEN replace(prose, ' ', '  ') ELSE opening END AS summary, c % 5 <> 4 AS grounded, prose,
+  '第' || CASE WHEN c >= 20 THEN substr('一二三四五六七八九', CAST(c // 10 AS BIGINT), 1) ELSE '' END || CASE WHEN c >= 10 THEN '十' ELSE '' END || CASE WHEN c % 10 > 0 THEN substr('一二三四五六七八九', CAST(c % 10 AS BIGINT), 1) ELSE '' END || '章：' AS name,
+  printf('%02d:%02d:%02d - %02d:%02d:%02d', (c - 1) // 60, (c - 1) % 60, 0, c // 60, c % 60, 0) AS clock FROM ch),
+ti AS (SELECT doc_id AS run_id, '#' || source AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS overview FROM documents WHERE text IS NOT NULL)"""
+
+
+def _block_sql(esc, video: bool) -> str:
+    """SQL of the rendered documents: one row per line group, joined in order."""
+    n = "chr(10)"
+    cell = (lambda y: f"replace({esc(y)}, {n}, ' / ')") if video else esc
+    quote = f"'> ' || replace(regexp_replace({esc('quoted')}, '\\n$', ''), {n}, {n} || '> ') || {n}"
+    if not video:
+        quote = f"array_to_string(list_transform(string_split(regexp_replace(quoted, '\\n$', ''), {n}), lambda y: '> ' || {esc('y')}), {n}) || {n}"
+    fence = "repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(code, '`+'), lambda r: length(r))), 0) + 1))" if video else "'```'"
+    item = esc("y")
+    item = f"replace({item}, {n}, {n} || '  ')" if video else item
+    formula = _entities("(x || ' < $')") if video else "x || ' < $'"
+    note = f" || CASE WHEN length(x) % 2 = 0 THEN {esc("('- ' || x)")} || {n} ELSE '' END" if video else ""
+    shown = f"'**视觉补充：** ' || {esc('x')} || {n}" if video else "NULL"
+    heading = esc("(name || title)") if video else f"name || {esc('title')}"
+    left, right = (" （", "）") if video else (" (", ")")
+    spaced = (lambda c: _SPACED(c)) if video else (lambda c: _SPACED(_clean(c)))
+    overview = esc("coalesce(nullif(overview, ''), '未提供核心概览。')") if video else esc("overview")
+    visible = "grounded" if video else "true"
+    return f"""
+ln AS (
+  SELECT run_id, 0 AS s, 0 AS c, 0 AS p, 0 AS q, '# ' || {esc('title')} || {n} || {n} || '## 核心概览' || {n} || {n} || {overview} || {n} || {n} || '## 目录' || {n} AS line FROM ti
+  UNION ALL SELECT run_id, 1, c, 0, 0, '- ' || name || {esc('title')} || '{left}' || clock || '{right}' FROM cs
+  UNION ALL SELECT run_id, 2, 0, 0, 0, '' FROM ti
+  UNION ALL SELECT run_id, 3, c, 0, 0, '## ' || {heading} || {n} || {n} || '时间：' || clock || {n} FROM cs
+  UNION ALL SELECT run_id, 3, c, 1, 0, {esc('summary')} || {n} FROM cs WHERE {visible} AND summary <> '' AND NOT coalesce(prose <> '' AND {spaced('summary')} = {spaced('prose')}, false)
+  UNION ALL SELECT run_id, 3, bl.c, 2, i, CASE k
+      WHEN 1 THEN array_to_string(list_transform(items, lambda y: '- ' || {item}), {n}) || {n}
+      WHEN 2 THEN CASE WHEN quoted = '' THEN '' ELSE {quote} END
+      WHEN 3 THEN {fence} || regexp_replace(lang || ' +?', '[^A-Za-z0-9_+.-]', '', 'g') || {n} || code || {n} || {fence} || {n}
+      WHEN 4 THEN '| ' || {cell("('| ' || lang)")} || ' | ' || {cell(f"('b' || {n} || 'c')")} || ' |' || {n} || '| --- | --- |' || {n} || array_to_string(list_transform(cells, lambda y: '| ' || {cell('y')} || ' | ' || {cell(f"('#' || {n} || '2')")} || ' |'), {n}) || {n}
+      WHEN 5 THEN '$$' || {n} || {formula} || {n} || '$$' || {n}{note}
+      WHEN 6 THEN {shown} ELSE {esc('told')} || {n} END FROM bl JOIN cs USING (run_id, c) WHERE {visible}
+  UNION ALL SELECT run_id, 3, bl.c, 3, min(i), '#### 本章结论' || {n} || {n} || string_agg('- ' || {esc("(CASE k WHEN 2 THEN quoted ELSE told END)")}, {n} ORDER BY i) || {n} FROM bl JOIN cs USING (run_id, c) WHERE {visible} AND k IN (0, 2) GROUP BY run_id, bl.c),
+doc AS (SELECT run_id, rtrim(string_agg(line, {n} ORDER BY s, c, p, q), {n}) || {n} AS content FROM ln GROUP BY run_id)
+SELECT run_id, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS size_bytes FROM doc"""
+
+
+def _digests(documents):
+    return documents.select("run_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("size_bytes"))
+
+
+@query("t12_block_documents", f"WITH {_BLOCKS}, {_block_sql(_markdown, True)}")
+def _(t):
+    return _digests(rendering.render_video(*block_documents(t)))
+
+
+@query("t12_audio_documents", f"WITH {_BLOCKS}, {_block_sql(lambda x: _markdown(_clean(x)), False)}")
+def _(t):
+    return _digests(rendering.render_audio(*block_documents(t)))
+
+
+@query("t12_image_documents", f"""
+WITH {_BLOCKS}, im AS (SELECT *, CASE i % 3 WHEN 0 THEN 'DESCRIPTION' WHEN 1 THEN 'OCR_TEXT' ELSE 'CHART' END AS kind FROM li),
+bd AS (SELECT run_id, string_agg(CASE WHEN kind = 'DESCRIPTION' THEN '' ELSE '### ' || kind || chr(10) || chr(10) END || x || chr(10), chr(10) ORDER BY i) AS body, string_agg('- ' || x, chr(10) ORDER BY i) FILTER (i % 4 = 0) AS points FROM im GROUP BY run_id),
+dc AS (SELECT run_id, '# ' || title || chr(10) || chr(10) || '## 核心概览' || chr(10) || chr(10) || coalesce(nullif(overview, ''), '未提供核心概览。') || chr(10) || chr(10) || '## 图片内容' || chr(10) || chr(10) || body
+  || chr(10) || '## 关键结论' || chr(10) || chr(10) || points AS c FROM ti JOIN bd USING (run_id))
+SELECT run_id, sha256(rtrim(c, chr(10)) || chr(10)) AS sha256, CAST(strlen(rtrim(c, chr(10)) || chr(10)) AS BIGINT) AS size_bytes FROM dc""")
+def _(t):
+    lines = t.documents.select(F.col("doc_id").alias("run_id"), F.posexplode(F.split("text", "\n")).alias("position", "x"))
+    kind = F.element_at(F.array(F.lit("DESCRIPTION"), F.lit("OCR_TEXT"), F.lit("CHART")), F.col("position") % 3 + 1)
+    blocks = lines.select("run_id", "position", rendering.block(kind, text=F.col("x")).alias("block"))
+    claims = lines.where("position % 4 = 0").select("run_id", F.col("position").alias("pos"), F.col("x").alias("text"))
+    return _digests(rendering.render_images(block_documents(t)[0], blocks, claims))
+
+
 @query("t13_suspicious_boundaries", r"""
 WITH d AS (SELECT run_id, seq // 12 AS batch, seq, start_ms, end_ms, text, seq % 11 = 0 AS repaired FROM v_sentences),
 l AS (SELECT run_id, batch, arg_max(text, seq) AS t, arg_max(end_ms - start_ms, seq) AS n, arg_max(repaired, seq) AS p FROM d GROUP BY ALL),
