@@ -8,6 +8,9 @@ Arrow batches.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,44 +38,85 @@ def match_points(times: list[int], left: list[int], right: list[int], tolerance:
     return matched
 
 
-def best_assignment(weights: np.ndarray) -> int:
-    """Weight of the heaviest one-to-one assignment of rows to columns.
+def heaviest_matching(edges: list[list[tuple[int, int]]], columns: int) -> int:
+    """Weight of the heaviest one-to-one matching of rows to columns over the given edges only.
 
-    Rows enter one at a time along a cheapest augmenting path; path costs are kept as
-    whole vectors, so a step is a few array operations.
+    ``edges[row]`` lists (column, weight) with positive weights. Rows enter one at a time along a cheapest augmenting path; a row may
+    also stay alone, on a column of its own without weight. A path search visits the neighbourhood it needs and
+    prices change only there, so memory is linear in the edges and long islands of local edges take near-linear time.
     """
-    if weights.shape[0] > weights.shape[1]:
-        weights = weights.T
-    rows, columns = weights.shape
-    cost = (weights.max(initial=0) - weights).astype(np.int64)
-    far = np.iinfo(np.int64).max // 4
-    row_price, column_price = np.zeros(rows, np.int64), np.zeros(columns, np.int64)
-    owner = np.full(columns, -1)
-    for start in range(rows):
-        distance, came_from = np.full(columns, far), np.full(columns, -1)
-        done = np.zeros(columns, bool)
-        row, reached, via = start, np.int64(0), -1
+    row_price = [0] * len(edges)
+    column_price = [0] * (columns + len(edges))
+    owner = [-1] * (columns + len(edges))
+    total = 0
+    for start in range(len(edges)):
+        row_price[start] = min([0, *(-w - column_price[c] for c, w in edges[start])])
+        reached, via, rows, done = {}, {}, {start: 0}, {}
+        heap: list[tuple[int, bool, int]] = []
+        row, at = start, 0
         while True:
-            through = reached + cost[row] - row_price[row] - column_price
-            better = ~done & (through < distance)
-            distance[better], came_from[better] = through[better], via
-            via = int(np.argmin(np.where(done, far, distance)))
-            reached = distance[via]
-            done[via] = True
-            if owner[via] < 0:
+            alone = columns + row
+            for column, weight in (*edges[row], (alone, 0)):
+                if column not in done:
+                    further = at - weight - row_price[row] - column_price[column]
+                    if further < reached.get(column, further + 1):
+                        reached[column], via[column] = further, row
+                        heapq.heappush(heap, (further, owner[column] >= 0, column))
+            while True:
+                at, taken, column = heapq.heappop(heap)
+                if column not in done and at == reached[column]:
+                    break
+            done[column] = at
+            if not taken:
                 break
-            row = owner[via]
-        settled = done & (np.arange(columns) != via)
-        for column in np.flatnonzero(settled):
-            row_price[owner[column]] += reached - distance[column]
-        column_price[settled] -= reached - distance[settled]
-        row_price[start] += reached
-        while via >= 0:
-            previous = came_from[via]
-            owner[via] = start if previous < 0 else owner[previous]
-            via = previous
-    used = np.flatnonzero(owner >= 0)
-    return int(weights[owner[used], used].sum())
+            row = owner[column]
+            rows[row] = at
+        for row, distance in rows.items():
+            row_price[row] += at - distance
+        for other, distance in done.items():
+            column_price[other] -= at - distance
+        previous = {owner[c]: c for c in done if owner[c] >= 0}
+        while True:
+            row = via[column]
+            owner[column] = row
+            if row == start:
+                break
+            column = previous[row]
+    held = {row: column for column, row in enumerate(owner) if row >= 0}
+    for row, column in held.items():
+        total += next((w for c, w in edges[row] if c == column), 0)
+    return total
+
+
+def best_assignment(weights: np.ndarray) -> int:
+    """The same for a whole matrix of weights."""
+    return heaviest_matching([[(int(j), int(row[j])) for j in np.flatnonzero(row)] for row in weights], weights.shape[1])
+
+
+def overlap_edges(reference: list[tuple[int, int]], hypothesis: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """For each reference interval the hypothesis intervals it overlaps and by how much, in one sweep over the starts."""
+    edges: list[list[tuple[int, int]]] = [[] for _ in reference]
+    open_sides: tuple[list[int], list[int]] = ([], [])
+    sides = (reference, hypothesis)
+    for start, side, index in sorted([(x[0], 0, i) for i, x in enumerate(reference)] + [(x[0], 1, i) for i, x in enumerate(hypothesis)]):
+        other = sides[1 - side]
+        open_sides[1 - side][:] = [i for i in open_sides[1 - side] if other[i][1] > start]
+        end = sides[side][index][1]
+        for i in open_sides[1 - side]:
+            shared = min(end, other[i][1]) - start
+            if shared > 0:
+                edges[index if side == 0 else i].append((i if side == 0 else index, shared))
+        open_sides[side].append(index)
+    return edges
+
+
+def close_edges(reference: list[tuple[int, int]], hypothesis: list[tuple[int, int]], tolerance: int) -> list[list[tuple[int, int]]]:
+    """For each reference interval the hypothesis intervals whose two ends both lie within the tolerance; ``hypothesis`` is in order of starts."""
+    starts = [s for s, _ in hypothesis]
+    return [
+        [(j, 1) for j in range(bisect_left(starts, s - tolerance), bisect_right(starts, s + tolerance)) if abs(hypothesis[j][1] - e) <= tolerance]
+        for s, e in reference
+    ]
 
 
 def _matcher(tolerance: int):
@@ -102,30 +146,14 @@ def boundary_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str]
         F.sum("matches").alias("matches"), F.sum("h").alias("predicted"), F.sum("r").alias("reference"))
 
 
-def _intervals(rows) -> np.ndarray:
-    return np.array([[r["start_ms"], r["end_ms"]] for r in rows], dtype=np.int64).reshape(-1, 2)
-
-
-@F.pandas_udf(LongType())
-def _overlap_weight(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    out = []
-    for left, right in zip(reference, hypothesis):
-        a, b = _intervals(left), _intervals(right)
-        low = np.maximum(a[:, None, 0], b[None, :, 0])
-        high = np.minimum(a[:, None, 1], b[None, :, 1])
-        out.append(best_assignment(np.maximum(high - low, 0)))
-    return pd.Series(out, dtype="int64")
+def _intervals(rows) -> list[tuple[int, int]]:
+    return [(r["start_ms"], r["end_ms"]) for r in rows]
 
 
-def _close_pairs(tolerance: int):
+def _island_weight(edges_of):
     @F.pandas_udf(LongType())
     def run(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-        out = []
-        for left, right in zip(reference, hypothesis):
-            a, b = _intervals(left), _intervals(right)
-            near = (np.abs(a[:, None, :] - b[None, :, :]) <= tolerance).all(axis=2)
-            out.append(best_assignment(near.astype(np.int64)))
-        return pd.Series(out, dtype="int64")
+        return pd.Series([heaviest_matching(edges_of(_intervals(a), _intervals(b)), len(b)) for a, b in zip(reference, hypothesis)], dtype="int64")
 
     return run
 
@@ -145,7 +173,7 @@ def _interval_islands(reference: DataFrame, hypothesis: DataFrame, keys: list[st
 def interval_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], tolerance_ms: int, slice_ms: int = SLICE_MS) -> DataFrame:
     """Largest one-to-one matching with both ends within the tolerance."""
     lists = _interval_islands(reference, hypothesis, keys, True, tolerance_ms, slice_ms)
-    matched = lists.where((F.size("ref") > 0) & (F.size("hyp") > 0)).select(*keys, _close_pairs(tolerance_ms)("ref", "hyp").alias("m"))
+    matched = lists.where((F.size("ref") > 0) & (F.size("hyp") > 0)).select(*keys, _island_weight(lambda a, b: close_edges(a, b, tolerance_ms))("ref", "hyp").alias("m"))
     sizes = lists.groupBy(*keys).agg(F.sum(F.size("hyp")).alias("predicted"), F.sum(F.size("ref")).alias("reference"))
     return sizes.join(matched.groupBy(*keys).agg(F.sum("m").alias("m")), keys, "left").select(
         *keys, F.coalesce("m", F.lit(0)).cast("bigint").alias("matches"), "predicted", "reference")
@@ -154,7 +182,7 @@ def interval_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str]
 def interval_error(reference: DataFrame, hypothesis: DataFrame, keys: list[str], slice_ms: int = SLICE_MS) -> DataFrame:
     """One minus the best one-to-one overlap over the reference duration."""
     lists = _interval_islands(reference, hypothesis, keys, False, -1, slice_ms)
-    weight = lists.where((F.size("ref") > 0) & (F.size("hyp") > 0)).select(*keys, _overlap_weight("ref", "hyp").alias("w"))
+    weight = lists.where((F.size("ref") > 0) & (F.size("hyp") > 0)).select(*keys, _island_weight(overlap_edges)("ref", "hyp").alias("w"))
     length = lambda side: F.aggregate(side, F.lit(0).cast("bigint"), lambda acc, x: acc + x["end_ms"] - x["start_ms"])
     totals = lists.groupBy(*keys).agg(F.sum(length("ref")).alias("reference_ms"), F.sum(F.size("hyp")).alias("__h"))
     joined = totals.join(weight.groupBy(*keys).agg(F.sum("w").alias("__w")), keys, "left")

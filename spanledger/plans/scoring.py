@@ -90,13 +90,33 @@ def interval_sides(t):
     return rows.where("event_type IN ('view', 'click')").drop("event_type"), rows.where("event_type NOT IN ('view', 'click')").drop("event_type")
 
 
-@query("m5_interval_matches")
+def _assignment(island: str, edge: str, weight: str) -> str:
+    """SQL of the heaviest matching of each island: references take a free partner or none, one after the other."""
+    return f"""
+iv AS (SELECT run_id, CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS side, start_ms, end_ms, row_number() OVER () AS id FROM v_spans),
+mk AS (SELECT *, CASE WHEN start_ms > {island} THEN 1 ELSE 0 END AS opens FROM iv), il AS (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY start_ms, end_ms, id) AS island FROM mk),
+eg AS (SELECT r.run_id, r.island, r.id AS r, h.id AS h, {weight} AS w FROM il r JOIN il h ON r.run_id = h.run_id AND r.island = h.island AND r.side = 0 AND h.side = 1 AND {edge}),
+nb AS (SELECT *, dense_rank() OVER (PARTITION BY run_id, island ORDER BY r) AS i FROM eg), op AS (SELECT run_id, island, i, h, w FROM nb UNION ALL SELECT DISTINCT run_id, island, i, CAST(NULL AS BIGINT), 0 FROM nb),
+st AS (SELECT DISTINCT run_id, island, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(0 AS BIGINT) AS total FROM nb
+       UNION SELECT st.run_id, st.island, st.i + 1, CASE WHEN h IS NULL THEN used ELSE list_sort(list_append(used, h)) END, CAST(total + w AS BIGINT) FROM st JOIN op ON op.run_id = st.run_id AND op.island = st.island AND op.i = st.i + 1 WHERE h IS NULL OR NOT list_contains(used, h)),
+bs AS (SELECT run_id, island, max(total) AS m FROM st GROUP BY ALL), rn AS (SELECT run_id, CAST(sum(m) AS BIGINT) AS m FROM bs GROUP BY run_id),
+ct AS (SELECT run_id, count(*) FILTER (side = 1) AS predicted, count(*) FILTER (side = 0) AS reference, CAST(coalesce(sum(end_ms - start_ms) FILTER (side = 0), 0) AS BIGINT) AS reference_ms FROM iv GROUP BY run_id)"""
+
+
+_M5 = _assignment("coalesce(lag(start_ms) OVER (PARTITION BY run_id ORDER BY start_ms, end_ms, id) + 5400000, -1)", "abs(r.start_ms - h.start_ms) <= 5400000 AND abs(r.end_ms - h.end_ms) <= 5400000", "1")
+_M6 = _assignment("coalesce(max(end_ms) OVER (PARTITION BY run_id ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)",
+                  "r.start_ms < h.end_ms AND h.start_ms < r.end_ms", "least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)")
+
+
+@query("m5_interval_matches", f"WITH RECURSIVE {_M5} SELECT run_id, coalesce(m, 0) AS matches, predicted, reference FROM ct LEFT JOIN rn USING (run_id)", "v_spans")
 def _(t):
     reference, hypothesis = interval_sides(t)
     return matching.interval_counts(reference, hypothesis, RUN, 5_400_000)
 
 
-@query("m6_interval_error")
+@query("m6_interval_error", f"""
+WITH RECURSIVE {_M6} SELECT run_id, coalesce(m, 0) AS matched_ms, reference_ms, round(CASE WHEN reference_ms = 0 THEN CASE WHEN predicted = 0 THEN 0.0 ELSE 1.0 END ELSE greatest(0.0, 1 - coalesce(m, 0) / reference_ms) END, 9) AS error_rate
+FROM ct LEFT JOIN rn USING (run_id)""", "v_spans")
 def _(t):
     reference, hypothesis = interval_sides(t)
     out = matching.interval_error(reference, hypothesis, RUN)

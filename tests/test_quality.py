@@ -184,3 +184,25 @@ def test_conflicts_judge_by_the_earliest_request(spark, tmp_path):
     got = {r.request_id: r.outcome for r in evidence.flag_conflicts(stream).collect()}
     assert len(got) == 25_002 and got[24_999] == "NEW" and got[0] == "CONFLICT" and got[30_000] == "REUSED" and got[30_001] == "CONFLICT"
     assert sum(o == "NEW" for o in got.values()) == 1
+
+
+def test_islands_of_two_hundred_thousand_intervals():
+    rng = random.Random(6)
+    starts = sorted(rng.randrange(1_000_000) for _ in range(100_000))
+    reference = [(s, s + rng.randrange(1, 40)) for s in starts]
+    hypothesis = [(max(0, s + rng.randrange(-8, 9)), e + rng.randrange(9)) for s, e in reference]
+    hypothesis.sort()
+    edges = matching.overlap_edges(reference, hypothesis)
+    assert matching.heaviest_matching(edges, len(hypothesis)) > 0.6 * sum(e - s for s, e in reference)
+    near = matching.close_edges(reference, hypothesis, 9)
+    assert matching.heaviest_matching(near, len(hypothesis)) > 99_000
+
+
+def test_sparse_edges_equal_all_pairs():
+    rng = random.Random(7)
+    for _ in range(100):
+        sides = [sorted((s, s + rng.randrange(12)) for s in (rng.randrange(30) for _ in range(rng.randrange(1, 9)))) for _ in range(2)]
+        overlap = [[(j, max(0, min(a[1], b[1]) - max(a[0], b[0]))) for j, b in enumerate(sides[1])] for a in sides[0]]
+        assert [sorted(e) for e in matching.overlap_edges(*sides)] == [[(j, w) for j, w in row if w] for row in overlap]
+        close = [[(j, 1) for j, b in enumerate(sides[1]) if abs(a[0] - b[0]) <= 4 and abs(a[1] - b[1]) <= 4] for a in sides[0]]
+        assert matching.close_edges(*sides, 4) == close
