@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -28,6 +29,14 @@ FREQUENT = 50_000
 STRETCH = 1 << 20
 
 
+# Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _pair(merge: str | list[str]) -> list[str]:
+    return merge.split(" ") if isinstance(merge, str) else list(merge)
+
+
 def _byte_letters() -> dict[str, int]:
     """Letter to byte of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -46,12 +55,28 @@ class Tokenizers:
 
     @cached_property
     def first(self):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        """The byte-level vocabulary in the faster of the two libraries that read it; a merge's rank there is its id, which is checked."""
+        import tiktoken
+
+        ids = self.first_ids
+        ranks = {token: i for i, token in enumerate(self.first_bytes) if i in ids}
+        merged = [a + b for a, b in map(_pair, self.first_spec["merges"])]
+        letters = len(ranks) - len(merged)
+        if [self.first_spec["vocab"][m] for m in merged] != list(range(letters, len(ranks))):
+            raise ValueError(f"merges of {self.byte_level} are not in order of their ids")
+        return tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        tokenizer = Tokenizer.from_file(self.byte_level)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+    @cached_property
+    def first_spec(self) -> dict:
+        with open(self.byte_level, encoding="utf-8") as file:
+            return json.load(file)["model"]
+
+    @cached_property
+    def first_ids(self) -> set[int]:
+        """Ids whose entry is written in letters for bytes; the others are special."""
+        letters = _byte_letters()
+        made = {"".join(_pair(m)) for m in self.first_spec["merges"]}
+        return {i for token, i in self.first_spec["vocab"].items() if token in made or (len(token) == 1 and token in letters)}
 
     @cached_property
     def second(self):
@@ -61,9 +86,11 @@ class Tokenizers:
 
     @cached_property
     def first_bytes(self) -> list[bytes]:
-        letters = _byte_letters()
-        names = [self.first.id_to_token(i) for i in range(self.first.get_vocab_size(with_added_tokens=True))]
-        return [b"" if n is None else bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names]
+        letters, vocabulary = _byte_letters(), self.first_spec["vocab"]
+        table = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            table[i] = bytes(letters[c] for c in token)
+        return table
 
     @cached_property
     def second_bytes(self) -> list[bytes]:
@@ -80,10 +107,9 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both tokenizers for each text; none where either does not give back the bytes of a space and the text."""
-        left = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         right = self.second.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, left, right, strict=True):
-            a, raw = a.ids, (" " + text).encode()
+        for text, b in zip(texts, right, strict=True):
+            a, raw = self.first.encode_ordinary(" " + text), (" " + text).encode()
             same = text and b"".join(map(self.first_bytes.__getitem__, a)) == raw and b"".join(map(self.second_bytes.__getitem__, b)) == raw
             yield (np.array(a, np.int32), np.array(b, np.int32)) if same else None
 

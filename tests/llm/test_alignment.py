@@ -11,11 +11,26 @@ TEXTS = [
 ]
 
 
+def library(tokenizers):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizers.byte_level)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def test_both_libraries_give_the_same_ids():
+    tokenizers = alignment.Tokenizers()
+    odd = ["<|endoftext|> a", "½ ² 東京", "a b　c d", "'s 'LL I'll 'll", " \n\n \t x  ", "ẞ ǅ ͅ ︎", "1²3½ Ⅷ", "a\x1cb\x85c", "᠎​ ﻿", "x" * 20_000, " " * 20_000, "\n" * 5000 + "a"]
+    for text in [t or "" for t in TEXTS] + odd:
+        assert tokenizers.first.encode_ordinary(" " + text) == library(tokenizers).encode(" " + text, add_special_tokens=False).ids
+
+
 def plain(texts):
     tokenizers = alignment.Tokenizers()
     rows, counts = [], Counter()
     for text in texts:
-        a, b = (tokenizers.first.encode(" " + (text or ""), add_special_tokens=False).ids, tokenizers.second.encode(text or ""))
+        a, b = (library(tokenizers).encode(" " + (text or ""), add_special_tokens=False).ids, tokenizers.second.encode(text or ""))
         raw = (" " + (text or "")).encode()
         if not text or b"".join(tokenizers.first_bytes[i] for i in a) != raw or b"".join(tokenizers.second_bytes[i] for i in b) != raw:
             rows.append(None)
