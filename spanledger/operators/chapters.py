@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions.identity import stable_id
 from spanledger.functions.timing import midpoint
-from spanledger.operators.scan import Scan, ordered_fold, ordered_scan, time_bucket
+from spanledger.operators.scan import Scan, follow_jumps, ordered_scan, time_bucket
 
 # Fixed values of the planning rules.
 CHAPTER_MAX_MS = 300_000
@@ -40,9 +40,8 @@ def group_near_target(segments: DataFrame, target_ms: int) -> DataFrame:
     found for all segments by one sliced scan; the groups are then the segments that a walk
     along those ends from the first segment meets.
     """
-    none = F.lit(None).cast("bigint")
     goal = F.col("start_ms") + target_ms
-    tall = segments.select("run_id", goal.alias("__at"), F.lit(0).alias("__kind"), none.alias("__end"), "start_ms", "end_ms").unionByName(
+    tall = segments.select(goal.alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("__end"), *segments.columns).unionByName(
         segments.select("run_id", F.col("end_ms").alias("__at"), F.lit(1).alias("__kind"), F.col("end_ms").alias("__end")),
         allowMissingColumns=True,
     )
@@ -52,14 +51,8 @@ def group_near_target(segments: DataFrame, target_ms: int) -> DataFrame:
     reachable = F.col("__past") - F.col("start_ms") <= CHAPTER_MAX_MS
     closer = F.abs(F.col("__past") - goal) < F.abs(short - goal)
     jump = F.when(reachable & closer & (F.col("end_ms") < goal), F.col("__past")).otherwise(short)
-
-    def step(state: tuple, start: int, to: int) -> tuple:
-        head, following = state or (start, start)
-        return ((start, to), start) if start == following else ((head, following), head)
-
-    jumps = seen.select("run_id", "start_ms", jump.alias("__to"))
-    walked = ordered_fold(jumps, ["run_id"], ["start_ms"], ["start_ms", "__to"], "group_start", tuple, step)
-    return segments.join(walked.drop("__to"), ["run_id", "start_ms"])
+    jumps = seen.select(*segments.columns, jump.alias("__to"))
+    return follow_jumps(jumps, ["run_id"], "start_ms", "__to", time_bucket("start_ms", SLICE_MS), "group_start").drop("__to")
 
 
 def rule_chapters(segments: DataFrame, granularity: str = "standard") -> DataFrame:
@@ -94,14 +87,21 @@ def rule_chapters(segments: DataFrame, granularity: str = "standard") -> DataFra
 
 
 def minimum_chapters(segments: DataFrame, limit_ms: int = CHAPTER_MAX_MS) -> DataFrame:
-    """Fewest chapters that can hold the segments in order, and the longest segment."""
-    def step(state: tuple, start: int, end: int) -> tuple:
-        count, head = state or (1, start)
-        state = (count, head) if end - head <= limit_ms else (count + 1, start)
-        return state, state[0]
-
-    walked = ordered_fold(segments.select("run_id", "start_ms", "end_ms"), ["run_id"], ["start_ms", "end_ms"], ["start_ms", "end_ms"], "chapter", tuple, step)
-    return walked.groupBy("run_id").agg(F.max("chapter").alias("minimum_chapters"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
+    """Fewest chapters that can hold the segments in order, and the longest segment.
+
+    Segments follow each other without overlap, so the first segment that a chapter cannot hold is the first to end
+    beyond its limit; one sliced scan finds it for every possible head.
+    """
+    rows = segments.select("run_id", "start_ms", "end_ms")
+    none = F.lit(None).cast("bigint")
+    tall = rows.select("run_id", (F.col("start_ms") + limit_ms).alias("__at"), F.lit(1).alias("__kind"), none.alias("__next"), "start_ms", "end_ms").unionByName(
+        rows.select("run_id", F.col("end_ms").alias("__at"), F.lit(0).alias("__kind"), F.col("start_ms").alias("__next")), allowMissingColumns=True)
+    seen = ordered_scan(tall, ["run_id"], ["__at", "__kind"], time_bucket("__at", SLICE_MS), [Scan("__beyond", "min_after", "__next")]).where("__kind = 1")
+    # a segment longer than the limit is the first beyond its own limit; the walk goes on with the segment after it
+    far = F.when(F.col("__beyond") > F.col("start_ms"), F.col("__beyond")).when(F.col("__beyond").isNotNull(), F.col("end_ms"))
+    walked = follow_jumps(seen.select("run_id", "start_ms", "end_ms", far.alias("__to")), ["run_id"], "start_ms", "__to", time_bucket("start_ms", SLICE_MS), "head")
+    heads = F.count(F.when(F.col("head") == F.col("start_ms"), 1))
+    return walked.groupBy("run_id").agg(heads.alias("minimum_chapters"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
 
 
 DRAFT_SCHEMA = (

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from spanledger.session import checkpoint
+
 UNBOUNDED_BEFORE = (Window.unboundedPreceding, -1)
 UNBOUNDED_AFTER = (1, Window.unboundedFollowing)
 
@@ -131,3 +133,67 @@ def ordered_fold(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], [*columns, name])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def follow_jumps(rows: DataFrame, keys: list[str], at: str, to: str, bucket: Column, name: str) -> DataFrame:
+    """Add the long column ``name``: the last row at or before each row that a walk from the first row of its key along ``to`` meets.
+
+    ``at`` is the place of a row (a long, distinct within a key), ``to`` a later place of the walk's next row; the walk ends where
+    it is null, not later, or the place of no row. ``bucket`` cuts a key into slices, as in :func:`ordered_scan`. Every slice finds, from its end, where a walk that enters
+    it at a row leaves it. Only places where some slice is left for another matter between slices: their jumps are doubled, so a key of n
+    slices takes about log(n) rounds of joins over all keys at once, each written. Then each slice marks its rows on its own,
+    and no exchange is by key alone but for the first place of each key.
+    """
+    cut = rows.withColumn("__slice", bucket.cast("bigint"))
+    groups = [*keys, "__slice"]
+    jumps = cut.select(*groups, at, F.when(F.col(to) > F.col(at), F.col(to)).alias("__to"))
+
+    def leave(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, found = None, {}
+        for batch in batches:
+            exits, lasts = [], []
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if row[:-2] != group:
+                    group, found = row[:-2], {}
+                ending = found.get(row[-1], (row[-1], row[-2]))
+                found[row[-2]] = ending
+                exits.append(ending[0])
+                lasts.append(ending[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(exits, pa.int64()), pa.array(lasts, pa.int64())], [*groups, at, "__exit", "__last"])
+
+    fields = [f for f in jumps.schema.fields if f.name != "__to"]
+    left = checkpoint(jumps.repartition(*groups).sortWithinPartitions(*groups, F.desc(at)).mapInArrow(
+        leave, StructType([*fields, StructField("__exit", LongType()), StructField("__last", LongType())])))
+    ends = left.groupBy(*keys).agg(F.min(at).alias(at), F.max("__slice").alias("__end"))
+    first = ends.select(*keys, at)
+    entries = checkpoint(left.join(left.select(*keys, F.col("__exit").alias(at)).unionByName(first).distinct(), [*keys, at]))
+    met, hop = checkpoint(first), entries.select(*keys, at, "__exit")
+    while True:
+        following = hop.select(*keys, F.col(at).alias("__exit"), F.col("__exit").alias("__further"))
+        met = checkpoint(met.unionByName(met.join(hop, [*keys, at]).select(*keys, F.col("__exit").alias(at))).distinct())
+        hop = checkpoint(hop.join(following, [*keys, "__exit"]).select(*keys, at, F.col("__further").alias("__exit")))
+        if hop.isEmpty():
+            break
+    entered = checkpoint(entries.join(met, [*keys, at], "left_semi"))
+    onward = entered.select(*keys, F.col(at).alias("__exit"), F.col("__slice").alias("__until"))
+    until = F.coalesce("__until", "__end")
+    passed = entered.join(onward, [*keys, "__exit"], "left").join(ends.drop(at), keys).where(until > F.col("__slice")).select(
+        *keys, F.explode(F.sequence(F.col("__slice") + 1, until)).alias("__slice"), F.col("__last").alias("__carry"))
+    marks = entered.select(*groups, F.col(at).alias("__entry"))
+    columns, place = rows.columns, [rows.columns.index(c) for c in (at, to)]
+    placed = cut.join(passed, groups, "left").join(marks, groups, "left").select(*columns, "__slice", "__carry", "__entry")
+    at_group = [placed.columns.index(c) for c in (*groups, "__carry", "__entry")]
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, head, following = None, None, None
+        for batch in batches:
+            heads = []
+            for *this, carry, entry, here, beyond in zip(*(batch.column(i).to_pylist() for i in [*at_group, *place]), strict=True):
+                if this != group:
+                    group, head, following = this, carry, entry
+                if here == following:
+                    head, following = here, beyond
+                heads.append(head)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(heads, pa.int64())], [*columns, name])
+
+    return placed.repartition(*groups).sortWithinPartitions(*groups, at).mapInArrow(mark, StructType([*rows.schema.fields, StructField(name, LongType())]))

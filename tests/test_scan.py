@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spanledger.operators import spans
-from spanledger.operators.scan import Scan, ordered_fold, ordered_scan, time_bucket
+from spanledger.operators.scan import Scan, follow_jumps, ordered_fold, ordered_scan, time_bucket
 
 
 def rows_of(seed, n=300):
@@ -141,3 +141,30 @@ def test_ordered_fold_walks_a_long_key(spark):
         state, value = step(state, v)
         want.append((k, n, value))
     assert got == want
+
+
+def test_follow_jumps_marks_what_a_walk_meets(spark):
+    """A dominating key, jumps within and across slices, gaps of empty slices, walks that end early, a single row, and ends that point nowhere."""
+    rng = random.Random(9)
+    rows = []
+    for key, size in ((1, 6000), (2, 40), (3, 1), (None, 30)):
+        at = sorted(rng.sample(range(size * 12), size))
+        for i, place in enumerate(at):
+            step = rng.choice([1, 1, 2, 3, 40])
+            to = at[i + step] if i + step < size else rng.choice([None, size * 20, place])
+            rows.append((key, place, None if key == 2 and i > 30 else to, f"r{place}"))
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "k int, a bigint, b bigint, other string")
+    want, walk = [], {}
+    for key, place, to, other in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        head, following = walk.get(key, (place, place))
+        if place == following:
+            head, following = place, to
+        walk[key] = (head, following)
+        want.append((key, place, to, other, head))
+    known = [w for w in want if w[0] is not None]
+    for width in (15, 1000):
+        got = follow_jumps(df.where("k IS NOT NULL"), ["k"], "a", "b", F.floor(F.col("a") / width), "h")
+        assert got.columns == ["k", "a", "b", "other", "h"]
+        assert sorted(tuple(r) for r in got.collect()) == known
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("__slice" in line for line in plan.split("\n") if "REPARTITION_BY_COL" in line)  # rows move by key and slice
