@@ -1,21 +1,25 @@
 """Chapters: groups of base segments and their sampling points.
 
 Every run comes out whatever its number of segments; ``segment_budget`` lists the runs beyond the model's limit. Scans
-run over slices of the timeline, walks stream through sorted rows; only the joining of short chapters holds the
-chapter drafts of a run.
+and walks run over slices of the timeline, joins of drafts over stretches that no join can cross.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spanledger.functions.identity import stable_id
 from spanledger.functions.timing import midpoint
 from spanledger.operators.scan import Scan, follow_jumps, ordered_scan, time_bucket
+from spanledger.session import checkpoint
 
 # Fixed values of the planning rules.
 CHAPTER_MAX_MS = 300_000
@@ -108,85 +112,140 @@ DRAFT_SCHEMA = (
     "run_id bigint, start_ms bigint, end_ms bigint, title string, visual_mode string, "
     "anchors array<array<string>>, members bigint"
 )
+_DRAFT = [c.split(" ")[0] for c in DRAFT_SCHEMA.split(", ")]
 
 
-def can_merge(left: dict, right: dict) -> bool:
-    """Whether two neighbouring drafts may become one chapter."""
-    groups = [set(g) for g in [*left["anchors"], *right["anchors"]]]
-    names = [name for group in groups for name in group]
-    both = len(left["anchors"]) > 0 and len(right["anchors"]) > 0
-    pair = left["visual_mode"] == "SINGLE" == right["visual_mode"] and len(groups) <= 2
+def join_obstacle(left: Column, right: Column) -> Column:
+    """Why two neighbouring drafts (structs of ``DRAFT_SCHEMA``) can never be one chapter, null where they can.
+
+    Joining adds time, targets and anchors and takes none away, so a pair with an obstacle keeps it whatever joins either side.
+    """
+    targets = F.concat(left["anchors"], right["anchors"])
+    names = F.flatten(F.transform(targets, F.array_distinct))
+    both = (F.size(left["anchors"]) > 0) & (F.size(right["anchors"]) > 0)
+    single = (left["visual_mode"] == "SINGLE") & (right["visual_mode"] == "SINGLE") & (F.size(targets) == 2)
     return (
-        right["end_ms"] - left["start_ms"] <= CHAPTER_MAX_MS and len(groups) <= MAX_TARGETS
-        and (pair or not both) and len(names) == len(set(names))
-    )
+        F.when(right["end_ms"] - left["start_ms"] > CHAPTER_MAX_MS, "TOO_LONG").when(F.size(targets) > MAX_TARGETS, "TOO_MANY_TARGETS")
+        .when(both & ~single, "TARGETS_ON_BOTH_SIDES").when(F.size(F.array_distinct(names)) != F.size(names), "ANCHORS_SHARED"))
+
+
+def joined(left: dict, right: dict) -> dict | None:
+    """One draft of two neighbours, or None where :func:`join_obstacle` has a reason; for drafts that a walk has already joined."""
+    targets = [*left["anchors"], *right["anchors"]]
+    owners = [d for d in (left, right) if d["anchors"]]
+    times = Counter(name for target in targets for name in set(target))
+    modes = {d["visual_mode"] for d in owners or (left, right)}
+    if right["end_ms"] - left["start_ms"] > CHAPTER_MAX_MS or len(targets) > MAX_TARGETS or any(n > 1 for n in times.values()):
+        return None
+    if len(owners) == 2 and (modes != {"SINGLE"} or len(targets) > 2):
+        return None
+    mode = owners[0]["visual_mode"] if owners else "SINGLE" if "SINGLE" in modes else "NONE"
+    return {**left, "end_ms": right["end_ms"], "visual_mode": mode, "members": left["members"] + right["members"], "anchors": targets}
+
+
+def can_merge(left: dict, right: dict) -> bool:
+    return joined(left, right) is not None
 
 
 def join_drafts(left: dict, right: dict) -> dict:
-    has_left, has_right = len(left["anchors"]) > 0, len(right["anchors"]) > 0
-    if has_left and has_right:
-        mode = "SINGLE"
-    elif has_left or has_right:
-        mode = (left if has_left else right)["visual_mode"]
-    else:
-        mode = "SINGLE" if "SINGLE" in (left["visual_mode"], right["visual_mode"]) else "NONE"
-    return {
-        **left, "end_ms": right["end_ms"], "visual_mode": mode, "members": left["members"] + right["members"],
-        "anchors": [*left["anchors"], *right["anchors"]],
-    }
+    return joined(left, right)
 
 
-def absorb_short(drafts: list[dict], minimum_ms: int) -> list[dict]:
-    """Join drafts below the minimum to the previous neighbour, else to the next."""
-    settled: list[dict] = []
-    waiting = deque(drafts)
-    while waiting:
-        draft = waiting.popleft()
+def settled_drafts(drafts: Iterable[dict], minimum_ms: int) -> Iterator[dict]:
+    """Drafts below the minimum joined to the previous neighbour, else to the next, as a stream.
+
+    Two drafts are open at a time: the last settled one, to which the next short draft may still be joined, and the one under judgment.
+    A short draft settles only when neither neighbour takes it, and no later join makes them take it, so what comes before the last settled draft is final.
+    """
+    last = draft = None
+    for following in chain(drafts, [None]):
+        if draft is None:
+            draft = following
+            continue
         short = draft["end_ms"] - draft["start_ms"] < minimum_ms
-        if short and settled and can_merge(settled[-1], draft):
-            waiting.appendleft(join_drafts(settled.pop(), draft))
-        elif short and waiting and can_merge(draft, waiting[0]):
-            waiting.appendleft(join_drafts(draft, waiting.popleft()))
+        if short and last and (both := joined(last, draft)):
+            last, draft = both, following
+        elif short and following and (both := joined(draft, following)):
+            draft = both
         else:
-            settled.append(draft)
-    return settled
-
+            if last:
+                yield last
+            last, draft = draft, following
+    if last:
+        yield last
 
-def reduce_count(drafts: list[dict], maximum: int) -> list[dict]:
-    """Join the first neighbours that can be joined until at most ``maximum`` remain.
 
-    Joining only makes a pair harder to join, so one pass from the left finds the
-    same pairs as starting over after every join.
-    """
-    excess = len(drafts) - maximum
-    kept: list[dict] = []
+def fewer_drafts(drafts: Iterable[dict], joins: int | None) -> Iterator[dict]:
+    """The first neighbours that can be joined are, ``joins`` times at most; joining makes no pair easier to join, so one pass finds them all."""
+    last = None
     for draft in drafts:
-        if excess > 0 and kept and can_merge(kept[-1], draft):
-            kept[-1] = join_drafts(kept[-1], draft)
-            excess -= 1
+        both = joined(last, draft) if last and (joins is None or joins > 0) else None
+        if both:
+            joins = joins and joins - 1
+            last = both
         else:
-            kept.append(draft)
-    return kept
+            if last:
+                yield last
+            last = draft
+    if last:
+        yield last
+
+
+def absorb_short(drafts: list[dict], minimum_ms: int) -> list[dict]:
+    return list(settled_drafts(drafts, minimum_ms))
+
+
+def reduce_count(drafts: list[dict], maximum: int) -> list[dict]:
+    return list(fewer_drafts(drafts, max(0, len(drafts) - maximum)))
 
 
-def _fold_drafts(drafts: DataFrame, fold) -> DataFrame:
-    def per_run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("start_ms").to_dict("records")
-        for row in rows:
-            row["anchors"] = [list(g) for g in row["anchors"]]
-        return pd.DataFrame(fold(rows), columns=frame.columns)
+def draft_stretches(drafts: DataFrame) -> DataFrame:
+    """Drafts with ``__stretch``, the start of the stretch they belong to: a run is cut wherever two neighbours can never be joined."""
+    slices = time_bucket("start_ms", SLICE_MS)
+    slim = drafts.select(*_DRAFT).withColumn("__draft", F.struct("start_ms", "end_ms", "visual_mode", "anchors"))
+    beside = ordered_scan(slim, ["run_id"], ["start_ms"], slices, [Scan("__before", "lag", "__draft")])
+    opens = F.col("__before").isNull() | join_obstacle(F.col("__before"), F.col("__draft")).isNotNull()
+    marked = beside.withColumn("__opens", F.when(opens, F.col("start_ms"))).drop("__before", "__draft")
+    seen = ordered_scan(marked, ["run_id"], ["start_ms"], slices, [Scan("__earlier", "max_before", "__opens")])
+    return seen.withColumn("__stretch", F.coalesce("__opens", "__earlier")).drop("__opens", "__earlier")
 
-    columns = [c.split(" ")[0] for c in DRAFT_SCHEMA.split(", ")]
-    return drafts.select(*columns).groupBy("run_id").applyInPandas(per_run, DRAFT_SCHEMA)
+
+def _contracted(stretches: DataFrame, fold: Callable[[Iterator[dict], int | None], Iterator[dict]]) -> DataFrame:
+    """Stream every stretch through ``fold(drafts, joins)``; rows leave as soon as they are final."""
+    schema = StructType([*[stretches.schema[c] for c in _DRAFT], stretches.schema["__stretch"]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        out = (row for _, group in groupby(rows, lambda r: (r["run_id"], r["__stretch"])) for row in _folded(group))
+        while some := list(islice(out, 5000)):
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in schema.names} for r in some], to_arrow_schema(schema))
+
+    def _folded(group: Iterator[dict]) -> Iterator[dict]:
+        first = next(group)
+        return fold(chain([first], group), first.get("__joins"))
+
+    return stretches.repartition("run_id", "__stretch").sortWithinPartitions("run_id", "__stretch", "start_ms").mapInArrow(run, schema)
 
 
 def merge_short_chapters(drafts: DataFrame, minimum_ms: int) -> DataFrame:
-    return _fold_drafts(drafts, lambda rows: absorb_short(rows, minimum_ms))
+    """Drafts below the minimum joined to a neighbour. Stretches are independent of each other, so a run of any length spreads over tasks."""
+    return _contracted(draft_stretches(drafts), lambda rows, _: settled_drafts(rows, minimum_ms)).drop("__stretch")
 
 
 def limit_chapters(drafts: DataFrame, maximum: int) -> DataFrame:
-    """At most ``maximum`` drafts per run; runs that cannot reach it keep more."""
-    return _fold_drafts(drafts, lambda rows: reduce_count(rows, maximum))
+    """At most ``maximum`` drafts per run, joining from the left; runs that cannot reach it keep more.
+
+    Every stretch is first joined as far as it goes, which says how many joins it offers; the joins a run needs are then dealt to its
+    stretches in order by a running sum, and each stretch makes its part.
+    """
+    stretches = checkpoint(draft_stretches(drafts))
+    sizes = stretches.groupBy("run_id", "__stretch").agg(F.count(F.lit(1)).alias("__n"))
+    least = _contracted(stretches, lambda rows, _: fewer_drafts(rows, None)).groupBy("run_id", "__stretch").agg(F.count(F.lit(1)).alias("__least"))
+    offers = sizes.join(least, ["run_id", "__stretch"]).withColumn("__offer", F.col("__n") - F.col("__least"))
+    excess = sizes.groupBy("run_id").agg((F.sum("__n") - maximum).alias("__excess"))
+    dealt = ordered_scan(offers, ["run_id"], ["__stretch"], time_bucket("__stretch", SLICE_MS), [Scan("__used", "sum_before", "__offer")]).join(excess, "run_id")
+    joins = F.greatest(F.lit(0), F.least("__offer", F.col("__excess") - F.coalesce("__used", F.lit(0)))).cast("bigint")
+    return _contracted(stretches.join(dealt.select("run_id", "__stretch", joins.alias("__joins")), ["run_id", "__stretch"]), fewer_drafts).drop("__stretch")
 
 
 def materialize_chapters(chapters: DataFrame, asset: str = "run_id") -> DataFrame:

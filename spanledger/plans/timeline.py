@@ -424,34 +424,67 @@ def _(t):
 
 
 def drafts(t):
-    """Turn-sized drafts with anchors taken from the turn itself."""
-    w = t.v_windows.select("run_id", F.col("start_ms"), F.col("end_ms"), "chunk_index")
+    """Drafts of 20 s, every fourth of 90 s, with none, one or two targets; some share their anchors."""
+    w = t.v_windows.select("run_id", "start_ms", "end_ms", "chunk_index")
+    long = F.col("chunk_index") % 4 == 3
     cut = w.select(
-        "run_id", "chunk_index",
-        F.explode(F.sequence(F.col("start_ms"), F.col("end_ms") - 1, F.lit(45_000).cast("bigint"))).alias("start_ms"),
-        F.col("end_ms").alias("__e"),
-    )
-    mode = F.element_at(F.array(F.lit("NONE"), F.lit("SINGLE"), F.lit("COMPARISON")), (F.col("start_ms") % 3 + 1).cast("int"))
-    anchor = F.concat(F.lit("a"), (F.floor(F.col("start_ms") / 90_000)).cast("string"))
+        "run_id", "chunk_index", long.alias("long"), F.explode(F.sequence("start_ms", F.col("end_ms") - 1, F.when(long, 90_000).otherwise(20_000).cast("bigint"))).alias("start_ms"), F.col("end_ms").alias("__e"))
+    k = F.floor(F.col("start_ms") / 20_000)
+    mode = F.element_at(F.array(F.lit("NONE"), F.lit("SINGLE"), F.lit("NONE"), F.lit("COMPARISON"), F.lit("SINGLE")), (k % 5 + 1).cast("int"))
+    one, two = F.array(F.concat(F.lit("a"), F.floor(k / 4))), F.array(F.concat(F.lit("b"), k))
+    anchors = F.when((mode == "SINGLE") & (k % 2 == 0), F.array(one)).when(mode == "COMPARISON", F.array(one, two)).otherwise(F.array().cast("array<array<string>>"))
     return cut.select(
-        "run_id", "start_ms", F.least(F.col("__e"), F.col("start_ms") + 45_000).alias("end_ms"),
-        F.concat(F.lit("draft "), F.col("chunk_index"), F.lit(" "), F.col("start_ms")).alias("title"),
-        mode.alias("visual_mode"),
-        F.when(F.col("start_ms") % 4 == 0, F.array(F.array(anchor))).otherwise(
-            F.array().cast("array<array<string>>")).alias("anchors"),
-        F.lit(1).cast("bigint").alias("members"),
-    )
+        "run_id", "start_ms", F.least(F.col("__e"), F.col("start_ms") + F.when(F.col("long"), 90_000).otherwise(20_000)).alias("end_ms"),
+        F.concat(F.lit("draft "), F.col("chunk_index"), F.lit(" "), F.col("start_ms")).alias("title"), mode.alias("visual_mode"), anchors.alias("anchors"), F.lit(1).cast("bigint").alias("members"))
+
+
+_DRAFTS = """
+cu AS (SELECT run_id, chunk_index, end_ms AS e, CASE WHEN chunk_index % 4 = 3 THEN 90000 ELSE 20000 END AS step, unnest(range(start_ms, end_ms, CASE WHEN chunk_index % 4 = 3 THEN 90000 ELSE 20000 END)) AS start_ms FROM v_windows),
+dm AS (SELECT *, start_ms // 20000 AS k, ['NONE', 'SINGLE', 'NONE', 'COMPARISON', 'SINGLE'][(start_ms // 20000) % 5 + 1] AS mode FROM cu),
+dr AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY start_ms) AS i, {'s': start_ms, 'e': least(e, start_ms + step), 't': 'draft ' || chunk_index || ' ' || start_ms, 'm': mode,
+       'a': CASE WHEN mode = 'SINGLE' AND k % 2 = 0 THEN ['a' || k // 4] WHEN mode = 'COMPARISON' THEN ['a' || k // 4, 'b' || k] ELSE CAST([] AS VARCHAR[]) END, 'n': CAST(1 AS BIGINT)} AS d FROM dm)"""
+
+
+def _joinable(x: str, y: str) -> str:
+    return (f"({y}.e - {x}.s <= 300000 AND len({x}.a) + len({y}.a) <= 4 AND len(list_distinct(list_concat({x}.a, {y}.a))) = len({x}.a) + len({y}.a) "
+            f"AND (len({x}.a) = 0 OR len({y}.a) = 0 OR ({x}.m = 'SINGLE' AND {y}.m = 'SINGLE' AND len({x}.a) + len({y}.a) = 2)))")
+
+
+def _joined(x: str, y: str) -> str:
+    mode = f"CASE WHEN len({x}.a) > 0 THEN {x}.m WHEN len({y}.a) > 0 THEN {y}.m WHEN {x}.m = 'SINGLE' OR {y}.m = 'SINGLE' THEN 'SINGLE' ELSE 'NONE' END"
+    return f"{{'s': {x}.s, 'e': {y}.e, 't': {x}.t, 'm': {mode}, 'a': list_concat({x}.a, {y}.a), 'n': {x}.n + {y}.n}}"
+
+
+_DRAFT_ROWS = "SELECT run_id, o.s AS start_ms, o.e AS end_ms, o.t AS title, o.m AS visual_mode, array_to_string(o.a, ',') AS anchors, o.n AS members FROM out WHERE o IS NOT NULL"
 
 
 def _show(out):
     return out.withColumn("anchors", F.array_join(F.transform("anchors", lambda a: F.array_join(a, "+")), ","))
 
 
-@query("i22_merge_short_chapters")
+@query("i22_merge_short_chapters", f"""
+WITH RECURSIVE {_DRAFTS},
+st AS (SELECT a.run_id, CAST(2 AS BIGINT) AS i, CASE WHEN false THEN a.d END AS l, a.d AS c, CASE WHEN false THEN a.d END AS o FROM dr a WHERE a.i = 1
+  UNION ALL
+  SELECT run_id, i + 1, CASE WHEN c IS NULL THEN NULL WHEN act = 'A' THEN {_joined('l', 'c')} WHEN act = 'B' THEN l ELSE c END, CASE act WHEN 'B' THEN {_joined('c', 'f')} ELSE f END,
+         CASE WHEN c IS NULL OR act = 'C' THEN l END
+  FROM (SELECT s.*, n.d AS f, CASE WHEN s.c.e - s.c.s < 60000 AND s.l IS NOT NULL AND {_joinable('s.l', 's.c')} THEN 'A' WHEN s.c.e - s.c.s < 60000 AND n.d IS NOT NULL AND {_joinable('s.c', 'n.d')} THEN 'B' ELSE 'C' END AS act
+        FROM st s LEFT JOIN dr n ON n.run_id = s.run_id AND n.i = s.i) w WHERE l IS NOT NULL OR c IS NOT NULL),
+out AS (SELECT run_id, o FROM st) {_DRAFT_ROWS}""", "v_windows")
 def _(t):
     return _show(chapters.merge_short_chapters(drafts(t), 60_000))
 
 
+@query("i23_join_obstacles", f"""
+WITH {_DRAFTS}, p AS (SELECT a.run_id, a.d AS x, b.d AS y FROM dr a JOIN dr b ON a.run_id = b.run_id AND b.i = a.i + 1)
+SELECT run_id, x.s AS start_ms, CASE WHEN y.e - x.s > 300000 THEN 'TOO_LONG' WHEN len(x.a) + len(y.a) > 4 THEN 'TOO_MANY_TARGETS' WHEN len(x.a) > 0 AND len(y.a) > 0 AND NOT (x.m = 'SINGLE' AND y.m = 'SINGLE') THEN 'TARGETS_ON_BOTH_SIDES'
+   WHEN list_has_any(x.a, y.a) THEN 'ANCHORS_SHARED' ELSE '' END AS obstacle FROM p""", "v_windows")
+def _(t):
+    rows = drafts(t).withColumn("draft", F.struct("start_ms", "end_ms", "visual_mode", "anchors"))
+    pairs = ordered_scan(rows, RUN, ["start_ms"], time_bucket("start_ms", spans.SLICE_MS), [Scan("following", "lead", "draft")]).where("following IS NOT NULL")
+    return pairs.select("run_id", "start_ms", F.coalesce(chapters.join_obstacle(F.col("draft"), F.col("following")), F.lit("")).alias("obstacle"))
+
+
 @query("i23_merge_rule", """
 WITH d AS (SELECT run_id, start_ms, end_ms, lead(end_ms) OVER (PARTITION BY run_id ORDER BY start_ms) AS next_end FROM v_windows)
 SELECT run_id, start_ms, next_end - start_ms <= 300000 AS mergeable FROM d WHERE next_end IS NOT NULL""", "v_windows")
@@ -462,9 +495,15 @@ def _(t):
     return left.join(right, ["run_id", "edge"]).select("run_id", "start_ms", rule.alias("mergeable"))
 
 
-@query("i24_limit_chapters")
+@query("i24_limit_chapters", f"""
+WITH RECURSIVE {_DRAFTS}, ex AS (SELECT run_id, greatest(0, count(*) - 9) AS x FROM dr GROUP BY run_id),
+st AS (SELECT dr.run_id, CAST(2 AS BIGINT) AS i, d AS l, CASE WHEN false THEN d END AS o, CAST(x AS BIGINT) AS x FROM dr JOIN ex USING (run_id) WHERE i = 1
+  UNION ALL
+  SELECT run_id, i + 1, CASE WHEN ok THEN {_joined('l', 'f')} ELSE f END, CASE WHEN NOT ok THEN l END, CASE WHEN ok THEN x - 1 ELSE x END
+  FROM (SELECT s.*, n.d AS f, n.d IS NOT NULL AND s.x > 0 AND {_joinable('s.l', 'n.d')} AS ok FROM st s LEFT JOIN dr n ON n.run_id = s.run_id AND n.i = s.i WHERE s.l IS NOT NULL) w),
+out AS (SELECT run_id, o FROM st) {_DRAFT_ROWS}""", "v_windows")
 def _(t):
-    return _show(chapters.limit_chapters(drafts(t), 3))
+    return _show(chapters.limit_chapters(drafts(t), 9))
 
 
 @query("i25_minimum_chapters", f"""
