@@ -7,7 +7,6 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,11 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Texts tokenised at once, windows a task remembers, and ids of a window that is remembered at most.
-BATCH = 256
-MEMO = 200_000
-LONG = 64
+#: Texts, or letters, tokenised and aligned at once; windows a task remembers, and their linked pairs on average.
+BATCH = 512
+LETTERS = 2_000_000
+MEMO = 300_000
+PAIRS = 8
 #: A pair in more than 1/FREQUENT of all (document, pair) rows is frequent; there are fewer than FREQUENT of those.
 FREQUENT = 50_000
 STRETCH = 1 << 20
@@ -118,84 +118,149 @@ def _reopened(byte_level: str, pieces: str) -> Tokenizers:
     return Tokenizers("", byte_level, pieces)
 
 
-class Window:
-    """Groups and links of one window of ids, given the ends of its tokens; ``names`` writes an id in decimal."""
-
-    __slots__ = ("groups", "pairs", "digest")
-
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], names: list[str]) -> None:
-        pairs, out = [], []
-        i = j = i_from = j_from = 0
-        size = len(a)
-        while i < size:
-            x, y = a[i], b[j]
-            pairs.append(x << 32 | y)
-            one, other = a_ends[i], b_ends[j]
-            if one < other:
-                i += 1
-            elif other < one:
-                j += 1
-            else:
-                i, j = i + 1, j + 1
-                if i - i_from == 1 == j - j_from:
-                    out.append(f"{names[x]}|{names[y]}")
-                else:
-                    out.append(f"{','.join([names[x] for x in a[i_from:i]])}|{','.join([names[y] for y in b[j_from:j]])}")
-                i_from, j_from = i, j
-        self.groups, self.pairs, self.digest = len(out), tuple(pairs), ";".join(out)
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each of the stretches of these lengths."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return values[np.repeat(starts, lengths) + _places(lengths)]
 
 
 class Aligner:
-    """Cuts documents at whitespace anchors and aligns each window once.
+    """Cuts documents at whitespace anchors and aligns each distinct window once.
 
     An anchor is a byte offset at which tokens of both sides end and the next token of both begins with a space. What lies between
-    two anchors depends on its ids alone, so windows are kept by their id tuples; the memo is emptied when full, which changes no result.
+    two anchors depends on its ids alone, so window alignments are kept by their id tuples: text of the groups, number of groups, and linked pairs, end to end in
+    one array. New windows of a batch are aligned together. The memo is emptied between batches when full, which changes no result.
     """
 
     def __init__(self, tokenizers: Tokenizers) -> None:
         self.tokenizers = tokenizers
-        self.memo: dict[tuple[bytes, bytes], Window] = {}
-        self.names = [str(i) for i in range(max(map(len, tokenizers.tables)))]
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[Window]:
+        numbers = [str(i).encode() for i in range(max(map(len, tokenizers.tables)))]
+        self.digits = np.array([len(n) for n in numbers])
+        self.letters = np.frombuffer(b"".join(n.ljust(8) for n in numbers), np.uint8).reshape(-1, 8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[tuple[bytes, bytes], int] = {}
+        self.texts: list[bytes] = []
+        self.groups = np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin, and the ends, in tokens of either side. Every document begins with a space, so documents laid end to end never share a window."""
         a_size, b_size, a_space, b_space = self.tokenizers.tables
         a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
         at = np.searchsorted(b_ends, a_ends)
-        shared = b_ends[at] == a_ends
-        a_last = np.flatnonzero(shared[:-1] & a_space[a[1:]])
-        a_last = a_last[b_space[b[at[a_last] + 1]]]
-        a_cuts = np.concatenate([[0], a_last + 1, [len(a)]])
-        b_cuts = np.concatenate([[0], at[a_last] + 1, [len(b)]])
-        a_raw, b_raw, memo = a.tobytes(), b.tobytes(), self.memo
-        a_at, b_at = (a_cuts * 4).tolist(), (b_cuts * 4).tolist()
-        lists = [x.tolist() for x in (a, b, a_ends, b_ends)]
-        keys = [(a_raw[i:j], b_raw[m:n]) for i, j, m, n in zip(a_at, a_at[1:], b_at, b_at[1:])]
-        found = list(map(memo.get, keys))
-        for k, window in enumerate(found):
-            if window is None and (window := memo.get(keys[k])) is None:
-                one, other = slice(a_at[k] >> 2, a_at[k + 1] >> 2), slice(b_at[k] >> 2, b_at[k + 1] >> 2)
-                window = Window(lists[0][one], lists[1][other], lists[2][one], lists[3][other], self.names)
-                if len(keys[k][0]) + len(keys[k][1]) <= 4 * LONG:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[keys[k]] = window
-            found[k] = window
-        return found
-
-    def document(self, ids: tuple[np.ndarray, np.ndarray] | None) -> tuple:
-        """n_a, n_b, n_groups, n_links, digest of the groups, distinct ids of linked pairs and how many links hold each."""
-        if ids is None:
-            return 0, 0, 0, 0, "", _NONE, _NONE, _NONE
-        windows = self.windows(*ids)
-        digest = hashlib.sha256()
-        for at in range(0, len(windows), STRETCH):
-            digest.update(((";" if at else "") + ";".join([w.digest for w in windows[at : at + STRETCH]])).encode())
-        pairs, times = np.unique(np.fromiter(chain.from_iterable([w.pairs for w in windows]), np.int64), return_counts=True)
-        groups = sum([w.groups for w in windows])
-        return len(ids[0]), len(ids[1]), groups, int(times.sum()), digest.hexdigest(), (pairs >> 32).astype(np.int32), pairs.astype(np.int32), times.astype(np.int32)
+        last = np.flatnonzero((b_ends[at] == a_ends)[:-1] & a_space[a[1:]])
+        last = last[b_space[b[at[last] + 1]]]
+        return np.concatenate([[0], last + 1, [len(a)]]), np.concatenate([[0], at[last] + 1, [len(b)]])
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number in the memo of every window in order, and where the windows begin in tokens of the first side."""
+        a_cuts, b_cuts = self.cuts(a, b)
+        sides = [(ids, cuts[:-1], np.diff(cuts)) for ids, cuts in ((a, a_cuts), (b, b_cuts))]
+        same, first = self._distinct(sides)
+        a_raw, b_raw = a.tobytes(), b.tobytes()
+        edges = [(c[k] * 4).tolist() for c in (a_cuts, b_cuts) for k in (first, first + 1)]
+        keys = [(a_raw[i:j], b_raw[m:n]) for i, j, m, n in zip(*edges)]
+        known = list(map(self.memo.get, keys))
+        new = [k for k, number in enumerate(known) if number is None]
+        if new:
+            self._add([(ids, starts[first[new]], lengths[first[new]]) for ids, starts, lengths in sides])
+            for number, k in enumerate(new, len(self.memo)):
+                known[k] = self.memo[keys[k]] = number
+        return np.array(known, np.int64)[same], a_cuts[:-1]
+
+    @staticmethod
+    def _distinct(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the number of its like, and a window for each number: equal hashes, and then equal ids."""
+        total = np.zeros(len(sides[0][1]), np.uint64)
+        for side, (ids, starts, lengths) in enumerate(sides):
+            place = _places(lengths).astype(np.uint64) * np.uint64(2) + np.uint64(side)
+            total += np.add.reduceat(_mixed(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xD1B54A32D192ED03)), starts)
+        _, first, same = np.unique(total, return_index=True, return_inverse=True)
+        alike = first[same]
+        for ids, starts, lengths in sides:
+            if not (np.array_equal(lengths[alike], lengths) and np.array_equal(_gathered(ids, starts[alike], lengths), ids)):
+                return np.arange(len(total)), np.arange(len(total))
+        return same, first
+
+    def _add(self, sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Align windows given by where they start and how long they are on either side, and append them."""
+        (a, a_length), (b, b_length) = ((_gathered(ids, starts, lengths), lengths) for ids, starts, lengths in sides)
+        a_ends, b_ends = np.cumsum(self.tokenizers.tables[0][a]), np.cumsum(self.tokenizers.tables[1][b])
+        a_shared = b_ends[np.searchsorted(b_ends, a_ends)] == a_ends
+        b_shared = a_ends[np.searchsorted(a_ends, b_ends)] == b_ends
+        # bytes between two ends of either side belong to one token of each, which are so linked
+        ends = np.union1d(a_ends, b_ends)
+        pairs = a[np.searchsorted(a_ends, ends)].astype(np.int64) << 32 | b[np.searchsorted(b_ends, ends)]
+        window_ends = a_ends[np.cumsum(a_length) - 1]
+        self.starts = np.concatenate([self.starts, len(self.pairs) + np.searchsorted(ends, window_ends, "right")])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.groups = np.concatenate([self.groups, np.add.reduceat(a_shared.astype(np.int64), np.cumsum(a_length) - a_length)])
+        # tokens in order of group and side, each with the sign that follows it
+        order = np.concatenate([2 * (np.cumsum(a_shared) - a_shared), 2 * (np.cumsum(b_shared) - b_shared) + 1])
+        by = np.argsort(order, kind="stable")
+        ids, order = np.concatenate([a, b])[by], order[by]
+        closes = np.append(order[1:] != order[:-1], True)
+        sign = np.where(closes, np.where(order % 2 == 0, ord("|"), ord(";")), ord(","))
+        width = self.digits[ids]
+        stop = np.cumsum(width + 1)
+        text = np.empty(int(stop[-1]), np.uint8)
+        text[stop - 1] = sign
+        for digit in range(int(width.max())):
+            longer = np.flatnonzero(width > digit)
+            text[stop[longer] - 1 - width[longer] + digit] = self.letters[ids[longer], digit]
+        raw, at = text.tobytes(), [0, *stop[np.cumsum(a_length + b_length) - 1].tolist()]
+        self.texts += [raw[i : j - 1] for i, j in zip(at, at[1:])]
+
+    def documents(self, encoded: list[tuple[np.ndarray, np.ndarray] | None]) -> list[tuple]:
+        """For each document n_a, n_b, n_groups, n_links, digest of the groups, and the distinct ids of linked pairs with how many links hold each."""
+        if len(self.memo) > MEMO or len(self.pairs) > MEMO * PAIRS:
+            self._forget()
+        sound = [ids for ids in encoded if ids is not None]
+        if not sound:
+            return [_EMPTY] * len(encoded)
+        a, b = (np.concatenate([ids[side] for ids in sound]) for side in (0, 1))
+        numbers, begins = self.windows(a, b)
+        edges = np.searchsorted(begins, np.cumsum([0, *(len(ids[0]) for ids in sound)])).tolist()
+        lengths = self.starts[numbers + 1] - self.starts[numbers]
+        pairs, links = _gathered(self.pairs, self.starts[numbers], lengths), np.concatenate([[0], np.cumsum(lengths)])
+        listed, rows = numbers.tolist(), []
+        for (left, right), low, high in zip(sound, edges, edges[1:], strict=False):
+            digest = hashlib.sha256()
+            for at in range(low, high, STRETCH):
+                digest.update((b";" if at > low else b"") + b";".join([self.texts[n] for n in listed[at : min(high, at + STRETCH)]]))
+            found, times = np.unique(pairs[links[low] : links[high]], return_counts=True)
+            groups = int(self.groups[numbers[low:high]].sum())
+            rows.append((len(left), len(right), groups, int(links[high] - links[low]), digest.hexdigest(), (found >> 32).astype(np.int32), found.astype(np.int32), times.astype(np.int32)))
+        filled = iter(rows)
+        return [_EMPTY if ids is None else next(filled) for ids in encoded]
 
 
 _NONE = np.zeros(0, np.int32)
+_EMPTY = (0, 0, 0, 0, "", _NONE, _NONE, _NONE)
+
+
+def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are tokenised and aligned together."""
+    low = size = 0
+    for at, text in enumerate(texts):
+        if at > low and (at - low >= BATCH or size > LETTERS):
+            yield low, at
+            low, size = at, 0
+        size += len(text or "")
+    if low < len(texts):
+        yield low, len(texts)
 
 
 def align_documents(docs: DataFrame, tokenizers: Tokenizers | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,10 +275,10 @@ def align_documents(docs: DataFrame, tokenizers: Tokenizers | None = None, id_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(tokenizers)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                texts = part.column(1).to_pylist()
-                rows = [aligner.document(ids) for ids in tokenizers.encode([t or "" for t in texts])]
+            texts = batch.column(1).to_pylist()
+            for low, high in _batches(texts):
+                part = batch.slice(low, high - low)
+                rows = aligner.documents(list(tokenizers.encode([t or "" for t in texts[low:high]])))
                 ends = np.cumsum([0] + [len(r[5]) for r in rows]).astype(np.int32)
                 flat = pa.StructArray.from_arrays([pa.array(np.concatenate([r[c] for r in rows])) for c in (5, 6, 7)], fields=list(shape.value_type))
                 counts = [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)]

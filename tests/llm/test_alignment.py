@@ -90,18 +90,36 @@ def test_counts_without_frequent_pairs_and_without_memo(spark, monkeypatch):
     aligner = alignment.Aligner(alignment.Tokenizers())
     monkeypatch.setattr(alignment, "MEMO", 2)
     monkeypatch.setattr(alignment, "STRETCH", 3)
-    for i, (text, ids) in enumerate(zip(TEXTS, aligner.tokenizers.encode([t or "" for t in TEXTS]), strict=True)):
-        n_a, n_b, groups, links, digest, *_ = aligner.document(ids)
-        assert (i, n_a, n_b, groups, links, digest) == (*want[i][:5], want[i][7])
+    encoded = list(aligner.tokenizers.encode([t or "" for t in TEXTS]))
+    for step in (1, 5, 100):
+        rows = [row for at in range(0, len(encoded), step) for row in aligner.documents(encoded[at : at + step])]
+        for i, (n_a, n_b, groups, links, digest, *_) in enumerate(rows):
+            assert (i, n_a, n_b, groups, links, digest) == (*want[i][:5], want[i][7])
 
 
 def test_anchors_cut_before_spaces_only():
     aligner = alignment.Aligner(alignment.Tokenizers())
-    (ids,) = aligner.tokenizers.encode(["one two three"])
-    assert len(aligner.windows(*ids)) == 3
-    assert len(aligner.memo) == 3
-    aligner.windows(*ids)
-    assert len(aligner.memo) == 3
+    (ids,) = aligner.tokenizers.encode(["one two three two"])
+    numbers, begins = aligner.windows(*ids)
+    assert len(begins) == 4 and numbers[1] == numbers[3] and len(aligner.memo) == 3
+    again, _ = aligner.windows(*ids)
+    assert again.tolist() == numbers.tolist() and len(aligner.memo) == 3
+
+
+def test_windows_with_equal_hashes_stay_apart(monkeypatch):
+    encoded = list(alignment.Tokenizers().encode(["one two three four", "five six"]))
+    want = [r[:5] for r in alignment.Aligner(alignment.Tokenizers()).documents(encoded)]
+    monkeypatch.setattr(alignment, "_mixed", lambda values: values * 0)
+    assert [r[:5] for r in alignment.Aligner(alignment.Tokenizers()).documents(encoded)] == want
+
+
+def test_batches_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "BATCH", 3)
+    monkeypatch.setattr(alignment, "LETTERS", 10)
+    texts = ["a" * 30, None, "b", "c" * 11, "d", "e", "f", "g"]
+    ranges = list(alignment._batches(texts))
+    assert [i for low, high in ranges for i in range(low, high)] == list(range(8)) and max(high - low for low, high in ranges) <= 3
+    assert list(alignment._batches([])) == []
 
 
 def test_repeated_ids_and_empty_tables(spark):
