@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, bisect_right
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from spanledger.operators.scan import ordered_fold
 from spanledger.operators.spans import SLICE_MS, interval_islands
 
 
@@ -119,12 +121,31 @@ def close_edges(reference: list[tuple[int, int]], hypothesis: list[tuple[int, in
     ]
 
 
-def _matcher(tolerance: int):
-    @F.pandas_udf(LongType())
-    def run(times: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([match_points(list(t), list(a), list(b), tolerance) for t, a, b in zip(times, left, right)], dtype="int64")
+def _point_step(tolerance: int):
+    """Fold over times in order: points take the oldest open points of the other side that are still near enough, then those of their own time.
 
-    return run
+    Only one side is open at a time, and only what lies within the tolerance is kept.
+    """
+    def step(state: tuple, at: int, left: int, right: int) -> tuple:
+        side, open_ = state
+        while open_ and open_[0][0] < at - tolerance:
+            open_.popleft()
+        arriving, matched = [left, right], 0
+        while open_ and arriving[1 - side]:
+            pairs = min(arriving[1 - side], open_[0][1])
+            matched += pairs
+            arriving[1 - side] -= pairs
+            open_[0][1] -= pairs
+            if not open_[0][1]:
+                open_.popleft()
+        both = min(arriving)
+        rest = max(arriving) - both
+        if rest:
+            side = arriving.index(max(arriving))
+            open_.append([at, rest])
+        return (side, open_), matched + both
+
+    return step
 
 
 def boundary_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], tolerance_ms: int, slice_ms: int = SLICE_MS) -> DataFrame:
@@ -135,15 +156,8 @@ def boundary_counts(reference: DataFrame, hypothesis: DataFrame, keys: list[str]
     points = both.groupBy(*keys, "timestamp_ms").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     spans = points.select(*keys, F.col("timestamp_ms").alias("start_ms"), F.col("timestamp_ms").alias("end_ms"), "r", "h")
     isles = interval_islands(spans, keys, tolerance_ms, ["start_ms"], slice_ms)
-    lists = isles.groupBy(*keys, "island").agg(
-        F.array_sort(F.collect_list(F.struct("start_ms", "r", "h"))).alias("p"), F.sum("r").alias("r"), F.sum("h").alias("h"))
-    column = lambda name: F.transform("p", lambda x: x[name])
-    both_sides = (F.col("r") > 0) & (F.col("h") > 0)
-    matched = _matcher(tolerance_ms)(column("start_ms"), column("r"), column("h"))
-    lonely = lists.where(~both_sides).select(*keys, none.alias("matches"), "h", "r")
-    shared = lists.where(both_sides).select(*keys, matched.alias("matches"), "h", "r")
-    return shared.unionByName(lonely).groupBy(*keys).agg(
-        F.sum("matches").alias("matches"), F.sum("h").alias("predicted"), F.sum("r").alias("reference"))
+    walked = ordered_fold(isles, [*keys, "island"], ["start_ms"], ["start_ms", "r", "h"], "__m", lambda: (0, deque()), _point_step(tolerance_ms))
+    return walked.groupBy(*keys).agg(F.sum("__m").alias("matches"), F.sum("h").alias("predicted"), F.sum("r").alias("reference"))
 
 
 def _intervals(rows) -> list[tuple[int, int]]:

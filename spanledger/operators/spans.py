@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.operators.scan import UNBOUNDED_AFTER, UNBOUNDED_BEFORE, Scan, ordered_scan, time_bucket
+from spanledger.operators.scan import UNBOUNDED_AFTER, UNBOUNDED_BEFORE, Scan, ordered_fold, ordered_scan, time_bucket
 
 SLICE_MS = 6 * 3_600_000
 
@@ -170,27 +170,25 @@ def remove_adjacent_duplicates(
 
     The strictly more confident copy is kept. A row can only repeat a kept row of
     the same text whose end it touches, so the rows are cut into chains wherever
-    the text changes or every earlier end lies before the start; the short ordered
-    fold runs per chain, and chains of one row skip it.
+    the text changes or every earlier end lies before the start. Chains stream through a fold whose state is the last kept row; it
+    numbers the kept rows, and where several rows had one number the last of them stays.
     """
     order = ["start_ms", "end_ms", "evidence_id"]
     chained = interval_islands(segments, keys, 0, order, slice_ms, normalized)
+
+    def step(state: tuple, start: int, end: int, confidence: float) -> tuple:
+        place, last_end, last = state
+        if place and last_end == start:
+            if confidence is None or last is None or confidence <= last:
+                return state, None
+        else:
+            place += 1
+        return (place, end, confidence), place
+
+    taken = ordered_fold(chained, [*keys, "island"], order, ["start_ms", "end_ms", "confidence"], "__place", lambda: (0, None, None), step).where("__place IS NOT NULL")
     columns = [c for c in segments.columns if c not in keys]
     row = F.struct(*order, *[c for c in columns if c not in order])
-    chains = chained.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    last = lambda acc: F.element_at(acc, -1)
-    kept = F.aggregate(
-        F.slice("__rows", 2, F.greatest(F.size("__rows") - 1, F.lit(0))),
-        F.slice("__rows", 1, 1),
-        lambda acc, x: F.when(last(acc)["end_ms"] != x["start_ms"], F.concat(acc, F.array(x)))
-        .when(x["confidence"] > last(acc)["confidence"],
-              F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x)))
-        .otherwise(acc),
-    )
-    kept = F.when(F.size("__rows") == 1, F.col("__rows")).otherwise(kept)
-    return chains.select(*keys, F.explode(kept).alias("__row")).select(
-        *keys, *[F.col(f"__row.{c}").alias(c) for c in columns]
-    )
+    return taken.groupBy(*keys, "island", "__place").agg(F.max(row).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in columns])
 
 
 def nearest_points(

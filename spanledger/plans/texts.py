@@ -153,6 +153,16 @@ def _(t):
     return t.events.select("event_id", payload.unwrap_envelope(body).alias("body"))
 
 
+@query("f16_retired_fields", """
+SELECT conv_id, turn, '{"blocks":[' || CASE WHEN turn % 3 = 0 THEN '[{"text":' || to_json(text) || '}]' ELSE '{"text":' || to_json(text) || '}' END || ',7],"role":"' || role || '"}' AS body FROM conversations""")
+def _(t):
+    told = identity.canonical_json(text=F.col("text"))
+    inner = F.concat(F.lit('{"key_points":3,'), F.substring(told, F.lit(2), F.length(told) - 2), F.lit(',"sections":[{"a":[]}]}'))
+    block = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner)
+    body = F.concat(F.lit('{"blocks":['), block, F.lit(',7],"uncertainties":{"sections":1},"role":"'), F.col("role"), F.lit('"}'))
+    return t.conversations.select("conv_id", "turn", payload.drop_fields(body).alias("body"))
+
+
 @query("f17_sensitive_keys", """
 SELECT event_id, event_type IN ('click', 'view') AS sensitive FROM events""")
 def _(t):

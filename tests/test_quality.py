@@ -194,3 +194,82 @@ def test_sparse_edges_equal_all_pairs():
         assert [sorted(e) for e in matching.overlap_edges(*sides)] == [[(j, w) for j, w in row if w] for row in overlap]
         close = [[(j, 1) for j, b in enumerate(sides[1]) if abs(a[0] - b[0]) <= 4 and abs(a[1] - b[1]) <= 4] for a in sides[0]]
         assert matching.close_edges(*sides, 4) == close
+
+
+def plain_recover(text):
+    """First value that decodes from any bracket on, tried one after the other."""
+    import json
+
+    decoder = json.JSONDecoder(strict=False, parse_constant=payload._refuse)
+    for at, c in enumerate(text):
+        if c in "[{":
+            try:
+                return json.dumps(decoder.raw_decode(text, at)[0], ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                continue
+    return None
+
+
+def test_embedded_json_equals_trying_every_bracket():
+    rng = random.Random(12)
+    parts = ["[", "]", "{", "}", '"', ",", ":", '"a"', '"[1]"', "1", "-0.5e3", "01", "true", "nul", "NaN", " ", "\n", "\\", '\\"', '{"k":1}', "[]", "é"]
+    for _ in range(6000):
+        text = "x " + "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        shown = text.strip()
+        assert payload.recover(text) == plain_recover(shown), text  # a text that starts with a bracket is not searched
+
+
+@pytest.mark.parametrize("text", ["[" * 200_000, "x " + "[" * 200_000, "x " + '{"a":' * 100_000, "x " + '["' * 100_000, "x " + "[" * 100_000 + "]" * 100_000, "x " + '[{"' * 60_000])
+def test_deep_nesting_gives_null_in_linear_time(text):
+    import time
+
+    started = time.process_time()
+    assert payload.recover(text) is None
+    assert payload.message_text(text) == ""
+    assert payload._without(text, frozenset(["a"])) is None
+    assert time.process_time() - started < 5
+
+
+def test_deep_content_is_read():
+    body = '{"content":' * 3000 + '"told"' + "}" * 3000
+    assert payload.message_text(body) in ("told", "")
+    tree = "told"
+    for _ in range(50_000):
+        tree = {"content": [tree]}
+    assert list(payload._shown(tree)) == ["told"]
+    while isinstance(tree, dict):
+        tree = tree["content"][0]
+
+
+def test_retired_fields_at_any_depth(spark):
+    rows = [('{"sections":1,"a":{"key_points":[],"b":[{"sections":{"x":1},"y":"sections"}]}}',), ("[1,2]",), ("nothing",), (None,), ('{"\\u0073ections":1,"é":2}',), ("[" * 2000 + '"sections"' + "]" * 2000,)]
+    got = [r.d for r in spark.createDataFrame(rows, "t string").select(payload.drop_fields(F.col("t")).alias("d")).collect()]
+    assert got[:5] == ['{"a":{"b":[{"y":"sections"}]}}', "[1,2]", None, None, '{"é":2}']
+
+
+def test_boundary_matching_in_one_pass_is_maximum():
+    from collections import deque
+
+    rng = random.Random(14)
+    for _ in range(3000):
+        times = sorted(rng.sample(range(20), rng.randrange(1, 8)))
+        left, right = [rng.randrange(3) for _ in times], [rng.randrange(3) for _ in times]
+        step, state, total = matching._point_step(3), (0, deque()), 0
+        for at, a, b in zip(times, left, right, strict=True):
+            state, matched = step(state, at, a, b)
+            total += matched
+        assert total == matching.match_points(times, left, right, 3)
+
+
+def test_a_chain_of_two_hundred_thousand_rows(spark):
+    from spanledger.operators import spans
+
+    n = 200_000
+    rows = spark.range(n).select(
+        F.lit(1).alias("run_id"), F.lpad(F.col("id").cast("string"), 7, "0").alias("evidence_id"), F.lit("same").alias("norm"), (F.col("id") * 100).alias("start_ms"), (F.col("id") * 100 + 100).alias("end_ms"),
+        (F.col("id") % 2).cast("double").alias("confidence"))
+    got = spans.remove_adjacent_duplicates(rows, ["run_id"], "norm")
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    kept, low, high = got.agg(F.count("*"), F.min("start_ms"), F.max("start_ms")).first()
+    # the first row gives way to its more confident follower, which holds until the row after next touches nothing
+    assert (kept, low) == (n // 2, 100) and high >= n * 100 - 200
