@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.sampling import labelled_texts, remainder
 
+#: Letters and numerals that are not decimal digits; only the letters among them make a text one of words.
 WORD = re.compile(r"[^\W\d_]")
 #: The words of ``words_of`` with their places.
 TOKEN = re.compile(r"[a-z\x80-\U0010ffff]+")
@@ -222,9 +223,14 @@ class _Numbers(dict):
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numerals such as a superscript two or a Roman eight are not."""
+    return any(m.group().isalpha() for m in WORD.finditer(text))
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-case words of a text in UTF-8; none unless the text has a letter."""
-    return text.lower().encode("utf-8", "replace").translate(LETTERS).split() if WORD.search(text) else []
+    return text.lower().encode("utf-8", "replace").translate(LETTERS).split() if has_letter(text) else []
 
 
 class Tagger:
@@ -300,7 +306,8 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
 
     Every word of the whole text gets label probabilities from the field; the document's label is
     the one with the most letters, and the score its share. A null text, a text without a
-    letter, or no model (no labelled row) gives ``und`` with score 0. ``runs`` are the code-switched spans
+    letter, or no model (no labelled row) gives ``und`` with score 0. Null and repeated ids and repeated rows get a row each, an empty table
+    gives none, and other columns are not read. ``runs`` are the code-switched spans
     (start, end, lang) in characters of the lower-cased text.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm import alignment, decontamination, language, mixing, pieces, quality_cnn, rotation, sharding, simhash, toxicity, units, warc, whitening
 from spanledger.llm.sampling import remainder
+from spanledger.session import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,7 +39,9 @@ def op3_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
-    shards = sharding.shard_documents(_table(spark, folder, "documents").select("doc_id", "text"))
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(_table(spark, folder, "documents"), path)
+    shards = sharding.read_shards(spark, path)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

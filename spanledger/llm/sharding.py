@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanledger.session import checkpoint
@@ -83,8 +83,8 @@ def shard_documents(
 
     Size is the UTF-8 length of the text plus 1 (a null text counts as empty). Rows of equal
     text stay together in a shard while their group fits into one; a group that is larger than a
-    shard's target is dealt out row by row, as near-equal bytes demand. Keys are 60 bits of
-    the text's hash. Groups above 1/128 of a target, at most ``shards`` * 128 of them
+    shard's target is dealt out row by row, as near-equal bytes demand, by a hash with the number of the row in its stage, so rows equal
+    in everything part too. Keys are 60 bits of the text's hash. Groups above 1/128 of a target, at most ``shards`` * 128 of them
     whatever the input, are placed first, and the histogram sort cuts the keys of all other
     rows where the room that is left in each shard is filled. Slots number each shard's
     rows from 0 without gaps in a seeded random order, within ranges of bounded size
@@ -94,7 +94,7 @@ def shard_documents(
     carried = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_rows else []
     rows = checkpoint(docs.select(
         *carried, F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        _unsigned(F.xxhash64(text)).alias("group"), F.xxhash64(text, F.col(id_col)).alias("mix"),
+        _unsigned(F.xxhash64(text)).alias("group"), F.xxhash64(text, F.col(id_col), F.monotonically_increasing_id()).alias("mix"),
     ))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     target = total / shards
@@ -127,10 +127,21 @@ def shard_documents(
     )
 
 
+def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, shard, slot) of every row as it lies in the shards; sizes and checksums are taken from the texts there."""
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    return spark.read.parquet(path).select(
+        F.col("row")[id_col].alias(id_col), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every row of ``docs`` with its ``shard`` and ``slot``, a folder per shard, files in order of slots."""
+    """Write every row of ``docs`` with its ``shard`` and ``slot``, a folder per shard, files in order of slots. An empty table leaves a folder without rows."""
     rows = shard_documents(docs, shards, id_col, text_col, keep_rows=True)
-    rows.select("row", "slot", "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = rows.select("row", "slot", "shard").sortWithinPartitions("shard", "slot")
+    if docs.isEmpty():
+        rows.write.parquet(path)
+    else:
+        rows.write.partitionBy("shard").parquet(path)
 
 
 def _fill(load: list[int], rest: float) -> tuple[list[float], float]:

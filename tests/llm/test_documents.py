@@ -95,6 +95,29 @@ def test_a_group_larger_than_a_shard_is_dealt_out(spark):
     assert len(places["hot" * 50]) == 8
 
 
+def test_equal_rows_and_rows_without_an_id_are_dealt_out(spark):
+    for same in (7, None):
+        rows = [(same, "copy " * 20)] * 400 + [(i, f"other {i}") for i in range(100, 200)]
+        got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+        total = [0] * 8
+        for r in got:
+            total[r["shard"]] += r["size"]
+        assert len(got) == 500 and max(total) < 1.5 * sum(total) / 8 and min(total) > 0.5 * sum(total) / 8, total
+
+
+def test_shards_are_read_back(spark, tmp_path):
+    rows = [(i, None if i % 9 == 0 else "é" * (i % 30), "s", i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, shard string, size int")
+    sharding.write_shards(frame, str(tmp_path / "b"))
+    got = sharding.read_shards(spark, str(tmp_path / "b")).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    sharding.write_shards(frame.limit(0), str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_shards_are_written_whole(spark, tmp_path):
     rows = [(i, f"text {i % 40}", "x", i) for i in range(300)] + [(None, None, None, None)]
     sharding.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string, shard string, slot int"), str(tmp_path / "s"), shards=3)

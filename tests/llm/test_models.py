@@ -50,6 +50,16 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_numerals_are_no_letters(spark):
+    assert [language.has_letter(t) for t in ("²", "½ Ⅷ", "1_2", "", "² a", "東")] == [False, False, False, False, True, True]
+    docs = spark.createDataFrame([(i, t, lang) for i in range(60) for t, lang in (("der die das und", "de"), ("the and of", "en"))], "doc_id bigint, text string, lang string")
+    model = language.fit_language_model(docs, per_label=20)
+    frame = spark.createDataFrame([(1, "²", "x"), (2, "½ Ⅷ", "x"), (3, "the and", "x"), (3, "the and", "x")], "doc_id bigint, text string, lang_pred string")
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language.identify_languages(frame, model).collect())
+    assert got[:2] == [(1, "und"), (2, "und")] and got[2] == got[3] and got[2][1] in ("de", "en")
+    assert language.identify_languages(frame.limit(0), model).count() == 0
+
+
 def test_code_switching_and_odd_texts(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     model = language.fit_language_model(docs, per_label=60)
