@@ -100,6 +100,10 @@ walk AS (
   FROM walk w JOIN tt c ON c.run_id = w.run_id AND c.start_ms = w.start_ms + 1000)
 SELECT run_id, evidence_id, start_ms, start_ms + 1000 AS end_ms FROM walk WHERE took QUALIFY row_number() OVER (PARTITION BY run_id, slot ORDER BY start_ms DESC) = 1""")
 def _(t):
-    path = stage_table(touching(t).select("run_id", "evidence_id", "text", "confidence", "start_ms", "end_ms"))
-    stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 10_000).parquet(path)
-    return st.settle_slots(st.run_available(st.incremental_dedup(stream)))
+    rows = touching(t).select("run_id", "evidence_id", "text", "confidence", "start_ms", "end_ms")
+    # one row of no run, far ahead, closes the stream
+    closing = rows.agg(F.max("end_ms").alias("at")).select(
+        F.lit(-1).cast("bigint").alias("run_id"), F.lit("").alias("evidence_id"), F.lit("").alias("text"), F.lit(0.0).alias("confidence"), (F.col("at") + 3_600_000).alias("start_ms"), (F.col("at") + 3_600_001).alias("end_ms"))
+    path = stage_table(rows.unionByName(closing))
+    stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    return st.settle_slots(st.run_available(st.ordered_dedup(stream))).where("run_id >= 0")

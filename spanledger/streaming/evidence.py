@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanledger.session import shared_folder
@@ -20,6 +21,10 @@ def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+# Fixed value: the state store that list state and timers need, which also keeps large state out of the heap.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over everything available and return what it wrote.
 
@@ -32,11 +37,18 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    job = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write)
-        .trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:
+        job = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write)
+            .trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
     out = spark.read.parquet(f"{base}/out")
     if mode == "complete":
         last = out.agg(F.max("batch").alias("batch"))
@@ -111,37 +123,110 @@ def flag_conflicts(requests: DataFrame) -> DataFrame:
     return spark.read.schema(f"request_id {kinds['request_id']}, outcome string").parquet(f"{base}/out").drop("batch")
 
 
-def expired_leases(log: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """A row for each lease that ran out before the job's next event or the watermark."""
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            event, lease = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "event_id": [event], "expired_at_ms": [lease]})
-            return
-        event, lease = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
-        out = []
-        for row in rows.itertuples():
-            if lease is not None and lease <= row.ts_ms:
-                out.append((key[0], event, lease))
-            event, lease = (row.event_id, row.lease_ms) if row.status == "RUNNING" else (None, None)
-        if lease is None:
-            if state.exists:
-                state.remove()
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their event time, whatever micro-batch brings them.
+
+    Rows wait in a list state until the watermark has passed them; a timer at the earliest one wakes the key. What is then ripe is sorted and goes
+    through ``fold``, whose state is one row; ``due`` says when a key must wake though no row is waiting. Only the rows within the watermark's delay are held.
+    """
+
+    def __init__(self, row: list[str], row_schema: str, state_schema: str, output: list[str], fold: Callable, due: Callable | None = None) -> None:
+        self.row, self.row_schema, self.state_schema, self.output, self.fold, self.due = row, row_schema, state_schema, output, fold, due
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.row_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            waiting = [tuple(None if pd.isna(v) else v for v in row) for row in frame[self.row].astype(object).itertuples(index=False)]
+            self.held.appendList(waiting)
+            first = min([row[0] for row in waiting] + ([] if first is None else [first]))
+        if first is not None:
+            self.handle.registerTimer(int(first) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(row) for row in self.held.get()] if self.held.exists() else []
+        ripe = sorted((row for row in waiting if row[0] < watermark), key=lambda row: row[:2])
+        later = [row for row in waiting if row[0] >= watermark]
+        state = tuple(self.state.get()) if self.state.exists() else None
+        out: list[tuple] = []
+        for row in ripe:
+            state, made = self.fold(state, row)
+            out += made
+        if ripe:
+            self.held.put(later) if later else self.held.clear()
+        if later:
+            self.handle.registerTimer(int(min(row[0] for row in later)) + 1)
+        if self.due and state is not None:
+            wake, state, made = self.due(state, watermark)
+            out += made
+            if wake is not None:
+                self.handle.registerTimer(int(wake))
+        if state is None:
+            self.state.clear()
         else:
-            state.update((event, lease))
-            state.setTimeoutTimestamp(max(lease, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "expired_at_ms"])
+            self.state.update(state)
+        if out:
+            yield pd.DataFrame([(*key, *row) for row in out], columns=self.output)
+
+    def close(self) -> None:
+        pass
+
+
+def _lease_row(state: tuple | None, row: tuple) -> tuple:
+    """A RUNNING row opens its lease; any later row ends the open one, which had run out if it was not longer."""
+    at, event, lease = row
+    made = [(state[0], state[1])] if state and state[1] <= at else []
+    return (None if lease is None or lease < 0 else (event, lease)), made
 
+
+def _lease_due(state: tuple, watermark: int) -> tuple:
+    event, lease = state
+    return (None, None, [(event, lease)]) if lease < watermark else (lease + 1, state, [])
+
+
+def expired_leases(log: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+    """A row for each lease that ran out before the job's next event or the watermark.
+
+    Events are taken in order of (ts, event_id) across micro-batches, as far as the watermark's delay allows for late ones.
+    """
     rows = log.withWatermark("ts", watermark).select(
-        "job_id", "event_id", "status", "ts", F.unix_millis("ts").alias("ts_ms"), F.unix_millis("lease_expires_at").alias("lease_ms"))
-    return rows.groupBy("job_id").applyInPandasWithState(
-        watch, "job_id bigint, event_id bigint, expired_at_ms bigint", "event_id bigint, lease_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        "job_id", "event_id", "ts", F.unix_millis("ts").alias("ts_ms"), F.when(F.col("status") == "RUNNING", F.unix_millis("lease_expires_at")).otherwise(-1).alias("lease_ms"))
+    watch = InOrder(["ts_ms", "event_id", "lease_ms"], "ts_ms bigint, event_id bigint, lease_ms bigint", "event_id bigint, lease_ms bigint", ["job_id", "event_id", "expired_at_ms"], _lease_row, _lease_due)
+    return rows.groupBy("job_id").transformWithStateInPandas(watch, "job_id bigint, event_id bigint, expired_at_ms bigint", "Append", "EventTime")
+
+
+def _kept_row(state: tuple | None, row: tuple) -> tuple:
+    start, evidence, end, text, confidence = row
+    slot, last_end, last_text, last = state or (-1, None, None, None)
+    repeat = last_end == start and last_text == text
+    if repeat and confidence <= last:
+        return state, []
+    slot += not repeat
+    return (slot, end, text, confidence), [(slot, evidence, start, end)]
+
+
+def ordered_dedup(segments: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+    """Adjacent-duplicate removal over late and split input: the upsert log of :func:`incremental_dedup`, by start time.
+
+    Segments wait until the watermark on their start has passed them, so the log is that of the batch operator whatever micro-batches the rows come in, as
+    long as none is later than ``watermark``. A row far ahead in time (of any run) closes a finished stream.
+    """
+    # the first watermark is 0 and what is not above it counts as late
+    rows = segments.withColumn("ts", F.timestamp_millis(F.col("start_ms") + 1)).withWatermark("ts", watermark)
+    keep = InOrder(
+        ["start_ms", "evidence_id", "end_ms", "text", "confidence"], "start_ms bigint, evidence_id string, end_ms bigint, text string, confidence double",
+        "slot bigint, end_ms bigint, text string, confidence double", ["run_id", "slot", "evidence_id", "start_ms", "end_ms"], _kept_row)
+    return rows.groupBy("run_id").transformWithStateInPandas(keep, "run_id bigint, slot bigint, evidence_id string, start_ms bigint, end_ms bigint", "Append", "EventTime")
 
 
 def incremental_dedup(segments: DataFrame) -> DataFrame:
-    """Adjacent-duplicate removal across micro-batches.
+    """Adjacent-duplicate removal across micro-batches whose rows of a run come in time order; see :func:`ordered_dedup` for any order.
 
     Emits an upsert log (run_id, slot, ...): the last row of a slot is the kept one. The
     state of a run is its last kept row, whatever the run's size.
