@@ -83,8 +83,8 @@ def shard_documents(
 
     Size is the UTF-8 length of the text plus 1 (a null text counts as empty). Rows of equal
     text stay together in a shard while their group fits into one; a group that is larger than a
-    shard's target is dealt out row by row, as near-equal bytes demand, by a hash with the number of the row in its stage, so rows equal
-    in everything part too. Keys are 60 bits of the text's hash. Groups above 1/128 of a target, at most ``shards`` * 128 of them
+    shard's target is dealt out row by row, as near-equal bytes demand, by a hash with the number of the row in its scan, so rows equal
+    in everything part too (a scan that deals rows anew changes only which of them goes where). Keys are 60 bits of the text's hash. Groups above 1/128 of a target, at most ``shards`` * 128 of them
     whatever the input, are placed first, and the histogram sort cuts the keys of all other
     rows where the room that is left in each shard is filled. Slots number each shard's
     rows from 0 without gaps in a seeded random order, within ranges of bounded size
@@ -92,10 +92,11 @@ def shard_documents(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_rows else []
-    rows = checkpoint(docs.select(
+    whole = docs.select(
         *carried, F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         _unsigned(F.xxhash64(text)).alias("group"), F.xxhash64(text, F.col(id_col), F.monotonically_increasing_id()).alias("mix"),
-    ))
+    )
+    rows = checkpoint(whole.drop("row"))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     target = total / shards
     large = rows.groupBy("group").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * FINE > F.lit(target))
@@ -113,7 +114,8 @@ def shard_documents(
     by_key = sum(((key >= cut).cast("int") for cut in cuts), F.lit(0))
     placed = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])[F.col("group")] if places else F.lit(None)
     kept = ["row"] if keep_rows else []
-    dealt = rows.select(*kept, "id", "size", "text_crc32", "mix", F.coalesce(placed, by_key).cast("int").alias("shard"))
+    # whole rows are read once more and go through the exchange; only what places them is staged
+    dealt = (whole if keep_rows else rows).select(*kept, "id", "size", "text_crc32", "mix", F.coalesce(placed, by_key).cast("int").alias("shard"))
 
     bits = max(6, math.ceil(math.log2(max(1, count) / shards / RANGE_ROWS + 1)))
     dealt = dealt.withColumn("range", F.shiftrightunsigned("mix", 64 - bits))
