@@ -49,15 +49,35 @@ def token_distance(left: list[str], right: list[str]) -> int:
     return int(row[-1])
 
 
+def _tokens(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def token_errors(left: Column, right: Column) -> Column:
+    """Unit-cost edit distance of two token arrays: the tokens of a pair become one character each, by their place among its distinct tokens.
+
+    Characters from U+10000 on hold a million distinct tokens; the distance itself is the built-in one over characters.
+    """
+    names = F.array_distinct(F.concat(left, right))
+    coded = lambda tokens: F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(names, t) + 0x10000), 8, "0")), "")), "UTF-32")
+    return F.levenshtein(coded(left), coded(right)).cast("bigint")
+
+
 @F.pandas_udf(LongType())
 def _word_errors(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([token_distance(h.split(), r.split()) for h, r in zip(hypothesis, reference)], dtype="int64")
 
 
 def word_counts(hypothesis: Column, reference: Column) -> tuple[Column, Column]:
+    """Token errors and reference length as expressions over raw texts; :func:`word_error_rows` is the form for tables."""
     ref = normalize_text(reference)
-    units = F.when(ref == "", 0).otherwise(F.size(F.split(ref, " "))).cast("bigint")
-    return _word_errors(normalize_text(hypothesis), ref), units
+    return _word_errors(normalize_text(hypothesis), ref), F.size(_tokens(ref)).cast("bigint")
+
+
+def word_error_rows(pairs: DataFrame, keys: list[str], hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
+    """(keys, errors, units) of every pair; texts are normalised in a step of their own, then nothing leaves the JVM."""
+    normal = pairs.select(*keys, normalize_text(F.col(hypothesis)).alias("__h"), normalize_text(F.col(reference)).alias("__r"))
+    return normal.select(*keys, token_errors(_tokens(F.col("__h")), _tokens(F.col("__r"))).alias("errors"), F.size(_tokens(F.col("__r"))).cast("bigint").alias("units"))
 
 
 def rate(errors: Column, units: Column) -> Column:

@@ -34,10 +34,15 @@ def _(t):
     return rows.withColumn("cer", F.round(quality.rate(F.col("errors"), F.col("units")), 9))
 
 
-@query("m2_word_errors")
+@query("m2_word_errors", f"""
+WITH n AS (SELECT run_id, turn, {sql_norm('hypothesis')} AS h, {sql_norm('reference')} AS r FROM v_pairs),
+w AS (SELECT run_id, turn, CASE WHEN h = '' THEN [] ELSE string_split(h, ' ') END AS h, CASE WHEN r = '' THEN [] ELSE string_split(r, ' ') END AS r FROM n),
+s AS (SELECT *, list_intersect(h, r) AS common FROM w),
+c AS (SELECT run_id, turn, len(r) AS units, len(common) AS shared, array_to_string(list_transform(h, lambda x: chr(CAST(coalesce(list_position(common, x), 0) + 2 AS INTEGER))), '') AS h,
+             array_to_string(list_transform(r, lambda x: CASE WHEN list_contains(common, x) THEN chr(CAST(list_position(common, x) + 2 AS INTEGER)) ELSE chr(1) END), '') AS r FROM s)
+SELECT run_id, turn, levenshtein(h, r) AS errors, units, round(CASE WHEN units = 0 THEN CASE WHEN h = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(h, r) / units END, 9) AS wer FROM c""", "v_pairs")
 def _(t):
-    errors, units = quality.word_counts(F.col("hypothesis"), F.col("reference"))
-    rows = pairs(t).select("run_id", "turn", errors.alias("errors"), units.alias("units"))
+    rows = quality.word_error_rows(pairs(t), ["run_id", "turn"])
     return rows.withColumn("wer", F.round(quality.rate(F.col("errors"), F.col("units")), 9))
 
 

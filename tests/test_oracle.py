@@ -24,7 +24,7 @@ def test_query(spark, connection, name):
 
 
 # Iterative rules whose operators are held against plain loops in the other tests.
-BY_LOOP = {"m2_word_errors", "m12_quality_report", "m17_document_report"}
+BY_LOOP = {"m12_quality_report", "m17_document_report"}
 
 
 @pytest.mark.parametrize("name", sorted(BY_LOOP))
