@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from spanledger.functions import text as tx
-from spanledger.operators import generate, ports, selection, spans
+from spanledger.operators import folds, generate, ports, selection, spans
 from spanledger.plans.catalog import query
 from spanledger.plans.documents import chapters_of
 
@@ -112,3 +112,18 @@ def _(t):
 SELECT run_id, chunk_index + 1 AS chapter_index, printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) AS opens FROM v_windows""", "v_windows")
 def _(t):
     return chapters_of(t).select("run_id", "chapter_index", tx.clock(F.col("start_ms")).alias("opens"))
+
+
+@query("u8_merged_folds", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY length(text) DESC, text) AS n FROM v_sentences)
+SELECT run_id, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(text, chr(10) ORDER BY n) FILTER (n <= 3)) AS longest FROM r GROUP BY run_id""", "v_sentences")
+def _(t):
+    out = folds.fold_by_key(t.v_sentences.select("run_id", "text"), ["run_id"], folds.longest_texts(3))
+    return out.select("run_id", "rows", "chars", F.sha2(F.array_join("longest", "\n"), 256).alias("longest"))
+
+
+@query("u9_table_function", """
+WITH n AS (SELECT run_id, evidence_id, role, start_ms, lag(evidence_id) OVER w AS before, lag(end_ms) OVER w AS ended, lag(role) OVER w AS spoke FROM v_transcript WINDOW w AS (PARTITION BY run_id ORDER BY start_ms, evidence_id))
+SELECT run_id, before AS from_ref, evidence_id AS to_ref, start_ms - ended AS pause_ms, role <> spoke AS turned FROM n WHERE start_ms > ended""", "v_transcript")
+def _(t):
+    return folds.pauses(t.spark, t.v_transcript)
