@@ -157,6 +157,20 @@ def refs_are_contiguous(positions: Column) -> Column:
     return (F.size(positions) > 0) & (F.array_max(positions) - F.array_min(positions) + 1 == F.size(F.array_distinct(positions)))
 
 
+def quote_verdicts(quotes: DataFrame, transcript: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block_id, verbatim): whether a quote stands in the transcript rows it refers to, which must follow each other without a gap.
+
+    ``quotes``: keys, block_id, text, evidence_refs. ``transcript``: keys, evidence_id, position (the row's number in its chapter), text. References that
+    are no transcript rows do not count; a quote with none left is not verbatim.
+    """
+    named = quotes.select(*keys, "block_id", F.explode("evidence_refs").alias("evidence_id")).distinct()
+    rows = named.join(transcript.select(*keys, "evidence_id", "position", F.col("text").alias("told")), [*keys, "evidence_id"])
+    told = rows.groupBy(*keys, "block_id").agg(F.array_sort(F.collect_list(F.struct("position", "told"))).alias("r"))
+    found = told.select(*keys, "block_id", refs_are_contiguous(F.transform("r", lambda x: x["position"])).alias("__next"), F.array_join(F.transform("r", lambda x: x["told"]), " ").alias("__told"))
+    joined = quotes.select(*keys, "block_id", "text").join(found, [*keys, "block_id"], "left")
+    return joined.select(*keys, "block_id", F.coalesce(F.col("__next") & quote_matches(F.col("text"), F.col("__told")), F.lit(False)).alias("verbatim"))
+
+
 def normalize_blocks(blocks: DataFrame) -> DataFrame:
     """Quotes that are not verbatim become paragraphs; DUPLICATE visual blocks are dropped.
 

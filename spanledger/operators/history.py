@@ -76,3 +76,10 @@ def metric_rollup(metrics: DataFrame, names: list[str], keys: list[str]) -> Data
     sums = metrics.groupBy(*keys, "name").agg(F.sum("value").alias("__v"))
     wanted = metrics.select(*keys).distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
     return wanted.join(sums, [*keys, "name"], "left").select(*keys, "name", F.coalesce("__v", F.lit(0)).alias("value"))
+
+
+def audio_status(warnings: DataFrame, runs: DataFrame, keys: list[str], position: str, warning: str) -> DataFrame:
+    """Status of audio runs: any warning of any stage makes a finished run a partial one. Warnings come once each, as first seen."""
+    seen = ordered_warnings(warnings, keys, position, warning)
+    found = F.coalesce(F.col("warnings"), F.array().cast("array<string>"))
+    return runs.select(*keys).distinct().join(seen, keys, "left").select(*keys, found.alias("warnings"), F.when(F.size(found) > 0, "PARTIAL_SUCCEEDED").otherwise("SUCCEEDED").alias("status"))

@@ -146,11 +146,11 @@ def _(t):
 
 
 @query("t7_selected_keyframes", """
-WITH f AS (SELECT l_orderkey, l_suppkey, min(l_linenumber * 1000000 + l_partkey) AS p FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)
+WITH f AS (SELECT l_orderkey, l_suppkey, min((l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)
 SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY p, l_suppkey) AS keyframes FROM f GROUP BY l_orderkey""")
 def _(t):
     shown = t.lineitem.where("l_returnflag <> 'R'").select(
-        "l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"), "l_suppkey")
+        "l_orderkey", F.struct("l_linenumber", "l_partkey").alias("pos"), "l_suppkey")
     out = compose.first_seen(shown, ["l_orderkey"], "pos", "l_suppkey")
     return out.select("l_orderkey", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("keyframes"))
 

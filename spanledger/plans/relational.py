@@ -152,6 +152,34 @@ def _(t):
     return t.v_transcript.groupBy("run_id").agg(source.alias("source"))
 
 
+@query("p11_source_warnings", """
+WITH r AS (SELECT conv_id, bool_or(role = 'system') AS sub, bool_or(role = 'assistant') AS audio, bool_or(length(text) % 5 = 0) AS trimmed, bool_or(length(text) % 7 = 0) AS told FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN sub THEN 'SUBTITLE' WHEN audio THEN 'ASR' ELSE 'NONE' END AS source,
+       concat_ws(',', CASE WHEN trimmed THEN 'TRIMMED' END, CASE WHEN told THEN 'NO_AUDIO_TRACK' END, CASE WHEN sub THEN 'TRANSCRIPT_SOURCE_SUBTITLE' WHEN NOT audio AND NOT told THEN 'NO_AUDIO_TRACK' END) AS warnings FROM r""")
+def _(t):
+    from spanledger.functions.speech import transcript_source
+
+    flag = lambda c: F.max(c)
+    runs = t.conversations.groupBy("conv_id").agg(
+        flag(F.col("role") == "system").alias("sub"), flag(F.col("role") == "assistant").alias("audio"), flag(F.length("text") % 5 == 0).alias("trimmed"), flag(F.length("text") % 7 == 0).alias("told"))
+    media = F.array_compact(F.array(F.when(F.col("trimmed"), "TRIMMED"), F.when(F.col("told"), "NO_AUDIO_TRACK")))
+    source, warnings = transcript_source(F.col("sub"), F.col("audio"), media)
+    return runs.select("conv_id", source.alias("source"), F.array_join(warnings, ",").alias("warnings"))
+
+
+@query("p12_context", r"""
+WITH h AS (SELECT page_id, regexp_replace(html, '[\x00-\x1F\x7F]', ' ', 'g') AS h FROM pages), c AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN left(h, 90) || chr(1) WHEN 2 THEN left(h, 600) ELSE h END AS raw FROM h),
+n AS (SELECT page_id, raw, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS v FROM c)
+SELECT page_id, sha256(v) AS digest, CASE WHEN page_id % 5 = 1 THEN 'CONTROL_CHARACTER' WHEN v = '' THEN 'BLANK' WHEN length(v) > 1000 THEN 'TOO_LONG' ELSE '' END AS reason FROM n""")
+def _(t):
+    from spanledger.functions.speech import normalize_context
+
+    k, bare = F.col("page_id") % 5, F.regexp_replace("html", r"[\x00-\x1F\x7F]", " ")
+    raw = F.when(k == 0, "  ").when(k == 1, F.concat(F.left(bare, F.lit(90)), F.lit("\x01"))).when(k == 2, F.left(bare, F.lit(600))).otherwise(bare)
+    value, reason = normalize_context(raw)
+    return t.pages.select("page_id", F.sha2(value, 256).alias("digest"), reason.alias("reason"))
+
+
 @query("p12_hotwords", r"""
 WITH h AS (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ', ') AS words FROM conversations),
 n AS (SELECT conv_id, turn, len(words) AS n, list_transform(words, lambda w: trim(regexp_replace(w, '\s+', ' ', 'g'))) AS w FROM h)
@@ -708,6 +736,16 @@ def _(t):
     return rows.groupBy("run_id").agg(history.worst_status("verdict").alias("status"))
 
 
+@query("a14_audio_status", """
+WITH w AS (SELECT user_id AS run_id, event_id // 700 AS part, event_type, min(event_id) AS p FROM events WHERE event_type IN ('error', 'signup') AND event_id % 3 = 0 GROUP BY ALL), r AS (SELECT DISTINCT user_id AS run_id, event_id // 700 AS part FROM events),
+l AS (SELECT run_id, part, string_agg(event_type, ',' ORDER BY p) AS warnings FROM w GROUP BY ALL)
+SELECT run_id, part, coalesce(warnings, '') AS warnings, CASE WHEN warnings IS NULL THEN 'SUCCEEDED' ELSE 'PARTIAL_SUCCEEDED' END AS status FROM r LEFT JOIN l USING (run_id, part)""")
+def _(t):
+    rows = t.events.select(F.col("user_id").alias("run_id"), F.expr("event_id div 700").alias("part"), "event_id", "event_type")
+    out = history.audio_status(rows.where("event_type IN ('error', 'signup') AND event_id % 3 = 0"), rows, ["run_id", "part"], "event_id", "event_type")
+    return out.withColumn("warnings", F.array_join("warnings", ","))
+
+
 @query("a15_first_seen_warnings", """
 SELECT run_id, string_agg(event_type, ',' ORDER BY p) AS warnings FROM (SELECT run_id, event_type, min(event_id) AS p FROM v_spans GROUP BY ALL) GROUP BY run_id""", "v_spans")
 def _(t):

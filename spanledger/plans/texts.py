@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import identity, payload, text, timing
 from spanledger.operators import compose
+from spanledger.operators.scan import Scan, ordered_scan
 from spanledger.plans.catalog import query
 from spanledger.plans.views import sql_bytes_any, sql_norm
+from spanledger.session import checkpoint
 
 
 @query("f1_normalized_text", f"SELECT conv_id, turn, {sql_norm('text')} AS text FROM conversations")
@@ -51,6 +53,24 @@ def _(t):
     return t.v_pairs.select("run_id", "turn", compose.quote_matches(quote, F.col("reference")).alias("verbatim"))
 
 
+@query("f5_contiguous_quotes", r"""
+WITH n AS (SELECT run_id, seq, evidence_id, text, row_number() OVER w AS p, lead(evidence_id, 1) OVER w AS e1, lead(text, 1) OVER w AS t1, lead(evidence_id, 2) OVER w AS e2, lead(text, 2) OVER w AS t2 FROM v_transcript WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+q AS (SELECT run_id, seq, CASE seq % 4 WHEN 0 THEN right(text, 20) || coalesce(left(t1, 20), '') WHEN 1 THEN right(text, 20) || coalesce(left(t2, 20), '') WHEN 2 THEN left(text, 30) ELSE right(text, 9) || '!' || coalesce(left(t1, 9), '') END AS quote,
+             CASE seq % 4 WHEN 1 THEN text || coalesce(' ' || t2, '') WHEN 2 THEN text ELSE text || coalesce(' ' || t1, '') END AS told, seq % 4 <> 1 OR e2 IS NULL AS contiguous FROM n)
+SELECT run_id, seq AS block_id, contiguous AND regexp_replace(quote, '[\s\pP]', '', 'g') <> '' AND contains(regexp_replace(told, '[\s\pP]', '', 'g'), regexp_replace(quote, '[\s\pP]', '', 'g')) AS verbatim FROM q""", "v_transcript")
+def _(t):
+    order = F.floor(F.col("seq") / 64)
+    ahead = ordered_scan(t.v_transcript.select("run_id", "seq", "evidence_id", "text"), ["run_id"], ["seq"], order, [Scan("position", "count_before"), Scan("e1", "lead", "evidence_id"), Scan("t1", "lead", "text")])
+    rows = checkpoint(ordered_scan(ahead, ["run_id"], ["seq"], order, [Scan("e2", "lead", "e1"), Scan("t2", "lead", "t1")]))
+    kind, end, begin = F.col("seq") % 4, lambda c, n: F.right(c, F.lit(n)), lambda c, n: F.coalesce(F.left(c, F.lit(n)), F.lit(""))
+    quote = (
+        F.when(kind == 0, F.concat(end(F.col("text"), 20), begin(F.col("t1"), 20))).when(kind == 1, F.concat(end(F.col("text"), 20), begin(F.col("t2"), 20)))
+        .when(kind == 2, F.left("text", F.lit(30))).otherwise(F.concat(end(F.col("text"), 9), F.lit("!"), begin(F.col("t1"), 9))))
+    refs = F.when(kind == 1, F.array("evidence_id", "e2")).when(kind == 2, F.array("evidence_id", F.lit("no_such_row"))).otherwise(F.array("evidence_id", "e1"))
+    quotes = rows.select("run_id", F.col("seq").alias("block_id"), quote.alias("text"), F.array_compact(refs).alias("evidence_refs"))
+    return compose.quote_verdicts(quotes, rows.select("run_id", "evidence_id", "position", "text"), ["run_id"])
+
+
 @query("f6_first_sentence", """
 WITH r AS (SELECT doc_id, text, regexp_extract(text, '^([^。!?！？]*[。!?！？])', 1, 's') AS head FROM documents)
 SELECT doc_id, CASE WHEN head <> '' THEN head ELSE substring(text, 1, 2000) END AS sentence FROM r""")
