@@ -44,6 +44,7 @@ def group_near_target(segments: DataFrame, target_ms: int) -> DataFrame:
     found for all segments by one sliced scan; the groups are then the segments that a walk
     along those ends from the first segment meets.
     """
+    segments = checkpoint(segments)
     goal = F.col("start_ms") + target_ms
     tall = segments.select(goal.alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("__end"), *segments.columns).unionByName(
         segments.select("run_id", F.col("end_ms").alias("__at"), F.lit(1).alias("__kind"), F.col("end_ms").alias("__end")),
@@ -96,7 +97,7 @@ def minimum_chapters(segments: DataFrame, limit_ms: int = CHAPTER_MAX_MS) -> Dat
     Segments follow each other without overlap, so the first segment that a chapter cannot hold is the first to end
     beyond its limit; one sliced scan finds it for every possible head.
     """
-    rows = segments.select("run_id", "start_ms", "end_ms")
+    rows = checkpoint(segments.select("run_id", "start_ms", "end_ms"))
     none = F.lit(None).cast("bigint")
     tall = rows.select("run_id", (F.col("start_ms") + limit_ms).alias("__at"), F.lit(1).alias("__kind"), none.alias("__next"), "start_ms", "end_ms").unionByName(
         rows.select("run_id", F.col("end_ms").alias("__at"), F.lit(0).alias("__kind"), F.col("start_ms").alias("__next")), allowMissingColumns=True)

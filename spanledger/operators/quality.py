@@ -58,9 +58,13 @@ def token_errors(left: Column, right: Column) -> Column:
 
     Characters from U+10000 on hold a million distinct tokens; the distance itself is the built-in one over characters.
     """
-    names = F.array_distinct(F.concat(left, right))
-    coded = lambda tokens: F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(names, t) + 0x10000), 8, "0")), "")), "UTF-32")
-    return F.levenshtein(coded(left), coded(right)).cast("bigint")
+    def coded(tokens: Column, names: Column) -> Column:
+        points = F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(names, t) + 0x10000), 8, "0"))
+        return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
+
+    # the one-element array binds the pair and its names, so that they are computed once and not for every token
+    pair = F.array(F.struct(left.alias("l"), right.alias("r"), F.array_distinct(F.concat(left, right)).alias("names")))
+    return F.transform(pair, lambda p: F.levenshtein(coded(p["l"], p["names"]), coded(p["r"], p["names"])))[0].cast("bigint")
 
 
 @F.pandas_udf(LongType())

@@ -144,26 +144,28 @@ def follow_jumps(rows: DataFrame, keys: list[str], at: str, to: str, bucket: Col
     slices takes about log(n) rounds of joins over all keys at once, each written. Then each slice marks its rows on its own,
     and no exchange is by key alone but for the first place of each key.
     """
-    cut = rows.withColumn("__slice", bucket.cast("bigint"))
+    cut = rows.withColumn("__slice", bucket.cast("bigint")).withColumn("__to", F.when(F.col(to) > F.col(at), F.col(to)))
     groups = [*keys, "__slice"]
-    jumps = cut.select(*groups, at, F.when(F.col(to) > F.col(at), F.col(to)).alias("__to"))
+    carried = cut.columns
+    seen = [carried.index(c) for c in (*groups, at, "__to")]
 
     def leave(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, found = None, {}
         for batch in batches:
             exits, lasts = [], []
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if row[:-2] != group:
-                    group, found = row[:-2], {}
-                ending = found.get(row[-1], (row[-1], row[-2]))
-                found[row[-2]] = ending
+            for *this, here, beyond in zip(*(batch.column(i).to_pylist() for i in seen), strict=True):
+                if this != group:
+                    group, found = this, {}
+                ending = found.get(beyond, (beyond, here))
+                found[here] = ending
                 exits.append(ending[0])
                 lasts.append(ending[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(exits, pa.int64()), pa.array(lasts, pa.int64())], [*groups, at, "__exit", "__last"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(exits, pa.int64()), pa.array(lasts, pa.int64())], [*carried, "__exit", "__last"])
 
-    fields = [f for f in jumps.schema.fields if f.name != "__to"]
-    left = checkpoint(jumps.repartition(*groups).sortWithinPartitions(*groups, F.desc(at)).mapInArrow(
-        leave, StructType([*fields, StructField("__exit", LongType()), StructField("__last", LongType())])))
+    # whole rows are staged with what they need later, so their lineage is computed once
+    whole = checkpoint(cut.repartition(*groups).sortWithinPartitions(*groups, F.desc(at)).mapInArrow(
+        leave, StructType([*cut.schema.fields, StructField("__exit", LongType()), StructField("__last", LongType())])))
+    left = whole.select(*groups, at, "__exit", "__last")
     ends = left.groupBy(*keys).agg(F.min(at).alias(at), F.max("__slice").alias("__end"))
     first = ends.select(*keys, at)
     entries = checkpoint(left.join(left.select(*keys, F.col("__exit").alias(at)).unionByName(first).distinct(), [*keys, at]))
@@ -181,7 +183,7 @@ def follow_jumps(rows: DataFrame, keys: list[str], at: str, to: str, bucket: Col
         *keys, F.explode(F.sequence(F.col("__slice") + 1, until)).alias("__slice"), F.col("__last").alias("__carry"))
     marks = entered.select(*groups, F.col(at).alias("__entry"))
     columns, place = rows.columns, [rows.columns.index(c) for c in (at, to)]
-    placed = cut.join(passed, groups, "left").join(marks, groups, "left").select(*columns, "__slice", "__carry", "__entry")
+    placed = whole.join(passed, groups, "left").join(marks, groups, "left").select(*columns, "__slice", "__carry", "__entry")
     at_group = [placed.columns.index(c) for c in (*groups, "__carry", "__entry")]
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,13 @@ a large share of all rows is processed by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.operators.scan import UNBOUNDED_AFTER, UNBOUNDED_BEFORE, Scan, ordered_fold, ordered_scan, time_bucket
+from spanledger.operators.scan import UNBOUNDED_AFTER, UNBOUNDED_BEFORE, Scan, ordered_scan, time_bucket
 
 SLICE_MS = 6 * 3_600_000
 
@@ -170,25 +173,34 @@ def remove_adjacent_duplicates(
 
     The strictly more confident copy is kept. A row can only repeat a kept row of
     the same text whose end it touches, so the rows are cut into chains wherever
-    the text changes or every earlier end lies before the start. Chains stream through a fold whose state is the last kept row; it
-    numbers the kept rows, and where several rows had one number the last of them stays.
+    the text changes or every earlier end lies before the start. Chains stream through in order; the last kept row is
+    all that is remembered, and it leaves when a row follows that does not replace it.
     """
     order = ["start_ms", "end_ms", "evidence_id"]
     chained = interval_islands(segments, keys, 0, order, slice_ms, normalized)
-
-    def step(state: tuple, start: int, end: int, confidence: float) -> tuple:
-        place, last_end, last = state
-        if place and last_end == start:
-            if confidence is None or last is None or confidence <= last:
-                return state, None
-        else:
-            place += 1
-        return (place, end, confidence), place
-
-    taken = ordered_fold(chained, [*keys, "island"], order, ["start_ms", "end_ms", "confidence"], "__place", lambda: (0, None, None), step).where("__place IS NOT NULL")
-    columns = [c for c in segments.columns if c not in keys]
-    row = F.struct(*order, *[c for c in columns if c not in order])
-    return taken.groupBy(*keys, "island", "__place").agg(F.max(row).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in columns])
+    seen = [chained.columns.index(c) for c in (*keys, "island", "start_ms", "end_ms", "confidence")]
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last_end, last, held = None, None, None, None
+        for batch in batches:
+            leaving, place = [], None  # rows of this batch that stay, and the place of the last kept row if it is one of them
+            for i, (*this, start, end, confidence) in enumerate(zip(*(batch.column(c).to_pylist() for c in seen), strict=True)):
+                if this == chain and last_end == start:
+                    if confidence is None or last is None or confidence <= last:
+                        continue
+                elif place is not None:
+                    leaving.append(place)
+                elif held is not None:
+                    yield held
+                chain, last_end, last, held, place = this, end, confidence, None, i
+            yield batch.take(pa.array(leaving, pa.int64()))
+            if place is not None:
+                held = batch.slice(place, 1)
+        if held is not None:
+            yield held
+
+    rows = chained.repartition(*keys, "island").sortWithinPartitions(*keys, "island", *order)
+    return rows.mapInArrow(kept, chained.schema).select(*segments.columns)
 
 
 def nearest_points(
