@@ -20,9 +20,9 @@ BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Texts, or letters, tokenised and aligned at once; windows a task remembers, and their linked pairs on average.
-BATCH = 512
-LETTERS = 2_000_000
-MEMO = 300_000
+BATCH = 256
+LETTERS = 500_000
+MEMO = 150_000
 PAIRS = 8
 #: A pair in more than 1/FREQUENT of all (document, pair) rows is frequent; there are fewer than FREQUENT of those.
 FREQUENT = 50_000
