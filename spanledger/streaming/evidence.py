@@ -16,9 +16,10 @@ from spanledger.sources.media import ingest, name_verdict, sniff
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's Parquet file as a stream."""
+    """A table as a stream, whether it is one Parquet file or a folder of them."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a stream takes a plain path for a folder's; a pattern may match a file or a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
 
 
 # Fixed value: the state store that list state and timers need, which also keeps large state out of the heap.
