@@ -197,12 +197,12 @@ def parse_probe(
     )
 
 
-def parse_audio_probe(probes: DataFrame, payload: str, max_duration_ms: int) -> DataFrame:
-    """Audio probe JSON to duration (banker's rounding), rate, channels and codec."""
+def parse_audio_probe(probes: DataFrame, payload: str, max_duration_ms: int, zero_length: bool = False) -> DataFrame:
+    """Audio probe JSON to duration (banker's rounding), rate, channels and codec; a duration of zero is invalid unless ``zero_length``."""
     root = F.from_json(payload, PROBE_SCHEMA)
     stream = F.get(root["streams"], F.lit(0))
     seconds = root["format"]["duration"].try_cast("double")
-    ms = F.when((seconds > 0) & (seconds < 1e15), F.bround(seconds * 1000, 0).cast("bigint"))
+    ms = F.when(((seconds >= 0) if zero_length else (seconds > 0)) & (seconds < 1e15), F.bround(seconds * 1000, 0).cast("bigint"))
     rate = stream["sample_rate"].try_cast("bigint")
     valid = ms.isNotNull() & (rate >= 1) & (stream["channels"] >= 1) & stream["codec_name"].isNotNull()
     status = (

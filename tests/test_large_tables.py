@@ -21,3 +21,11 @@ def test_caption_of_a_page_cut_within_an_entity(spark, tmp_path):
     spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = entry.queries()["f4_caption_text"](spark, str(tmp_path)).collect()
     assert [r.caption for r in got] == ['<title>a &&amp</title> b &am <i> &lt; "']
+
+
+def test_audio_of_zero_length(spark):
+    payload = '{"format":{"duration":"0.0"},"streams":[{"sample_rate":"44100","channels":2,"codec_name":"mp3"}]}'
+    probes = spark.createDataFrame([(1, payload)], "event_id bigint, payload string")
+    one = lambda **how: media.parse_audio_probe(probes, "payload", 300_000, **how).first()
+    assert (one().status, one().duration_ms) == ("PROBE_INVALID", None)
+    assert (one(zero_length=True).status, one(zero_length=True).duration_ms) == ("ACCEPTED", 0)
