@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +51,31 @@ def fold_by_key(rows: DataFrame, keys: list[str], fold: Fold, held: int = 50_000
                 states.clear()
         yield given()
 
-    def merged(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = pa.Table.from_pandas(frame, schema=arrow, preserve_index=False).to_pylist()
-        total = parts[0]
-        for part in parts[1:]:
-            total = fold.merge(total, part)
-        return pd.DataFrame([{k: parts[0][k] for k in keys} | fold.finish(total)])
-
     result = StructType([*key_fields, *StructType.fromDDL(fold.result_schema).fields])
-    return kept.mapInArrow(partial, schema).groupBy(*keys).applyInPandas(merged, result)
+    made = to_arrow_schema(result)
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            done = []
+            for part in batch.to_pylist():
+                this = tuple(part[k] for k in keys)
+                if total is None or not _same(this, key):
+                    done += [] if total is None else [dict(zip(keys, key, strict=True)) | fold.finish(total)]
+                    key, total = this, part
+                else:
+                    total = fold.merge(total, part)
+            yield pa.RecordBatch.from_pylist(done, made)
+        if total is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(keys, key, strict=True)) | fold.finish(total)], made)
+
+    # states come sorted and are merged as they stream by, with one state held, so that a key costs no call of its own
+    return kept.mapInArrow(partial, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, result)
+
+
+def _same(left: tuple, right: tuple) -> bool:
+    """Equal keys as in Spark's grouping: null equals null, and not-a-number itself."""
+    return all(a == b or (a != a and b != b) for a, b in zip(left, right, strict=True))
 
 
 def longest_texts(n: int) -> Fold:

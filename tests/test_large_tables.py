@@ -1,6 +1,7 @@
 """What the larger tables hold and the smallest ones do not."""
 
 import __spark_entry__ as entry
+from spanledger.operators import folds
 from spanledger.sources import media
 
 
@@ -29,3 +30,10 @@ def test_audio_of_zero_length(spark):
     one = lambda **how: media.parse_audio_probe(probes, "payload", 300_000, **how).first()
     assert (one().status, one().duration_ms) == ("PROBE_INVALID", None)
     assert (one(zero_length=True).status, one(zero_length=True).duration_ms) == ("ACCEPTED", 0)
+
+
+def test_a_fold_merges_without_a_call_for_every_key(spark):
+    rows = spark.range(6).selectExpr("id % 3 AS run_id", "repeat('x', int(id)) AS text")
+    out = folds.fold_by_key(rows, ["run_id"], folds.longest_texts(1))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert sorted((r.run_id, r.rows, r.chars) for r in out.collect()) == [(0, 2, 3), (1, 2, 5), (2, 2, 7)]
