@@ -22,17 +22,81 @@ CHARACTER_LANGUAGES = ["zh", "ja", "ko"]
 METRIC_OF_LANGUAGE = {"zh": "zh_cer", "ja": "ja_cer", "ko": "ko_cer", "en": "en_wer", "es": "es_wer"}
 
 
+# Cells of the table up to which the built-in distance is the faster one, and errors that the first band of a long text allows.
+SMALL_TABLE = 65_536
+BAND = 512
+
+
+def _places(text: str) -> dict[str, int]:
+    """Bits of the places of every character."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+
+
+def _distance_within(long: str, short: str, places: dict[str, int], most: int) -> int | None:
+    """Edit distance if it is ``most`` at the most, from the diagonals of the table that far from the main one; columns are bit vectors that move along."""
+    width = 2 * most + 2
+    mask, diagonal, level = (1 << width) - 1, 1 << (width - 1), width - 2
+    up, down, found = (mask << (width - most - 1)) & mask, 0, most
+    for i, character in enumerate(short):
+        equal, start = places.get(character, 0), most + 1 - width + i
+        equal = (equal << -start if start < 0 else equal >> start) & mask
+        straight = ((((equal & up) + up) ^ up) | equal | down) & mask
+        rise, fall = (down | ~(straight | up)) & mask, straight & up
+        if i < len(long) - most:
+            found += not straight & diagonal
+        else:
+            found += (rise >> level & 1) - (fall >> level & 1)
+            level -= 1
+        straight >>= 1
+        up, down = (fall | ~(straight | rise)) & mask, straight & rise
+    return found if found <= most else None
+
+
+def bit_distance(left: str, right: str) -> int:
+    """Edit distance by bit vectors (Myers, Hyyro): a column of the table is a pair of whole numbers, so that a character costs a few operations on words.
+
+    Long texts try bands that grow by four, so that the work follows length times distance where they are alike.
+    """
+    long, short = (left, right) if len(left) >= len(right) else (right, left)
+    places, most = _places(long), BAND
+    while 8 * most <= len(short):
+        if len(long) - len(short) <= most and (found := _distance_within(long, short, places, most)) is not None:
+            return found
+        most *= 4
+    full = (1 << len(long)) - 1
+    up, down = full, 0
+    for character in short:
+        equal = places.get(character, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        rise, fall = (down | ~(across | up)) << 1 | 1, (up & across) << 1
+        equal |= down
+        up, down = (fall | ~(equal | rise)) & full, rise & equal & full
+    return len(short) + up.bit_count() - down.bit_count()
+
+
+@F.pandas_udf(LongType())
+def _bit_distances(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else bit_distance(a, b) for a, b in zip(left, right, strict=True)], dtype="Int64")
+
+
+def edit_distance(left: Column, right: Column) -> Column:
+    """Exact edit distance of texts of any length: small tables are filled by the built-in function, others by bit vectors."""
+    small = F.length(left).cast("bigint") * F.length(right) <= SMALL_TABLE
+    return F.when(small, F.levenshtein(left, right).cast("bigint")).otherwise(_bit_distances(F.when(~small, left), F.when(~small, right)))
+
+
 def character_counts(hypothesis: Column, reference: Column) -> tuple[Column, Column]:
     """Edit errors and reference length on normalised text without spaces."""
     bare = lambda text: F.replace(normalize_text(text), F.lit(" "), F.lit(""))
     ref = bare(reference)
-    return F.levenshtein(bare(hypothesis), ref).cast("bigint"), F.length(ref).cast("bigint")
+    return edit_distance(bare(hypothesis), ref), F.length(ref).cast("bigint")
 
 
 def exact_character_counts(hypothesis: Column, reference: Column) -> tuple[Column, Column]:
     """Edit errors with case and spaces kept (only NFKC applied)."""
     ref = nfkc(reference)
-    return F.levenshtein(nfkc(hypothesis), ref).cast("bigint"), F.length(ref).cast("bigint")
+    return edit_distance(nfkc(hypothesis), ref), F.length(ref).cast("bigint")
 
 
 def token_distance(left: list[str], right: list[str]) -> int:

@@ -1,7 +1,11 @@
 """What the larger tables hold and the smallest ones do not."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from spanledger.operators import folds
+from spanledger.operators import folds, quality
 from spanledger.sources import media
 
 
@@ -37,3 +41,16 @@ def test_a_fold_merges_without_a_call_for_every_key(spark):
     out = folds.fold_by_key(rows, ["run_id"], folds.longest_texts(1))
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
     assert sorted((r.run_id, r.rows, r.chars) for r in out.collect()) == [(0, 2, 3), (1, 2, 5), (2, 2, 7)]
+
+
+def test_long_distances_by_bit_vectors(spark, monkeypatch):
+    """Exact in bands and without them, over the built-in function's characters; a band is entered only by texts that are alike."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé😀") for _ in range(rng.randrange(200, 700))) for _ in range(30)]
+    pairs = [(a, a[rng.randrange(9):] + "xyz") for a in texts] + list(zip(texts, texts[1:], strict=False)) + [("", "abc" * 90), (None, "a")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    want = [r[0] for r in frame.select(F.levenshtein("a", "b").cast("bigint")).collect()]
+    assert [r[0] for r in frame.select(quality.edit_distance(F.col("a"), F.col("b"))).collect()] == want
+    for band in (2, 16, 10_000):
+        monkeypatch.setattr(quality, "BAND", band)
+        assert [quality.bit_distance(a, b) for a, b in pairs[:-1]] == want[:-1]
