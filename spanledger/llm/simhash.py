@@ -154,28 +154,42 @@ def minima(hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def add_minima(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, tables: int) -> DataFrame:
-    """(id, text_hash, high, low, keys, sketch) of every row: digest of the set of shingles, a key for each table, the last byte of each minimum.
+    """(id, text_hash, high, low, fp, keys, sketch) of every row: digest of the set of shingles, SimHash, a key for each table, the last byte of each minimum.
 
-    A wordless text has neither keys nor sketch.
+    A wordless text has fingerprint zero, and neither keys nor sketch.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys, sketches = [], [], []
+            digests, prints, keys, sketches = [], [], [], []
             for text in batch.column(2):
-                found = np.unique(shingle_hashes(text.as_py(), width, seed))
+                hashes = shingle_hashes(text.as_py(), width, seed)
+                found = np.unique(hashes)
+                prints.append(majority(hashes))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 least = minima(found, tables * ROWS) if len(found) else np.zeros(0, np.uint32)
                 keys.append([xxhash.xxh64_intdigest(row.tobytes(), t) - 2**63 for t, row in enumerate(least.reshape(-1, ROWS))])
                 sketches.append(least.astype(np.uint8).tobytes())
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
-            ], ["id", "text_hash", "high", "low", "keys", "sketch"])
+                batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+            ], ["id", "text_hash", "high", "low", "fp", "keys", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, high bigint, low bigint, keys array<bigint>, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, high bigint, low bigint, fp bigint, keys array<bigint>, sketch binary")
+
+
+def simhash_candidates(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets (``n``, ``fp``) whose SimHash fingerprints differ in two bits at most, by the tables of ``links_within_two``.
+
+    Sets of one fingerprint hang on the least of them, and those stand for it in the links between fingerprints.
+    """
+    first = checkpoint(prints.groupBy("fp").agg(F.min("n").alias("first")))
+    equal = prints.join(first, "fp").filter("n > first").select(F.col("first").alias("a"), F.col("n").alias("b"))
+    end = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"n_{name}"))
+    near = links_within_two(first.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    return equal.unionByName(near)
 
 
 def in_blocks(members: DataFrame, group: str, size: Column) -> DataFrame:
@@ -297,19 +311,21 @@ def similar_groups(
 ) -> DataFrame:
     """(id, component_id) of every row: groups of texts linked by an exact Jaccard similarity of ``similarity`` or more in distinct word shingles.
 
-    Texts of the same set of shingles are grouped first. Every set keeps the minima of its shingles under random maps; six of them are
+    Texts of the same set of shingles are grouped first. Sets whose SimHash fingerprints differ in two bits at most are candidates, as in ``near_duplicates``. They are
+    only the nearest of the pairs at such a threshold, so the tables below find the rest. Every set keeps the minima of its shingles under random maps; six of them are
     the key of a table, and there are as many tables as make the chance that a pair right at the threshold meets in none ``miss`` at most
     (far less for nearer pairs). All entries of a bucket are compared by their sketches, in blocks, and a forest of what may be alike leaves the task. Candidates only say which texts ``exact_links`` compares.
     Nulls, repeated rows and ids are as in ``near_duplicates``.
     """
     rows = checkpoint(add_minima(docs, id_col, text_col, width, seed, tables_for(similarity, miss)))
-    grouped = rows.groupBy("high", "low").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    grouped = rows.groupBy("high", "low").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     prints = checkpoint(grouped.select(F.monotonically_increasing_id().alias("n"), "*"))
     entries = prints.select("n", F.explode("keys").alias("key"))
     sizes = checkpoint(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     met = entries.join(sizes, "key").join(prints.select("n", "sketch"), "n").select("key", "n", "sketch", "size")
     work = in_blocks(met, "key", F.ceil(F.col("size") / BUCKET_BLOCK))
     candidates = forests(work, "sketch", lambda sketch: sketch, lambda found: sketch_linker(found, similarity))
+    candidates = candidates.unionByName(simhash_candidates(prints.select("n", "fp")))
     roots = connected_components(exact_links(candidates, prints, docs, text_col, similarity, width, seed))
     rooted = prints.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
