@@ -71,8 +71,9 @@ def ordered_scan(
         carried.append(fold.over(across.rowsBetween(*rows)).alias(carry))
 
     summary = df.groupBy(*keys, "__bucket").agg(*summaries)
-    carry_in = summary.select(*keys, "__bucket", *carried)
-    joined = df.join(carry_in, [*keys, "__bucket"], "left")
+    # nothing is carried into a key of one slice, so it sends no row; the join hashes what is left and only the windows sort
+    carry_in = summary.select(*keys, "__bucket", *carried).where(" OR ".join(f"__carry{i} IS NOT NULL" for i in range(len(scans))))
+    joined = df.join(carry_in.hint("shuffle_hash"), [*keys, "__bucket"], "left")
 
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     out = []

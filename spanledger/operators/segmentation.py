@@ -77,19 +77,20 @@ def boundary_candidates(
 
 
 def sample_sentence_ends(ends: DataFrame, runs: DataFrame) -> DataFrame:
-    """All sentence ends of a run with few of them, else the best one per minute."""
+    """All sentence ends of a run with few of them, else the best one per minute.
+
+    The best is the one nearest to the end of its minute, or to the end of the run if that comes first. No admitted end
+    lies beyond that point, so it is the latest: a maximum of longs finds it, and all ends meet their run in one join.
+    """
     counts = ends.groupBy("run_id").agg(F.count(F.lit(1)).alias("__n"))
-    rows = ends.select("run_id", "timestamp_ms").join(counts, "run_id")
-    few = rows.where(F.col("__n") <= SPARSE_LIMIT).select("run_id", "timestamp_ms")
-    many = rows.where(F.col("__n") > SPARSE_LIMIT).join(runs.select("run_id", "duration_ms"), "run_id")
-    slot = F.floor(F.col("timestamp_ms") / SAMPLE_MS)
+    sizes = counts.join(runs.select("run_id", "duration_ms"), "run_id", "left")
+    rows = ends.select("run_id", "timestamp_ms").join(sizes.hint("shuffle_hash"), "run_id")
+    few, slot = F.col("__n") <= SPARSE_LIMIT, F.floor(F.col("timestamp_ms") / SAMPLE_MS)
     target = F.least(F.col("duration_ms"), (slot + 1) * SAMPLE_MS)
-    best = (
-        many.withColumn("slot", slot).withColumn("distance", F.abs(F.col("timestamp_ms") - target))
-        .where((F.col("distance") <= TOLERANCE_MS) & (F.col("timestamp_ms") < F.col("duration_ms")))
-        .groupBy("run_id", "slot").agg(F.min(F.struct("distance", "timestamp_ms")).alias("b"))
-    )
-    return few.unionByName(best.select("run_id", F.col("b.timestamp_ms").alias("timestamp_ms"))).distinct()
+    near = (target - F.col("timestamp_ms") <= TOLERANCE_MS) & (F.col("timestamp_ms") < F.col("duration_ms"))
+    return rows.where(few | near).groupBy(
+        "run_id", few.alias("__few"), F.when(few, F.col("timestamp_ms")).otherwise(slot).alias("__place")
+    ).agg(F.max("timestamp_ms").alias("timestamp_ms")).select("run_id", "timestamp_ms")
 
 
 def free_grid(runs: DataFrame, selected_ends: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def free_grid(runs: DataFrame, selected_ends: DataFrame) -> DataFrame:
 def ordered_candidates(runs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Distinct candidate points: free grid, strong points and sampled sentence ends."""
     ends = candidates.where((F.col("source") == "sentence_end") & (F.col("score") >= 0.8))
-    selected = sample_sentence_ends(ends, runs)
+    selected = checkpoint(sample_sentence_ends(ends, runs))
     strong = candidates.where((F.col("source") != "sentence_end") | (F.col("score") >= 0.95))
     return (
         free_grid(runs, selected).unionByName(strong.select("run_id", "timestamp_ms")).unionByName(selected)
@@ -250,18 +251,22 @@ def merge_empty_ranges(ranges: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def tested_points(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Candidate points and evidence ends in one staged table, with the flags ``candidate``, ``endpoint`` and ``is_safe``."""
+    ends = evidence.select("run_id", F.col("end_ms").alias("timestamp_ms"))
+    points = candidates.withColumn("candidate", F.lit(True)).withColumn("endpoint", F.lit(False)).unionByName(
+        ends.withColumn("candidate", F.lit(False)).withColumn("endpoint", F.lit(True))
+    ).groupBy("run_id", "timestamp_ms").agg(F.max("candidate").alias("candidate"), F.max("endpoint").alias("endpoint"))
+    return checkpoint(mark_safe(checkpoint(points), evidence))
+
+
 def safe_boundaries(runs: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     """All boundaries after exclusion, snapping, cue edges and oversize splits.
 
     Candidate points and evidence ends are tested for safety together, so the evidence
     is shuffled once for both.
     """
-    ordered = ordered_candidates(runs, candidates)
-    ends = evidence.select("run_id", F.col("end_ms").alias("timestamp_ms"))
-    points = ordered.withColumn("candidate", F.lit(True)).withColumn("endpoint", F.lit(False)).unionByName(
-        ends.withColumn("candidate", F.lit(False)).withColumn("endpoint", F.lit(True))
-    ).groupBy("run_id", "timestamp_ms").agg(F.max("candidate").alias("candidate"), F.max("endpoint").alias("endpoint"))
-    tested = checkpoint(mark_safe(points, evidence))
+    tested = tested_points(ordered_candidates(runs, candidates), evidence)
     marked = tested.where("candidate").select("run_id", "timestamp_ms", "is_safe")
     endpoints = tested.where("endpoint AND is_safe").select("run_id", "timestamp_ms")
     chosen = checkpoint(
