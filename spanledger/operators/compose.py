@@ -214,18 +214,21 @@ def first_seen(rows: DataFrame, keys: list[str], position: str, value: str) -> D
 def frames_connected(nodes: Column, edges: Column) -> Column:
     """Whether the shown frames form one connected graph (``edges``: array of src, dst).
 
-    The reachable set grows from the first frame once per frame, which is enough for any shape.
+    Frames start as parts of one; each edge between shown frames joins the parts of its ends, so edges are walked once.
     """
-    nodes = F.array_distinct(nodes)
-    usable = F.filter(edges, lambda e: F.array_contains(nodes, e["src"]) & F.array_contains(nodes, e["dst"]))
+    def parts_of(bound: Column) -> Column:
+        shown = bound["nodes"]
+        usable = F.filter(bound["edges"], lambda e: F.array_contains(shown, e["src"]) & F.array_contains(shown, e["dst"]))
 
-    def grow(reached: Column, _: Column) -> Column:
-        out = F.transform(F.filter(usable, lambda e: F.array_contains(reached, e["src"])), lambda e: e["dst"])
-        back = F.transform(F.filter(usable, lambda e: F.array_contains(reached, e["dst"])), lambda e: e["src"])
-        return F.array_union(reached, F.concat(out, back))
+        def join(parts: Column, edge: Column) -> Column:
+            touched = lambda p: F.array_contains(p, edge["src"]) | F.array_contains(p, edge["dst"])
+            return F.concat(F.filter(parts, lambda p: ~F.coalesce(touched(p), F.lit(False))), F.array(F.flatten(F.filter(parts, touched))))
 
-    reached = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1))), F.slice(nodes, 1, 1), grow)
-    return F.size(reached) == F.size(nodes)
+        return F.aggregate(usable, F.transform(shown, lambda n: F.array(n)), join)
+
+    # bound in a lambda, so that neither array is built again for every edge
+    bound = F.array(F.struct(F.array_distinct(nodes).alias("nodes"), edges.alias("edges")))
+    return F.size(F.get(F.transform(bound, parts_of), F.lit(0))) <= 1
 
 
 def visual_block_verdicts(blocks: DataFrame, observations: DataFrame) -> DataFrame:

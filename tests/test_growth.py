@@ -21,3 +21,13 @@ def test_sentences_are_cut_once(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "documents.parquet" not in plan
     assert "SortAggregate" not in plan
+
+
+def test_connected_frames_bind_their_arrays_once(spark):
+    rows = spark.createDataFrame(
+        [(1, [1, 2, 3], [(1, 2), (3, 2)]), (2, [1, 2, 3], [(1, 2), (3, 9)]), (3, [], []), (4, [5, 5], []), (5, list(range(300)), [(i + 1, i) for i in range(299)])],
+        "k int, nodes array<int>, edges array<struct<src:int,dst:int>>")
+    connected = rows.select("k", compose.frames_connected(F.col("nodes"), F.col("edges")).alias("c"))
+    assert dict(connected.collect()) == {1: True, 2: False, 3: True, 4: True, 5: True}
+    plan = plan_of(QUERIES["t8_frame_connectivity"](spark, FOLDER)).splitlines()
+    assert all(len(re.findall("flatten\\(transform", line)) <= 1 for line in plan)
