@@ -278,32 +278,36 @@ def safe_boundaries(runs: DataFrame, evidence: DataFrame, candidates: DataFrame)
     return chosen.unionByName(extra).distinct()
 
 
-def build_segments(runs: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+def build_segments(runs: DataFrame, evidence: DataFrame, candidates: DataFrame, staged: bool = False) -> DataFrame:
     """Base segments with ordered evidence references and the rule they break, if any.
 
-    No run is left out: a run that breaks a transcript rule has that rule as the reason of all its segments. The evidence, the
-    tested points and the ranges are each used several times, so they are stage tables in the shared folder. Evidence is assigned
-    to its range once; joining an empty range to the one before adds no evidence, so only the range edges change afterwards.
+    No run is left out: a run that breaks a transcript rule has that rule as the reason of all its segments. The evidence (unless
+    it is ``staged`` already), the tested points and the ranges are each used several times, so they are stage tables in the shared folder.
+    Ranges are found and joined by times alone; joining an empty range to the one before adds no evidence, so the segments are known
+    before a text moves, and texts are dealt to them once.
     """
     runs = checkpoint(runs.select("run_id", "duration_ms"))
     candidates = checkpoint(candidates)
-    evidence = checkpoint(evidence)
-    ranges = checkpoint(to_ranges(safe_boundaries(runs, evidence, candidates), runs))
-    owned = assign_evidence(ranges, evidence)
-    packed = owned.groupBy("run_id", F.col("range_start_ms").alias("start_ms")).agg(
-        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "evidence_id", "text"))).alias("rows"),
-        F.max(F.col("end_ms") > F.col("range_end_ms")).alias("straddles"),
-        F.max("evidence_type").alias("evidence_type"),
-    )
+    evidence = evidence if staged else checkpoint(evidence)
+    times = evidence.select("run_id", "start_ms", "end_ms", "evidence_type")
+    ranges = checkpoint(to_ranges(safe_boundaries(runs, times, candidates), runs))
+    stats = assign_evidence(ranges, times).groupBy("run_id", F.col("range_start_ms").alias("start_ms")).agg(
+        F.max(F.col("end_ms") > F.col("range_end_ms")).alias("straddles"))
     spoken = evidence.select("run_id").distinct().withColumn("__spoken", F.lit(True))
     broken = transcript_budget(evidence, runs).where("reason <> ''").select("run_id", F.col("reason").alias("run_reason"))
-    joined = ranges.join(packed, ["run_id", "start_ms"], "left").join(spoken, "run_id", "left").join(runs, "run_id").join(broken, "run_id", "left")
+    joined = ranges.join(stats, ["run_id", "start_ms"], "left").join(spoken, "run_id", "left").join(runs, "run_id").join(broken, "run_id", "left")
     joins_previous = (
         (F.col("end_ms") - F.col("start_ms") <= EMPTY_MAX_MS) & F.col("straddles").isNull() & F.col("__spoken").isNotNull() & (F.col("start_ms") > 0)
     )
-    heads = checkpoint(joined.where(~joins_previous))
-    following = _scan(heads.select("run_id", "start_ms"), ["start_ms"], Scan("__next", "lead", "start_ms"))
-    joined = heads.join(following, ["run_id", "start_ms"]).withColumn("end_ms", F.coalesce("__next", "duration_ms"))
+    heads = checkpoint(joined.where(~joins_previous).drop("end_ms", "__spoken"))
+    following = _scan(heads, ["start_ms"], Scan("__next", "lead", "start_ms"))
+    segments = checkpoint(following.withColumn("end_ms", F.coalesce("__next", "duration_ms")).drop("__next", "duration_ms"))
+    packed = assign_evidence(segments, evidence.select("run_id", "start_ms", "end_ms", "evidence_id", "evidence_type", "text")).groupBy(
+        "run_id", F.col("range_start_ms").alias("start_ms")).agg(
+        F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "evidence_id", "text"))).alias("rows"),
+        F.max("evidence_type").alias("evidence_type"),
+    )
+    joined = segments.join(packed, ["run_id", "start_ms"], "left")
     source = (
         F.when(F.col("evidence_type").isNull(), "NONE").when(F.col("evidence_type") == "ASR_SEGMENT", "ASR")
         .otherwise("SUBTITLE")

@@ -34,7 +34,7 @@ def test_connected_frames_bind_their_arrays_once(spark):
     assert all(len(re.findall("flatten\\(transform", line)) <= 1 for line in plan)
 
 
-@pytest.mark.parametrize("name, times", [("i20_near_target_groups", 0), ("i21_rule_chapters", 1)])
+@pytest.mark.parametrize("name, times", [("i18_base_segments_dense", 1), ("i20_near_target_groups", 0), ("i21_rule_chapters", 1)])
 def test_texts_are_staged_once_at_most(spark, monkeypatch, name, times):
     staged = []
     for module in (timeline, segmentation, chapters, scan):
