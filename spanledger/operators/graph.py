@@ -110,10 +110,12 @@ def components(edges: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFram
 
     Every round a node takes the least root among its own and its neighbours', then the root of that root, so paths
     halve and a chain of n nodes is done in about log(n) rounds. Rounds are joins on (scope, node) over all runs at once and
-    each is written to the checkpoint folder; the loop ends when no root has changed.
+    each is written to the checkpoint folder; the loop ends when no root has changed. Nodes without an edge are their own root and take no part in the rounds.
     """
     both = checkpoint(edges.select(*scope, "a", "b").unionByName(edges.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    current = checkpoint(nodes.select(*scope, "node").distinct().withColumn("root", F.col("node")))
+    own = checkpoint(nodes.select(*scope, "node").distinct().withColumn("root", F.col("node")))
+    linked = both.select(*scope, F.col("a").alias("node")).distinct()
+    current = checkpoint(own.join(linked, [*scope, "node"], "left_semi"))
     while True:
         roots = current.select(*scope, F.col("node").alias("b"), "root")
         near = both.join(roots, [*scope, "b"]).groupBy(*scope, F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -123,7 +125,7 @@ def components(edges: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFram
         moved = checkpoint(hung.join(told, [*scope, "next"], "left").select(*scope, "node", F.least("next", "further").alias("root"), (F.least("next", "further") != F.col("root")).alias("changed")))
         current = moved.drop("changed")
         if moved.where("changed").isEmpty():
-            return current
+            return current.unionByName(own.join(linked, [*scope, "node"], "left_anti"))
 
 
 def unrelated_sources(sources: DataFrame, blocks: DataFrame, relations: DataFrame) -> DataFrame:

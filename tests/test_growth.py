@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spanledger.operators import chapters, compose, scan, segmentation
+from spanledger.operators import chapters, compose, graph, scan, segmentation
 from spanledger.plans import timeline
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +41,13 @@ def test_texts_are_staged_once_at_most(spark, monkeypatch, name, times):
         monkeypatch.setattr(module, "checkpoint", lambda df, whole=module.checkpoint: staged.append(df.columns) or whole(df))
     QUERIES[name](spark, FOLDER)
     assert sum(len({"text", "first_text", "rows", "__title"} & set(columns)) for columns in staged) == times
+
+
+def test_nodes_without_edges_take_no_part_in_rounds(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(graph, "checkpoint", lambda df, whole=graph.checkpoint: staged.append(whole(df)) or staged[-1])
+    nodes = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 4)], "run_id int, node int")
+    edges = spark.createDataFrame([(1, 3, 5), (1, 5, 7), (2, 4, 4)], "run_id int, a int, b int")
+    got = {(r["run_id"], r["node"]): r["root"] for r in graph.components(edges, nodes, ["run_id"]).collect()}
+    assert got == {(2, 4): 4} | {(1, i): 3 if i in (3, 5, 7) else i for i in range(10)}
+    assert staged[-1].count() == 3
