@@ -124,61 +124,86 @@ def flag_conflicts(requests: DataFrame) -> DataFrame:
     return spark.read.schema(f"request_id {kinds['request_id']}, outcome string").parquet(f"{base}/out").drop("batch")
 
 
+# Fixed value: states over which the keys are dealt. Calls to the state store cost milliseconds, so they must not grow with the keys.
+STATES = 1024
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in the order of their event time, whatever micro-batch brings them.
 
-    Rows wait in a list state until the watermark has passed them; a timer at the earliest one wakes the key. What is then ripe is sorted and goes
-    through ``fold``, whose state is one row; ``due`` says when a key must wake though no row is waiting. Only the rows within the watermark's delay are held.
+    Rows wait in a list state until the watermark has passed them; a timer at the earliest one wakes them. What is then ripe is sorted and goes
+    key by key through ``fold``, whose state is one row; ``due`` says when a key must wake though no row is waiting. Only the rows within the watermark's delay are held.
+    Keys are dealt to ``STATES`` states. An entry of a list state holds the rows of one Arrow batch, and a value state the folds of its keys, as an array per column.
     """
 
-    def __init__(self, row: list[str], row_schema: str, state_schema: str, output: list[str], fold: Callable, due: Callable | None = None) -> None:
-        self.row, self.row_schema, self.state_schema, self.output, self.fold, self.due = row, row_schema, state_schema, output, fold, due
+    def __init__(self, row: str, state: str, output: list[str], fold: Callable, due: Callable | None = None) -> None:
+        self.output, self.fold, self.due = output, fold, due
+        self.row, self.held_schema = self._columns(f"key bigint, {row}")
+        self.state_schema = self._columns(f"key bigint, {state}")[1]
+
+    @staticmethod
+    def _columns(schema: str) -> tuple[list[tuple[str, str]], str]:
+        fields = [tuple(field.split()) for field in schema.split(",")]
+        return fields, ", ".join(f"{name} array<{kind}>" for name, kind in fields)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.row_schema)
-        self.state = handle.getValueState("state", self.state_schema)
+        self.held = handle.getListState("held", self.held_schema)
+        self.folds = handle.getValueState("folds", self.state_schema)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            waiting = [tuple(None if pd.isna(v) else v for v in row) for row in frame[self.row].astype(object).itertuples(index=False)]
+        waiting = [tuple(self._values(frame[name], kind) for name, kind in self.row) for frame in rows if len(frame)]
+        if waiting:
             self.held.appendList(waiting)
-            first = min([row[0] for row in waiting] + ([] if first is None else [first]))
-        if first is not None:
-            self.handle.registerTimer(int(first) + 1)
+            self.handle.registerTimer(min(min(columns[1]) for columns in waiting) + 1)
         return iter(())
 
+    @staticmethod
+    def _values(column: pd.Series, kind: str) -> list:
+        whole = kind == "bigint" and column.dtype.kind == "f"  # pandas makes floats of whole numbers beside nulls
+        return [None if v != v else int(v) if whole else v for v in column.tolist()]
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(row) for row in self.held.get()] if self.held.exists() else []
-        ripe = sorted((row for row in waiting if row[0] < watermark), key=lambda row: row[:2])
-        later = [row for row in waiting if row[0] >= watermark]
-        state = tuple(self.state.get()) if self.state.exists() else None
-        out: list[tuple] = []
-        for row in ripe:
-            state, made = self.fold(state, row)
-            out += made
+        waiting = [row for columns in self.held.get() for row in zip(*columns, strict=True)]
+        ripe = sorted((row for row in waiting if row[1] < watermark), key=lambda row: row[1:3])
+        later = [row for row in waiting if row[1] >= watermark]
+        before = self.folds.get()
+        before = {} if before is None else {row[0]: row[1:] for row in zip(*before, strict=True)}
+        states, out, wakes = dict(before), [], [row[1] + 1 for row in later]
+        for name, *row in ripe:
+            state, made = self.fold(states.get(name), row)
+            states[name] = state
+            out += [(name, *m) for m in made]
+        for name, state in states.items() if self.due else ():
+            if state is not None:
+                wake, states[name], made = self.due(state, watermark)
+                out += [(name, *m) for m in made]
+                wakes += [] if wake is None else [wake]
         if ripe:
-            self.held.put(later) if later else self.held.clear()
-        if later:
-            self.handle.registerTimer(int(min(row[0] for row in later)) + 1)
-        if self.due and state is not None:
-            wake, state, made = self.due(state, watermark)
-            out += made
-            if wake is not None:
-                self.handle.registerTimer(int(wake))
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(state)
+            self.held.put([self._packed(later)]) if later else self.held.clear()
+        kept = {name: state for name, state in states.items() if state is not None}
+        if kept != before:
+            self.folds.update(self._packed([(name, *state) for name, state in kept.items()])) if kept else self.folds.clear()
+        if wakes:
+            self.handle.registerTimer(min(wakes))
         if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=self.output)
+            yield pd.DataFrame(out, columns=self.output)
+
+    @staticmethod
+    def _packed(rows: list[tuple]) -> tuple:
+        return tuple(map(list, zip(*rows, strict=True)))
 
     def close(self) -> None:
         pass
 
 
+def in_order(rows: DataFrame, key: str, watch: InOrder, output: str) -> DataFrame:
+    """The rows (``key`` and those of ``watch``) through ``watch``; keys that are null are a key of their own."""
+    state = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(STATES)))
+    return rows.withColumn("state", state).withColumnRenamed(key, "key").groupBy("state").transformWithStateInPandas(watch, output, "Append", "EventTime")
+
+
 def _lease_row(state: tuple | None, row: tuple) -> tuple:
     """A RUNNING row opens its lease; any later row ends the open one, which had run out if it was not longer."""
     at, event, lease = row
@@ -198,8 +223,8 @@ def expired_leases(log: DataFrame, watermark: str = "0 seconds") -> DataFrame:
     """
     rows = log.withWatermark("ts", watermark).select(
         "job_id", "event_id", "ts", F.unix_millis("ts").alias("ts_ms"), F.when(F.col("status") == "RUNNING", F.unix_millis("lease_expires_at")).otherwise(-1).alias("lease_ms"))
-    watch = InOrder(["ts_ms", "event_id", "lease_ms"], "ts_ms bigint, event_id bigint, lease_ms bigint", "event_id bigint, lease_ms bigint", ["job_id", "event_id", "expired_at_ms"], _lease_row, _lease_due)
-    return rows.groupBy("job_id").transformWithStateInPandas(watch, "job_id bigint, event_id bigint, expired_at_ms bigint", "Append", "EventTime")
+    watch = InOrder("ts_ms bigint, event_id bigint, lease_ms bigint", "event_id bigint, lease_ms bigint", ["job_id", "event_id", "expired_at_ms"], _lease_row, _lease_due)
+    return in_order(rows, "job_id", watch, "job_id bigint, event_id bigint, expired_at_ms bigint")
 
 
 def _kept_row(state: tuple | None, row: tuple) -> tuple:
@@ -221,9 +246,9 @@ def ordered_dedup(segments: DataFrame, watermark: str = "10 seconds") -> DataFra
     # the first watermark is 0 and what is not above it counts as late
     rows = segments.withColumn("ts", F.timestamp_millis(F.col("start_ms") + 1)).withWatermark("ts", watermark)
     keep = InOrder(
-        ["start_ms", "evidence_id", "end_ms", "text", "confidence"], "start_ms bigint, evidence_id string, end_ms bigint, text string, confidence double",
+        "start_ms bigint, evidence_id string, end_ms bigint, text string, confidence double",
         "slot bigint, end_ms bigint, text string, confidence double", ["run_id", "slot", "evidence_id", "start_ms", "end_ms"], _kept_row)
-    return rows.groupBy("run_id").transformWithStateInPandas(keep, "run_id bigint, slot bigint, evidence_id string, start_ms bigint, end_ms bigint", "Append", "EventTime")
+    return in_order(rows, "run_id", keep, "run_id bigint, slot bigint, evidence_id string, start_ms bigint, end_ms bigint")
 
 
 def incremental_dedup(segments: DataFrame) -> DataFrame:
