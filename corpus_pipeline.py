@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm import decontamination, pieces, quality_cnn, simhash, units
-from spanledger.session import checkpoint
+from spanledger.session import checkpoint, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of the same id count once; rows without an id cannot be named as a group's document and stay.
     """
-    groups = checkpoint(simhash.similar_groups(docs, similarity=0.8, width=5))
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    several = kept.filter("rows > 1").select("doc_id")
-    single = docs.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    groups = settled(spark, lambda: simhash.similar_groups(docs, similarity=0.8, width=5))
+    kept = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("rows"))
+    # tables of their real sizes: only one of the joins has to move the documents, and none where the ids to leave out are few
+    other = checkpoint(kept.filter("rows <> 1").select("doc_id"))
+    several = checkpoint(kept.filter("rows > 1").select("doc_id"))
     repeated = docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
+    return docs.join(other, "doc_id", "left_anti").unionByName(repeated)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

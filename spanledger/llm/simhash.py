@@ -280,7 +280,9 @@ def exact_links(candidates: DataFrame, prints: DataFrame, docs: DataFrame, text_
     """
     roots = connected_components(candidates)
     wanted = checkpoint(prints.join(roots.withColumnRenamed("node", "n"), "n").select("n", "root", "text_hash"))
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).join(wanted, "text_hash")
+    # most texts are no candidates; a table of hashes alone is the likeliest to be small enough to leave the others where they are
+    hashes = checkpoint(wanted.select("text_hash").distinct())
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).join(hashes, "text_hash", "left_semi").join(wanted, "text_hash")
     members = checkpoint(texts.groupBy("n").agg(F.first("root").alias("root"), F.first("text").alias("text")))
     sizes = checkpoint(members.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.length("text")).alias("chars")))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from spanledger.session import checkpoint
+from spanledger.session import checkpoint, settled
 
 #: A unit ends at a line end, or at white space after the end of a sentence.
 SEPARATOR = re.compile(r"(?<=[.!?])[ \t\r]|\n")
@@ -99,7 +99,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``removed`` holds (start, stop) in characters of the original text, in order and joined where they
     touch. Null texts stay null. Rows with the same id and the same text are one document seen again: all get the same result.
     """
-    places = repeated_units(docs, id_col, text_col, min_words).select(F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), "places")
+    places = settled(docs.sparkSession, lambda: repeated_units(docs, id_col, text_col, min_words)).select(F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), "places")
     keyed = _keyed(docs, id_col, text_col)
     joined = keyed.join(places, keyed["_id"].eqNullSafe(F.col("_rid")) & (keyed["_hash"] == F.col("_rhash")), "left").select("row", "_text", "places")
 

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stage tables written so far by the step that ``settled`` is building.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
 def build_session(app_name: str = "spanledger", cores: str | int = 8) -> SparkSession:
     """Local session for tests and benches; clusters bring their own session."""
     cores = os.environ.get("BENCH_CPUS", str(cores))
@@ -46,6 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
 def stage_table(df: DataFrame) -> str:
     """Write a stage of a job as Parquet in the shared folder and return its path."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    staged = _STAGED.get()
+    if staged is not None:
+        staged.append(path)
     df.write.parquet(path)
     return path
 
@@ -59,6 +68,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stage_table(df))
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """``checkpoint`` of what ``build`` returns; the stage tables written on the way there are deleted afterwards."""
+    staged: list[str] = []
+    outer = _STAGED.set(staged)
+    try:
+        df = build()
+    finally:
+        _STAGED.reset(outer)
+    out = checkpoint(df)
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, staged):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out rows before costly per-row work, whatever the input splits look like; the number of partitions is Spark's to choose."""
     return df.repartition(*keys)

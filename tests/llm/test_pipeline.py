@@ -1,8 +1,10 @@
 """Every stage of the pipeline against a plain version, on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from spanledger import session
 from spanledger.llm import decontamination, pieces, quality_cnn, simhash
 from test_documents import plain_overlap
 from test_duplicates import plain_units
@@ -92,3 +94,15 @@ def test_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, frame.limit(0), FOLDER).count() == 0
     assert decontamination.words_of(None) == []
+
+
+def test_stages_delete_their_tables(spark, tmp_path, monkeypatch):
+    """What a stage writes on its way is gone before its rows are read, and the rows are still there."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i // 2}. one two three four five six") for i in range(8)], "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    copies = pipeline.near_copies(spark, docs, FOLDER)
+    assert len(list(tmp_path.iterdir())) == 3
+    assert sorted(r["doc_id"] for r in copies.collect()) == [0, 2, 4, 6]
+    passages = pipeline.repeated_passages(spark, docs, FOLDER)
+    assert len(list(tmp_path.iterdir())) == 4
+    assert passages.count() == 8
