@@ -2,11 +2,13 @@
 
 import glob
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from spanledger.llm import decontamination, pieces, sharding, warc
 
@@ -243,6 +245,26 @@ def test_every_occurrence_has_its_own_segmentation(vocabulary):
     assert fresh == [encoder.encode(word[1:], salt) for salt in range(50)]
 
 
+def test_occurrences_are_segmented_side_by_side(vocabulary):
+    """Calls into Python functions do not follow the occurrences that lose a candidate, and the ids are those of one word after the other."""
+    rng = random.Random(4)
+    lexicon = ["".join(rng.choice("etaoinshrdluü7日") for _ in range(rng.randrange(1, 14))) for _ in range(3000)] + ["x" * 60]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(4000)) for _ in range(6)] + ["", "a", "naïve ▁ mark ▁▁"]
+    encoder, calls = pieces.Encoder(vocabulary, 0.2, 1), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = [encoder.encode(text, salt) for salt, text in enumerate(texts)]
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 8 * 24_000, calls
+    for salt, text in enumerate(texts[:-1]):
+        words = encoder.word.findall("▁" + text.replace(" ", "▁")) if text else []
+        keys = pieces.mixed(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(pieces.STEP) + np.uint64(xxhash.xxh64_intdigest(salt.to_bytes(8, "little"), 1)))
+        assert got[salt] == b"".join(map(encoder._long, words, keys.tolist()))
+    ids, sizes = pieces.Encoder(vocabulary, 0.2, 1).encode_all(texts, range(len(texts)))
+    assert ids.tobytes() == b"".join(got) and [4 * n for n in sizes.tolist()] == list(map(len, got))
+
+
 def test_encode_documents(spark, vocabulary):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (3, TEXTS[3]), (None, "no id")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, token_ids string")
