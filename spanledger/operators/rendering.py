@@ -103,8 +103,8 @@ def audio_block(b: Column) -> Column:
     })
 
 
-def _ordinal(index: Column) -> Column:
-    return F.concat(F.lit("第"), F.coalesce(tx.chinese_ordinal(index), index.cast("string")), F.lit("章："))
+def _ordinal(index: Column, numeral: Callable[[Column], Column]) -> Column:
+    return F.concat(F.lit("第"), F.coalesce(numeral(index), index.cast("string")), F.lit("章："))
 
 
 def _clock(chapter: str = "") -> Column:
@@ -132,9 +132,9 @@ def chapter_bodies(blocks: DataFrame, claims: DataFrame, keys: list[str], lines:
     return bodies, ends
 
 
-def _documents(titles: DataFrame, chapters: DataFrame, bodies: DataFrame, ends: DataFrame, text: Callable[[Column], Column], heading: Callable[[Column, Column], Column], prose: Callable[[Column], Column], brackets: tuple[str, str], no_overview: str) -> DataFrame:
+def _documents(titles: DataFrame, chapters: DataFrame, bodies: DataFrame, ends: DataFrame, text: Callable[[Column], Column], heading: Callable[[Column, Column], Column], prose: Callable[[Column], Column], brackets: tuple[str, str], no_overview: str, numeral: Callable[[Column], Column] = tx.chinese_ordinal) -> DataFrame:
     """One string per chapter, then one ordered aggregation per document."""
-    name = _ordinal(F.col("chapter_index"))
+    name = _ordinal(F.col("chapter_index"), numeral)
     stated = (F.length("summary") > 0) & ~F.coalesce((F.length("prose") > 0) & (_spaced(prose(F.col("summary"))) == _spaced(prose(F.col("prose")))), F.lit(False))
     shown = F.col("shown")
     parts = F.array(
@@ -166,10 +166,10 @@ def render_video(titles: DataFrame, chapters: DataFrame, blocks: DataFrame, clai
     return _documents(titles, told, bodies, ends, tx.escape_markdown, lambda name, title: tx.escape_markdown(F.concat(name, title)), lambda c: c, (" （", "）"), NO_OVERVIEW)
 
 
-def render_audio(titles: DataFrame, chapters: DataFrame, blocks: DataFrame, claims: DataFrame) -> DataFrame:
-    """As ``render_video`` for audio documents: every chapter is shown, and prose loses evidence ids."""
+def render_audio(titles: DataFrame, chapters: DataFrame, blocks: DataFrame, claims: DataFrame, numeral: Callable[[Column], Column] = tx.chinese_ordinal) -> DataFrame:
+    """As ``render_video`` for audio documents: every chapter is shown, and prose loses evidence ids. ``numeral`` writes the number of a chapter."""
     bodies, ends = chapter_bodies(blocks, claims, ["run_id", "chapter_index"], audio_block, audio_text)
-    return _documents(titles, chapters.withColumn("shown", F.lit(True)), bodies, ends, audio_text, lambda name, title: F.concat(name, audio_text(title)), tx.clean_markers, (" (", ")"), "")
+    return _documents(titles, chapters.withColumn("shown", F.lit(True)), bodies, ends, audio_text, lambda name, title: F.concat(name, audio_text(title)), tx.clean_markers, (" (", ")"), "", numeral)
 
 
 def render_images(titles: DataFrame, blocks: DataFrame, claims: DataFrame) -> DataFrame:

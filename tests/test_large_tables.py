@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
+import oracle
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spanledger.operators import folds, quality
+from spanledger.operators import folds, quality, rendering
 from spanledger.sources import media
 
 
@@ -54,3 +57,24 @@ def test_long_distances_by_bit_vectors(spark, monkeypatch):
     for band in (2, 16, 10_000):
         monkeypatch.setattr(quality, "BAND", band)
         assert [quality.bit_distance(a, b) for a, b in pairs[:-1]] == want[:-1]
+
+
+@pytest.mark.parametrize("name", ["t12_audio_documents"])
+def test_documents_of_a_hundred_chapters_and_more(spark, tmp_path, name):
+    """The SQL leaves hundreds out of the number of a chapter; the operator, as the reference, writes them."""
+    lines = [(1, 8 * 99), (2, 8 * 99 + 1), (3, 8 * 114), (4, 8 * 231), (5, 8 * 1001)]
+    rows = [(i, "\n".join(f"line {k}. an e x" for k in range(n)), "en", "web") for i, n in lines]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(spark, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name], connection)[1:] == (5, "ok")
+
+
+@pytest.mark.parametrize("render", [rendering.render_audio])
+def test_hundreds_are_written_by_default(spark, render):
+    titles = spark.createDataFrame([(1, "t", "o")], "run_id int, title string, overview string")
+    chapters = spark.createDataFrame([(1, c, 0, 1000, "t", "s", "GROUNDED") for c in (10, 100, 114)], "run_id int, chapter_index int, start_ms int, end_ms int, title string, summary string, content_status string")
+    blocks = spark.createDataFrame([], f"run_id int, chapter_index int, position int, block struct<{','.join(f'{n}:{k}' for n, k in rendering.BLOCK.items())}>")
+    claims = spark.createDataFrame([], "run_id int, chapter_index int, pos int, text string")
+    content = render(titles, chapters, blocks, claims).first().content
+    assert [x for x in content.split("\n") if x.startswith("## 第")] == ["## 第十章：t", "## 第一百章：t", "## 第一百十四章：t"]
