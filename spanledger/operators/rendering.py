@@ -132,7 +132,7 @@ def chapter_bodies(blocks: DataFrame, claims: DataFrame, keys: list[str], lines:
     return bodies, ends
 
 
-def _documents(titles: DataFrame, chapters: DataFrame, bodies: DataFrame, ends: DataFrame, text: Callable[[Column], Column], heading: Callable[[Column, Column], Column], prose: Callable[[Column], Column], brackets: tuple[str, str], no_overview: str, numeral: Callable[[Column], Column] = tx.chinese_ordinal) -> DataFrame:
+def _documents(titles: DataFrame, chapters: DataFrame, bodies: DataFrame, ends: DataFrame, text: Callable[[Column], Column], heading: Callable[[Column, Column], Column], prose: Callable[[Column], Column], brackets: tuple[str, str], no_overview: str, numeral: Callable[[Column], Column]) -> DataFrame:
     """One string per chapter, then one ordered aggregation per document."""
     name = _ordinal(F.col("chapter_index"), numeral)
     stated = (F.length("summary") > 0) & ~F.coalesce((F.length("prose") > 0) & (_spaced(prose(F.col("summary"))) == _spaced(prose(F.col("prose")))), F.lit(False))
@@ -155,19 +155,20 @@ def _finished(text: Column) -> Column:
     return F.concat(F.rtrim(text, F.lit("\n")), F.lit("\n"))
 
 
-def render_video(titles: DataFrame, chapters: DataFrame, blocks: DataFrame, claims: DataFrame) -> DataFrame:
+def render_video(titles: DataFrame, chapters: DataFrame, blocks: DataFrame, claims: DataFrame, numeral: Callable[[Column], Column] = tx.chinese_ordinal) -> DataFrame:
     """(run_id, content) of every run of ``titles`` that has a chapter.
 
     ``titles``: run_id, title, overview. ``chapters``: run_id, chapter_index (from 1), start_ms, end_ms, title, summary, content_status. ``blocks``: run_id, chapter_index, position,
     block. ``claims``: run_id, chapter_index, pos, text. Only GROUNDED chapters show their summary, body and conclusions. Each input is read once.
+    ``numeral`` writes the number of a chapter, or null where the number itself is to stand.
     """
     bodies, ends = chapter_bodies(blocks, claims, ["run_id", "chapter_index"], video_block, tx.escape_markdown)
     told = chapters.withColumn("shown", F.col("content_status") == "GROUNDED")
-    return _documents(titles, told, bodies, ends, tx.escape_markdown, lambda name, title: tx.escape_markdown(F.concat(name, title)), lambda c: c, (" （", "）"), NO_OVERVIEW)
+    return _documents(titles, told, bodies, ends, tx.escape_markdown, lambda name, title: tx.escape_markdown(F.concat(name, title)), lambda c: c, (" （", "）"), NO_OVERVIEW, numeral)
 
 
 def render_audio(titles: DataFrame, chapters: DataFrame, blocks: DataFrame, claims: DataFrame, numeral: Callable[[Column], Column] = tx.chinese_ordinal) -> DataFrame:
-    """As ``render_video`` for audio documents: every chapter is shown, and prose loses evidence ids. ``numeral`` writes the number of a chapter."""
+    """As ``render_video`` for audio documents: every chapter is shown, and prose loses evidence ids."""
     bodies, ends = chapter_bodies(blocks, claims, ["run_id", "chapter_index"], audio_block, audio_text)
     return _documents(titles, chapters.withColumn("shown", F.lit(True)), bodies, ends, audio_text, lambda name, title: F.concat(name, audio_text(title)), tx.clean_markers, (" (", ")"), "", numeral)
 

@@ -59,7 +59,7 @@ def test_long_distances_by_bit_vectors(spark, monkeypatch):
         assert [quality.bit_distance(a, b) for a, b in pairs[:-1]] == want[:-1]
 
 
-@pytest.mark.parametrize("name", ["t12_audio_documents"])
+@pytest.mark.parametrize("name", ["t12_audio_documents", "t12_block_documents"])
 def test_documents_of_a_hundred_chapters_and_more(spark, tmp_path, name):
     """The SQL leaves hundreds out of the number of a chapter; the operator, as the reference, writes them."""
     lines = [(1, 8 * 99), (2, 8 * 99 + 1), (3, 8 * 114), (4, 8 * 231), (5, 8 * 1001)]
@@ -70,7 +70,7 @@ def test_documents_of_a_hundred_chapters_and_more(spark, tmp_path, name):
     assert oracle.compare(spark, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name], connection)[1:] == (5, "ok")
 
 
-@pytest.mark.parametrize("render", [rendering.render_audio])
+@pytest.mark.parametrize("render", [rendering.render_audio, rendering.render_video])
 def test_hundreds_are_written_by_default(spark, render):
     titles = spark.createDataFrame([(1, "t", "o")], "run_id int, title string, overview string")
     chapters = spark.createDataFrame([(1, c, 0, 1000, "t", "s", "GROUNDED") for c in (10, 100, 114)], "run_id int, chapter_index int, start_ms int, end_ms int, title string, summary string, content_status string")
